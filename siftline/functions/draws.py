@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _SCALE = 1_000_000
@@ -22,3 +24,11 @@ def pick(base: Column, options: Column, size: int, *position: Column | int) -> C
     """One element of an array column of known size."""
     parts = [p if isinstance(p, Column) else F.lit(p) for p in position]
     return F.get(options, F.pmod(F.xxhash64(base, *parts), F.lit(size)).cast("int"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    An expression captured by a lambda is otherwise evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

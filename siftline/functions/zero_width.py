@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from siftline.functions.draws import char_draw, row_seed
+from siftline.functions.draws import char_draw, let, row_seed
 from siftline.schema import WHITESPACE
 
 # The invisible characters removed from messages.
@@ -56,16 +56,20 @@ def inject_zero_width(text: Column | str, *, fraction: float = 0.2, seed: int =
     depend on row order or partitioning.
     """
     column = _col(text)
-    chars = F.split(column, "")
     spaces = [F.lit(c) for c in WHITESPACE]
     invisible = F.array(*[F.lit(c) for c in ZERO_WIDTH])
-    base = row_seed(column, seed, "zero_width")
 
-    def piece(char: Column, pos: Column) -> Column:
-        follower = F.get(chars, pos + 1)
-        open_gap = follower.isNotNull() & ~char.isin(*spaces) & ~follower.isin(*spaces)
-        hit = open_gap & (char_draw(base, pos, 0) < F.lit(fraction))
-        pick = F.get(invisible, F.pmod(F.xxhash64(base, pos, F.lit(1)), F.lit(len(ZERO_WIDTH))).cast("int"))
-        return F.when(hit, F.concat(char, pick)).otherwise(char)
+    def rebuild(row: Column) -> Column:
+        chars, base = row["chars"], row["base"]
 
-    return F.when(column.isNotNull(), F.array_join(F.transform(chars, piece), ""))
+        def piece(char: Column, pos: Column) -> Column:
+            follower = F.get(chars, pos + 1)
+            open_gap = follower.isNotNull() & ~char.isin(*spaces) & ~follower.isin(*spaces)
+            hit = (char_draw(base, pos, 0) < F.lit(fraction)) & open_gap
+            pick = F.get(invisible, F.pmod(F.xxhash64(base, pos, F.lit(1)), F.lit(len(ZERO_WIDTH))).cast("int"))
+            return F.when(hit, F.concat(char, pick)).otherwise(char)
+
+        return F.array_join(F.transform(chars, piece), "")
+
+    row = F.struct(F.split(column, "").alias("chars"), row_seed(column, seed, "zero_width").alias("base"))
+    return F.when(column.isNotNull(), let(row, rebuild))

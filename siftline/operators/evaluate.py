@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftline.functions.draws import let
 from siftline.schema import MODEL_LABELS
 
 
@@ -91,14 +92,18 @@ def focal_loss_summary(df: DataFrame, loss: Column, *, reduction: str = "mean")
 def best_label(probabilities: Column | str, labels: Sequence[str] = MODEL_LABELS) -> Column:
     """STRUCT<p, label> of the most probable label; ties go to the lowest label id."""
     column = F.col(probabilities) if isinstance(probabilities, str) else probabilities
-    options = F.array(
-        *[
-            F.struct(column[name].alias("p"), F.lit(-i).alias("order"), F.lit(name).alias("label"))
-            for i, name in enumerate(labels)
-        ]
-    )
-    best = F.array_max(options)
-    return F.struct(best["p"].alias("p"), best["label"].alias("label"))
+
+    def choose(p: Column) -> Column:
+        options = F.array(
+            *[
+                F.struct(F.try_element_at(p, F.lit(name)).alias("p"), F.lit(-i).alias("order"), F.lit(name).alias("label"))
+                for i, name in enumerate(labels)
+            ]
+        )
+        return F.array_max(options)
+
+    best = let(column, choose)
+    return F.when(column.isNotNull(), F.struct(best["p"].alias("p"), best["label"].alias("label")))
 
 
 def regression_cases(predictions: DataFrame) -> DataFrame:

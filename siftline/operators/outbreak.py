@@ -84,7 +84,7 @@ def _earliest_by_distance(groups: DataFrame, near: DataFrame, ttl_seconds: int |
     last one in the bucket before. At most max-distance + 1 entries."""
     nothing = F.lit(None)
     order_type = groups.schema["first"].dataType
-    spread = near.join(groups.withColumnRenamed("fp", "near_fp"), "near_fp")
+    rows_near = near.join(groups.withColumnRenamed("fp", "near_fp"), "near_fp")
     own = F.when(F.col("distance") == 0, F.col("n"))
     same = F.struct(F.col("bucket"), F.col("first"), nothing.cast(order_type).alias("before"), own.alias("n"))
     parts = F.array(same)
@@ -94,7 +94,7 @@ def _earliest_by_distance(groups: DataFrame, near: DataFrame, ttl_seconds: int |
             F.col("last").alias("before"), nothing.cast("long").alias("n"),
         )
         parts = F.array(same, later)
-    rows = spread.select("fp", "distance", F.explode(parts).alias("p")).select("fp", "distance", "p.*")
+    rows = rows_near.select("fp", "distance", F.explode(parts).alias("p")).select("fp", "distance", "p.*")
     per_distance = rows.groupBy("fp", "bucket", "distance").agg(
         F.min("first").alias("first"), F.max("before").alias("before"), F.max("n").alias("n")
     )
@@ -151,6 +151,38 @@ def flag_fingerprints(
     distinct_fps = groups.select("fp").distinct() if ttl_seconds is not None else groups.select("fp")
     pairs = near_pairs(distinct_fps, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)
     near = neighbourhood(distinct_fps, materialize(pairs))
+    return _attach(fps, groups, near, hash_bits, ttl_seconds)
+
+
+def match_batch(
+    fps: DataFrame,
+    index: DataFrame,
+    *,
+    threshold: float = 0.90,
+    num_bands: int = 8,
+    hash_bits: int = 64,
+    ttl_seconds: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Verdicts for a new batch against itself and an index of earlier summaries.
+
+    ``index`` has the columns of :func:`fingerprint_groups` from earlier batches. Returns
+    (verdicts, the batch's own summaries to add to the index). The batch is keyed and
+    joined to the index; the index is never joined to itself.
+    """
+    groups = materialize(fingerprint_groups(fps, ttl_seconds=ttl_seconds))
+    merged = materialize(
+        groups.unionByName(index.select("fp", "bucket", "first", "last", F.lit(0).cast("long").alias("n")))
+        .groupBy("fp", "bucket")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    )
+    new_fps = groups.select("fp").distinct()
+    known = merged.select("fp").distinct()
+    pairs = near_pairs(new_fps, known, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)
+    near = pairs.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("near_fp"), "distance")
+    return _attach(fps, merged, near, hash_bits, ttl_seconds), groups
+
+
+def _attach(fps: DataFrame, groups: DataFrame, near: DataFrame, hash_bits: int, ttl_seconds: int | None) -> DataFrame:
     levels = materialize(_earliest_by_distance(groups, near, ttl_seconds))
     keyed = fps.withColumn("bucket", _bucket(ttl_seconds))
     joined = lookup_join(keyed, levels, ["fp", "bucket"], weight="n", how="inner")

@@ -41,7 +41,7 @@ def url_safety(urls: DataFrame, dns: DataFrame) -> DataFrame:
     literal = F.col("host").rlike(IPV4) | F.col("host").contains(":")
     verdicts = host_verdicts(dns).withColumn("resolved", F.lit(True))
     joined = lookup_join(parsed, verdicts, ["host"])
-    inner = F.when(literal & is_blocked_ip("host"), F.col("host")).when(~literal, F.col("blocked_ip"))
+    inner = F.when(is_blocked_ip(F.when(literal, F.col("host"))), F.col("host")).when(~literal, F.col("blocked_ip"))
     problem = (
         F.when(F.col("refused").isNotNull(), F.col("refused"))
         .when(inner.isNotNull(), F.concat(F.col("host"), F.lit(" resolves to disallowed address "), inner))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftline.functions.draws import let
 from siftline.schema import LABELS
 
 # The confidence band sent to review, both ends included.
@@ -16,7 +17,8 @@ REVIEWED_SOURCE = "human_reviewed"
 
 def needs_human_review(confidence: Column | str) -> Column:
     column = F.col(confidence) if isinstance(confidence, str) else confidence
-    return column.between(REVIEW_LOW, REVIEW_HIGH)
+    # Bound once: a filter on this flag carries the whole scoring expression with it.
+    return let(column, lambda c: c.between(REVIEW_LOW, REVIEW_HIGH))
 
 
 def review_items(classified: DataFrame, *, created_at: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftline.functions.confusables import is_homoglyph_attack, strip_confusables
+from siftline.functions.draws import let
 from siftline.functions.rules import detect_otp
 from siftline.functions.urls import extract_urls, mark_all
 from siftline.functions.zero_width import strip_zero_width
@@ -31,9 +32,11 @@ def column_scorer(make: Callable[[Column], Sequence[Column]], labels: Sequence[s
     """Scorer from Column expressions: one probability per label."""
 
     def score(df: DataFrame) -> DataFrame:
-        values = make(F.col("model_text"))
-        pairs = [c for name, p in zip(labels, values) for c in (F.lit(name), p)]
-        return df.withColumn("probabilities", F.when(F.col("model_text").isNotNull(), F.create_map(*pairs)))
+        def row(text: Column) -> Column:
+            pairs = [c for name, p in zip(labels, make(text)) for c in (F.lit(name), p)]
+            return F.when(text.isNotNull(), F.create_map(*pairs))
+
+        return df.withColumn("probabilities", let(F.col("model_text"), row))
 
     return score
 

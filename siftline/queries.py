@@ -11,6 +11,7 @@ from siftline.functions import confusables, hashing, net, rules, urls, zero_widt
 from siftline.operators import dedup, evaluate, metrics, neighbours, outbreak, redirects, relabel, review, skew, synth
 from siftline.plans import classify as flow, training
 from siftline.session import materialize, spread
+from siftline.streaming import jobs
 from siftline.views import MESSAGES, documents, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -695,11 +696,11 @@ REVIEW_SQL = f"""{SCORED},
 items AS (SELECT sha256(CAST(message_id AS VARCHAR) || '|' || text) AS item_id, * FROM reviewed WHERE needs_review),
 decided AS (
   SELECT item_id, CASE WHEN message_id % 3 = 0 THEN 'reject' ELSE 'approve' END AS decision,
-    CASE WHEN message_id % 5 = 0 THEN 'spam' WHEN message_id % 7 = 0 THEN 'nonsense' WHEN message_id % 11 = 0 THEN '' END AS corrected, 1 AS at
+    CASE WHEN message_id % 5 = 0 THEN 'spam' WHEN message_id % 7 = 0 THEN 'nonsense' WHEN message_id % 11 = 0 THEN '' END AS corrected, 1 AS decided_at
   FROM items WHERE message_id % 2 = 0
   UNION ALL SELECT item_id, 'approve', NULL, 2 FROM items WHERE message_id % 3 = 0),
 valid AS (SELECT * FROM decided WHERE corrected IS NULL OR corrected <> 'nonsense'),
-first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY at) AS rn FROM valid) WHERE rn = 1),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY decided_at) AS rn FROM valid) WHERE rn = 1),
 resolved AS (SELECT i.item_id, i.message_id, i.text, f.decision, CASE WHEN f.decision = 'approve' THEN coalesce(nullif(f.corrected, ''), i.label) END AS final_label
   FROM items i JOIN first f USING (item_id))"""
 
@@ -768,21 +769,65 @@ def metrics_counters(spark, sf_dir):
     return metrics.counters(_full(spark, sf_dir))
 
 
-@query("drift_hourly", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS label, count(*) AS messages,
+_DRIFT_SQL = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS label, count(*) AS messages,
   count(*) FILTER (c >= 0.4 AND c <= 0.6) AS review_queue, count(*) FILTER (user_id % 10 = 0) AS outbreak_alerts, round(avg(c), 6) AS mean_confidence
-FROM (SELECT *, value / (value + 10) AS c FROM events) GROUP BY 1, 2""")
-def drift_hourly(spark, sf_dir):
-    scored = table(spark, sf_dir, "events").select(
+FROM (SELECT *, value / (value + 10) AS c FROM events) GROUP BY 1, 2"""
+
+
+def _scored_events(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"),
         (F.col("value") / (F.col("value") + 10)).alias("confidence"), (F.col("user_id") % 10 == 0).alias("is_outbreak_candidate"),
     ).withColumn("needs_review", review.needs_human_review("confidence"))
-    hourly = metrics.windowed_metrics(scored)
-    return hourly.select(
+
+
+def _hourly(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label", "messages", "review_queue",
         "outbreak_alerts", F.round("mean_confidence", 6).alias("mean_confidence"),
     )
 
 
+@query("drift_hourly", _DRIFT_SQL)
+def drift_hourly(spark, sf_dir):
+    return _hourly(metrics.windowed_metrics(_scored_events(table(spark, sf_dir, "events"))))
+
+
+@query("drift_stream", _DRIFT_SQL)
+def drift_stream(spark, sf_dir):
+    """The same numbers from a stream over the event files."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    work = jobs.scratch(spark)
+    started = jobs.start_metrics_stream(_scored_events(stream), f"{work}/out", f"{work}/state")
+    jobs.finish(started)
+    return _hourly(spark.read.parquet(f"{work}/out"))
+
+
+@query("classify_stream", f"""WITH {SCORED}, {simhash_sql('cleaned', 'message_id', 'clean')},
+flags AS (SELECT DISTINCT x.message_id FROM fps x JOIN fps y ON y.message_id < x.message_id
+  WHERE bit_count(xor(x.fp, y.fp)) <= 6 AND (x.message_id - y.message_id) * 7 < 1500)
+SELECT r.message_id, label, round(confidence, 6) AS confidence, needs_review, f.message_id IS NOT NULL AS outbreak
+FROM reviewed r LEFT JOIN flags f USING (message_id)""")
+def classify_stream(spark, sf_dir):
+    """All messages as a stream of four micro-batches in time order, outbreaks within the TTL."""
+    work = jobs.scratch(spark)
+    view = messages(spark, sf_dir)
+    last = view.agg(F.max("message_id")).first()[0]
+    for i in range(4):
+        low, high = i * (last + 1) // 4, (i + 1) * (last + 1) // 4
+        part = view.filter((F.col("message_id") >= low) & (F.col("message_id") < high))
+        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(view.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    started = jobs.start_classification_stream(
+        stream, hash_scorer(), work, f"{work}/state", ttl_seconds=1500, hash_fn="md5"
+    )
+    jobs.finish(started)
+    return jobs.read_results(spark, work).select(
+        "message_id", "label", F.round("confidence", 6).alias("confidence"), "needs_review", F.col("is_outbreak_candidate").alias("outbreak")
+    )
+
+
 # --- synthetic data ------------------------------------------------------------------
 
 
