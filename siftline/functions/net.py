@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from siftline.functions.draws import let
 from siftline.functions.urls import url_authority, url_host, url_scheme
 
 # IPv4 ranges a resolved host must not fall into (special-purpose registry,
@@ -80,12 +81,15 @@ def _blocked_ipv6(address: pd.Series) -> pd.Series:
 
 def is_blocked_ipv4(address: Column | str) -> Column:
     """Native range test; null when the value is not a dotted quad."""
-    number = ipv4_number(address)
-    blocked = F.lit(False)
-    for cidr in BLOCKED_IPV4:
-        low, high = _cidr_bounds(cidr)
-        blocked = blocked | number.between(low, high)
-    return blocked & ~_col(address).isin(*ALLOWED_IPV4)
+
+    def in_a_range(number: Column) -> Column:
+        blocked = F.lit(False)
+        for cidr in BLOCKED_IPV4:
+            low, high = _cidr_bounds(cidr)
+            blocked = blocked | number.between(low, high)
+        return blocked
+
+    return let(ipv4_number(address), in_a_range) & ~_col(address).isin(*ALLOWED_IPV4)
 
 
 def is_blocked_ip(address: Column | str) -> Column:

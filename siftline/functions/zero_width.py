@@ -22,7 +22,8 @@ ZERO_WIDTH = (
     "\u2063"  # invisible separator
     "\u2064"  # invisible plus
 )
-_CLASS = f"[{ZERO_WIDTH}]"
+# The same characters as ranges: a short class is tested faster than a list of characters.
+_CLASS = "[\\u200b-\\u200f\\u2060-\\u2064\\ufeff\\u180e]"
 
 
 def _col(text: Column | str) -> Column:

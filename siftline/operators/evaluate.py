@@ -90,7 +90,7 @@ def focal_loss_summary(df: DataFrame, loss: Column, *, reduction: str = "mean")
 
 
 def best_label(probabilities: Column | str, labels: Sequence[str] = MODEL_LABELS) -> Column:
-    """STRUCT<p, label> of the most probable label; ties go to the lowest label id."""
+    """STRUCT<p, order, label> of the most probable label; ties go to the lowest label id."""
     column = F.col(probabilities) if isinstance(probabilities, str) else probabilities
 
     def choose(p: Column) -> Column:
@@ -100,10 +100,9 @@ def best_label(probabilities: Column | str, labels: Sequence[str] = MODEL_LABELS
                 for i, name in enumerate(labels)
             ]
         )
-        return F.array_max(options)
+        return F.when(p.isNotNull(), F.array_max(options))
 
-    best = let(column, choose)
-    return F.when(column.isNotNull(), F.struct(best["p"].alias("p"), best["label"].alias("label")))
+    return let(column, choose)
 
 
 def regression_cases(predictions: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def hash_scorer() -> flow.Scorer:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.classify(spread(messages(spark, sf_dir), "message_id"), hash_scorer())
+    return flow.classify(messages(spark, sf_dir), hash_scorer())
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +260,7 @@ def otp_rule(spark, sf_dir):
   count(*) AS messages FROM signals GROUP BY ALL""")
 def signal_summary(spark, sf_dir):
     """Flagship: every text signal in one pass, then one small aggregation."""
-    seen = spread(messages(spark, sf_dir), "message_id").withColumn("seen", zero_width.strip_zero_width("text"))
+    seen = messages(spark, sf_dir).withColumn("seen", zero_width.strip_zero_width("text"))
     cleaned = seen.withColumn("is_mixed", confusables.is_homoglyph_attack("seen")).withColumn(
         "clean", confusables.strip_confusables("seen")
     )
@@ -291,7 +291,7 @@ FROM parts""")
 def ip_classify(spark, sf_dir):
     first = F.array(*[F.lit(x) for x in (10, 127, 192, 172, 100, 169, 8, 224, 240, 198, 203, 11)])
     second = F.array(*[F.lit(x) for x in (168, 16, 64, 254, 0, 18, 51, 31, 77)])
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
     quad = F.concat_ws(
         ".", F.get(first, (F.col("event_id") % 12).cast("int")).cast("string"),
         F.get(second, (F.col("user_id") % 9).cast("int")).cast("string"),
@@ -380,7 +380,7 @@ SIMHASH_SQL = f"WITH {CLEANED}, {simhash_sql('cleaned', 'message_id', 'clean')}"
 
 
 def _fingerprints(spark, sf_dir, **kw) -> DataFrame:
-    return outbreak.fingerprint_messages(spread(messages(spark, sf_dir), "message_id"), hash_fn="md5", **kw)
+    return outbreak.fingerprint_messages(messages(spark, sf_dir), hash_fn="md5", **kw)
 
 
 @query("simhash_fp", SIMHASH_SQL + " SELECT message_id, fp FROM fps")
@@ -397,7 +397,7 @@ def simhash_bands(spark, sf_dir):
 
 @query("simhash_blake2b")
 def simhash_blake2b(spark, sf_dir):
-    return outbreak.fingerprint_messages(spread(messages(spark, sf_dir), "message_id")).select("message_id", "fp")
+    return outbreak.fingerprint_messages(messages(spark, sf_dir)).select("message_id", "fp")
 
 
 def _pairs(spark, sf_dir, threshold):
@@ -428,7 +428,7 @@ best AS (SELECT message_id, min(d) AS d, count(DISTINCT d) AS levels, arg_min(ot
 SELECT f.message_id, f.fp AS fingerprint, b.d IS NOT NULL AS is_outbreak_candidate, 1.0::DOUBLE - b.d / 64.0::DOUBLE AS best_similarity,
   CAST(coalesce(b.levels, 0) AS BIGINT) AS levels, b.first_match FROM fps f LEFT JOIN best b USING (message_id)""")
 def outbreak_flags(spark, sf_dir):
-    flags = outbreak.detect_outbreaks(spread(messages(spark, sf_dir), "message_id"), hash_fn="md5")
+    flags = outbreak.detect_outbreaks(messages(spark, sf_dir), hash_fn="md5")
     return flags.select(
         "message_id", "fingerprint", "is_outbreak_candidate", "best_similarity",
         F.size("matches").cast("long").alias("levels"), F.get("matches", F.lit(0))["message_id"].alias("first_match"),
@@ -442,7 +442,7 @@ best AS (SELECT message_id, min(d) AS d, count(DISTINCT d) AS levels FROM hits G
 SELECT f.message_id, b.d IS NOT NULL AS is_outbreak_candidate, 1.0::DOUBLE - b.d / 64.0::DOUBLE AS best_similarity,
   CAST(coalesce(b.levels, 0) AS BIGINT) AS levels FROM fps f LEFT JOIN best b USING (message_id)""")
 def outbreak_flags_ttl(spark, sf_dir):
-    flags = outbreak.detect_outbreaks(spread(messages(spark, sf_dir), "message_id"), hash_fn="md5", ttl_seconds=1500)
+    flags = outbreak.detect_outbreaks(messages(spark, sf_dir), hash_fn="md5", ttl_seconds=1500)
     return flags.select(
         "message_id", "is_outbreak_candidate", "best_similarity", F.size("matches").cast("long").alias("levels")
     )
@@ -454,7 +454,7 @@ FROM fps x JOIN messages m ON m.message_id = x.message_id JOIN fps y ON y.messag
 WHERE m.lang = 'de' AND bit_count(xor(x.fp, y.fp)) <= 6""")
 def new_batch_lookup(spark, sf_dir):
     """Full match lists of one incoming batch (the German messages) against all messages."""
-    view = spread(messages(spark, sf_dir), "message_id")
+    view = messages(spark, sf_dir)
     fps = materialize(outbreak.fingerprint_messages(view, hash_fn="md5"))
     batch = fps.join(view.filter(F.col("lang") == "de").select("message_id"), "message_id")
     return outbreak.similar_messages(batch, fps)
@@ -753,7 +753,7 @@ full_ AS (SELECT r.*, f.message_id IS NOT NULL AS outbreak FROM reviewed r LEFT
 
 
 def _full(spark, sf_dir) -> DataFrame:
-    return flow.classify_with_outbreaks(spread(messages(spark, sf_dir), "message_id"), hash_scorer(), hash_fn="md5")
+    return flow.classify_with_outbreaks(messages(spark, sf_dir), hash_scorer(), hash_fn="md5")
 
 
 @query("classify_with_outbreaks", FULL_SQL + " SELECT message_id, label, round(confidence, 6) AS confidence, needs_review, outbreak FROM full_")

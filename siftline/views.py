@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.session import spread
+
 MESSAGES = """
 SELECT doc_id AS message_id,
        CASE CAST(doc_id % 12 AS INT)
@@ -38,6 +40,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, text, lang, source, ts. ``ts`` counts seven seconds per document."""
     from pyspark.sql import functions as F
 
-    view = spark.sql(MESSAGES, documents=documents(spark, sf_dir))
+    view = spark.sql(MESSAGES, documents=spread(documents(spark, sf_dir), "doc_id"))
     start = 1704067200  # 2024-01-01
     return view.withColumn("ts", F.timestamp_seconds(F.lit(start) + F.col("seconds"))).drop("seconds")
