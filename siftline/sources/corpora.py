@@ -163,7 +163,8 @@ def read_label_folders(spark: SparkSession, root: str, folders: Mapping[str, str
 
 def read_split_files(spark: SparkSession, folder: str, columns: Sequence[str] = ("text", "label")) -> DataFrame:
     """Union of all split files of a dataset, further columns ignored."""
-    return spark.read.parquet(folder).select(*columns).withColumn(SEQ, F.monotonically_increasing_id())
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.parquet(folder).select(*columns).withColumn(SEQ, F.monotonically_increasing_id())
 
 
 def load_source(spark: SparkSession, spec: SourceSpec, path: str) -> DataFrame:
@@ -207,7 +208,7 @@ def available_sources(
         if spec.name in skip:
             path = None
         elif spec.split_files:
-            path = folder if not list_files(spark, folder, "*.parquet").isEmpty() else None
+            path = folder if not list_files(spark, folder, "*.parquet", recursive=True).isEmpty() else None
         elif spec.label_folders:
             path = folder if not list_files(spark, folder, recursive=True).isEmpty() else None
         else:
