@@ -8,6 +8,9 @@ from siftline.operators.skew import lookup_join
 from siftline.session import materialize
 
 
+SMALL = 500_000
+
+
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     """Per node u: the smallest of u and its neighbours, and how many edges u has."""
     return edges.groupBy("u").agg(
@@ -15,6 +18,14 @@ def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     )
 
 
+def _hub_join(edges: DataFrame, smallest: DataFrame) -> DataFrame:
+    return lookup_join(edges, smallest, ["u"], weight="n", how="inner")
+
+
+def _plain_join(edges: DataFrame, smallest: DataFrame) -> DataFrame:
+    return edges.join(smallest.drop("n"), "u")
+
+
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected edge table (u, v) with the smallest node it can reach.
 
@@ -29,18 +40,20 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    state = None
+    rows, state = current.count(), None
     for _ in range(max_rounds):
+        # Small edge tables need neither hot-key handling nor intermediate checkpoints.
+        keep = materialize if rows >= SMALL else (lambda df: df)
+        join = _hub_join if rows >= SMALL else _plain_join
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = materialize(_smallest_neighbour(both))
-        large = materialize(
-            lookup_join(both, smallest, ["u"], weight="n", how="inner")
+        large = keep(
+            join(both, keep(_smallest_neighbour(both)))
             .filter(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        smallest = materialize(_smallest_neighbour(large))
-        hung = lookup_join(large, smallest, ["u"], weight="n", how="inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smallest = keep(_smallest_neighbour(large))
+        hung = join(large, smallest).select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialize(
             hung.unionByName(smallest.select("u", F.col("m").alias("v")))
             .filter(F.col("u") != F.col("v"))
@@ -49,7 +62,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         new_state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if new_state == state:
             break
-        state = new_state
+        rows, state = new_state[0], new_state
     else:
         raise RuntimeError("components did not converge")
     hubs = current.select(F.col("v").alias("node")).distinct()

@@ -109,14 +109,19 @@ def classify(
     )
     prepared = signalled.withColumn("model_text", F.when(~F.col("_is_otp"), mark_all("cleaned_text")))
     scored = scorer(prepared).withColumn("_best", best_label("probabilities", labels))
-    rule = F.create_map(F.lit(OTP), F.lit(OTP_CONFIDENCE))
-    return (
-        scored.withColumn("label", F.when(F.col("_is_otp"), OTP).otherwise(F.col("_best.label")))
-        .withColumn("confidence", F.when(F.col("_is_otp"), OTP_CONFIDENCE).otherwise(F.col("_best.p")))
-        .withColumn("probabilities", F.when(F.col("_is_otp"), rule).otherwise(F.col("probabilities")))
-        .withColumn("needs_review", needs_human_review("confidence"))
-        .drop("_is_otp", "_best", "model_text")
+    is_otp = F.col("_is_otp")
+    confidence = F.when(is_otp, OTP_CONFIDENCE).otherwise(F.col("_best.p"))
+    verdict = F.struct(
+        F.when(is_otp, OTP).otherwise(F.col("_best.label")).alias("label"),
+        confidence.alias("confidence"),
+        F.when(is_otp, F.create_map(F.lit(OTP), F.lit(OTP_CONFIDENCE))).otherwise(F.col("probabilities")).alias("probabilities"),
+        needs_human_review(confidence).alias("needs_review"),
     )
+    # Emitted as a one-element array: a later filter on the verdict is then applied to the
+    # finished columns, where a plain projection would have the optimizer copy the whole
+    # scoring expression into the filter.
+    kept = [c for c in scored.columns if c not in ("_is_otp", "_best", "model_text", "probabilities")]
+    return scored.select(*kept, F.inline(F.array(verdict)))
 
 
 def classify_with_outbreaks(

@@ -937,3 +937,91 @@ SELECT url, CASE WHEN k % 25 = 13 THEN concat('DNS resolution failed for h', CAS
 def url_safety(spark, sf_dir):
     starts, _, dns = _crawl(spark, sf_dir)
     return redirects.url_safety(starts.distinct(), dns)
+
+
+# --- sources and sinks ---------------------------------------------------------------
+
+
+@query("source_semicolon_csv", """SELECT text, CASE WHEN lang = 'en' THEN 'spam' ELSE 'bilgilendirme' END AS label, 'turkish_sms_collection' AS source, 'tr' AS lang
+FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, lang FROM documents) WHERE text <> '' AND lower(text) <> 'nan'""")
+def source_semicolon_csv(spark, sf_dir):
+    """Whole documents through a semicolon file with quoted line breaks, found and read as a corpus."""
+    from siftline.sources.corpora import SOURCES, load_source
+
+    path = f"{jobs.scratch(spark)}/sms.csv"
+    docs = documents(spark, sf_dir)
+    rows = docs.select(F.col("text").alias("Message"), F.lit(2).alias("Group"), F.when(F.col("lang") == "en", "Spam").otherwise("Normal").alias("GroupText"))
+    rows.write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    return load_source(spark, SOURCES[0], path).select("text", "label", "source", "lang")
+
+
+@query("source_split_files", """SELECT text, CASE WHEN toxic = 1 THEN 'spam' ELSE 'bilgilendirme' END AS label
+FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, toxic FROM documents JOIN labels USING (doc_id)) WHERE text <> ''""")
+def source_split_files(spark, sf_dir):
+    """Judged documents as train and validation files, read back as one corpus."""
+    from siftline.sources.corpora import SOURCES, load_source
+
+    folder = jobs.scratch(spark)
+    judged = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = judged.select("doc_id", "text", F.when(F.col("toxic") == 1, "spam").otherwise("legitimate").alias("label"), F.col("n_chars").alias("sms_length"))
+    for i, name in enumerate(("train", "validation")):
+        rows.filter(F.col("doc_id") % 2 == i).drop("doc_id").write.parquet(f"{folder}/{name}.parquet")
+    return load_source(spark, SOURCES[4], folder).select("text", "label")
+
+
+@query("decision_log", f"""WITH {POOL_SQL} SELECT text, label, original_label, original_source, 'manual' AS method FROM decisions
+UNION ALL SELECT text, CASE WHEN regexp_matches(text, '{rules.MIME_GARBLE}') THEN 'skip'
+  WHEN regexp_matches(text, '{rules.GAMBLING.replace(urls.FLAGS, "(?i)")}') OR regexp_matches(text, '{rules.ADULT.replace(urls.FLAGS, "(?i)")}') THEN 'spam'
+  ELSE 'reklam' END, original_label, original_source, 'bulk_rule' FROM undecided WHERE original_label = 'spam'""")
+def decision_log(spark, sf_dir):
+    """Manual decisions, then the bulk rule committed for everything still undecided."""
+    from siftline.sources.tables import append_decisions, read_decisions
+
+    path = f"{jobs.scratch(spark)}/log"
+    append_decisions(_decisions(spark, sf_dir), path)
+    left = relabel.undecided(relabel.candidate_pool(_pool_corpus(spark, sf_dir)), read_decisions(spark, path))
+    append_decisions(materialize(relabel.bulk_decisions(left)), path)
+    return read_decisions(spark, path)
+
+
+@query("corpus_sink", f"WITH {MERGED_SQL} SELECT text, label, source, lang, '{{}}' AS extra FROM merged")
+def corpus_sink(spark, sf_dir):
+    """The merged corpus as written to Parquet, extra fields as JSON."""
+    from siftline.sources.tables import write_corpus
+
+    _, path = write_corpus(dedup.priority_merge(_merge_frames(spark, sf_dir)), jobs.scratch(spark))
+    return spark.read.parquet(path)
+
+
+@query("split_sink", f"WITH {TRAIN_SQL} SELECT text, label, lang, CAST(doc_id AS VARCHAR) AS origin FROM split WHERE split = 'test'")
+def split_sink(spark, sf_dir):
+    """Splits written as a partitioned table; the test split read back prunes the others."""
+    from siftline.sources.tables import read_split, write_splits
+
+    path = f"{jobs.scratch(spark)}/splits"
+    extra = F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))
+    write_splits(training.split_dataset(_corpus(spark, sf_dir)).withColumn("extra", extra), path)
+    return read_split(spark, path, "test").select("text", "label", "lang", F.col("extra")["doc_id"].alias("origin"))
+
+
+@query("seed_scan", "SELECT text, 'reklam' AS label, 'synthetic_seed' AS source, 'tr' AS lang, source AS notes FROM documents")
+def seed_scan(spark, sf_dir):
+    """Documents as a seed file in JSON lines."""
+    from siftline.sources.tables import read_seeds
+
+    folder = jobs.scratch(spark)
+    rows = documents(spark, sf_dir).select(F.lit(S.REKLAM).alias("category"), "text", F.col("source").alias("notes"))
+    rows.write.json(folder)
+    return read_seeds(spark, folder).select("text", "label", "source", "lang", F.col("extra")["notes"].alias("notes"))
+
+
+@query("training_corpus")
+def training_corpus(spark, sf_dir):
+    """Decisions over documents over synthetic variants, deduplicated by priority."""
+    from siftline.plans.corpus import training_corpus as build
+
+    docs = documents(spark, sf_dir)
+    public = docs.select(*S.record_columns(F.col("text"), F.lit(S.BILGILENDIRME), F.col("source"), F.col("lang")), F.col("doc_id").alias("_seq"))
+    seeds = _seed_records(spark, sf_dir).drop("doc_id")
+    built = build(decisions=_decisions(spark, sf_dir), sources={"documents": lambda: public}, seeds=seeds, n_per_seed=1)
+    return dedup.corpus_summary(built, ("label", "lang"))

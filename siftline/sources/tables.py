@@ -19,8 +19,8 @@ CONFIRMED_SCHEMA = "text string, label string, source string, lang string"
 def read_seeds(spark: SparkSession, folder: str, *, lang: str = "tr") -> DataFrame:
     """Seed records from YAML files (category, examples with text and optional notes).
 
-    Files are parsed inside the job, one row per file. JSON-lines files with the columns
-    category, text, notes are read as well.
+    Files are parsed inside the job, one row per file. JSON-lines files (.json, .jsonl) with the
+    columns category, text, notes are read as well.
     """
     labels = LABELS
 
@@ -42,9 +42,9 @@ def read_seeds(spark: SparkSession, folder: str, *, lang: str = "tr") -> DataFra
         .mapInPandas(parse, "path string, at long, category string, text string, notes string")
     )
     rows = yamls
-    if not list_files(spark, folder, "*.jsonl").isEmpty():
+    if not list_files(spark, folder, "*.json*").isEmpty():
         lines = (
-            spark.read.schema("category string, text string, notes string").option("pathGlobFilter", "*.jsonl").json(folder)
+            spark.read.schema("category string, text string, notes string").option("pathGlobFilter", "*.json*").json(folder)
             .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "category", "text", "notes")
         )
         known = F.when(F.col("category").isin(*labels), F.col("category")).otherwise(
