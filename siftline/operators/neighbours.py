@@ -40,9 +40,13 @@ def max_distance(threshold: float, hash_bits: int = 64) -> int:
     return max(d for d in range(hash_bits + 1) if d == 0 or 1.0 - d / hash_bits >= threshold)
 
 
-def key_schemes(distance: int, rows: int, *, num_bands: int = 8, hash_bits: int = 64) -> list[KeyScheme]:
+def key_schemes(
+    distance: int, rows: int, other: int | None = None, *, num_bands: int = 8, hash_bits: int = 64
+) -> list[KeyScheme]:
     """Exact key schemes from the cheapest for this many rows to ever longer keys.
 
+    ``other`` is the size of the second side; without it the join is within one set.
+
     The estimate weighs rows shuffled against candidate pairs. Bits of text fingerprints
     are correlated, so a key is credited with about two thirds of its length.
     """
@@ -51,8 +55,9 @@ def key_schemes(distance: int, rows: int, *, num_bands: int = 8, hash_bits: int
     options = [o for o in dict.fromkeys(options) if o.keys <= MAX_KEYS]
 
     def cost(o: KeyScheme) -> float:
-        candidates = rows * rows / 2 / 2 ** (o.key_bits(hash_bits) * 0.65)
-        return o.keys * (10 * rows + candidates)
+        compared = rows * rows / 2 if other is None else rows * other
+        candidates = compared / 2 ** (o.key_bits(hash_bits) * 0.65)
+        return o.keys * (10 * (rows + (other or 0)) + candidates)
 
     best = min(options, key=cost)
     finer = sorted(
@@ -84,7 +89,7 @@ def _agreeing_blocks(difference: Column, blocks: int, hash_bits: int) -> Column:
 
 
 def _join(left: DataFrame, right: DataFrame, scheme: KeyScheme, distance: int, num_bands: int, hash_bits: int, self_join: bool) -> DataFrame:
-    a = left.select(F.col("fp").alias("fp_a"), "k", "v")
+    a = left.withColumnRenamed("fp", "fp_a")
     b = right.select(F.col("fp").alias("fp_b"), "k", "v")
     pairs = a.join(b, ["k", "v"])
     if self_join:
@@ -123,6 +128,10 @@ def near_pairs(
     Without ``right`` the pairs are unordered (fp_a < fp_b) within ``left``; with it,
     every (left, right) pair including equal fingerprints. Output: fp_a, fp_b, distance.
 
+    A ``left`` side small enough to broadcast with its keys (checked by count) is probed
+    while ``right`` is scanned; ``right`` is then neither shuffled nor copied and may hold
+    a fingerprint several times (its pairs repeat as often).
+
     Keys shared by more than ``bucket_limit`` fingerprints are not joined directly.
     Their fingerprints go on to a scheme with longer keys, which is exact by itself, so
     no pair is lost and a crowded bucket does not cost its square.
@@ -131,11 +140,15 @@ def near_pairs(
         raise ValueError(f"hash_bits ({hash_bits}) must be divisible by num_bands ({num_bands})")
     distance = max_distance(threshold, hash_bits)
     self_join = right is None
-    rows = left.count() if self_join else max(left.count(), right.count())
-    schemes = key_schemes(distance, rows, num_bands=num_bands, hash_bits=hash_bits)
+    sizes = [left.count()] if self_join else [left.count(), right.count()]
+    rows = max(sizes)
+    schemes = key_schemes(distance, *sizes, num_bands=num_bands, hash_bits=hash_bits)
     if scheme is not None:
         bits = scheme.key_bits(hash_bits)
         schemes = [scheme, *[s for s in key_schemes(distance, 1, num_bands=num_bands, hash_bits=hash_bits) if s.key_bits(hash_bits) > bits]]
+    elif not self_join and sizes[0] * schemes[0].keys <= BROADCAST_ROWS and sizes[0] <= sizes[1]:
+        probe = F.broadcast(_keyed(left, schemes[0], hash_bits))
+        return _join(probe, _keyed(right, schemes[0], hash_bits), schemes[0], distance, num_bands, hash_bits, False)
     found = []
     for level, current in enumerate(schemes):
         keyed_left = _keyed(left, current, hash_bits)

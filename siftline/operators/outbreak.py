@@ -13,7 +13,7 @@ from siftline.functions.confusables import strip_confusables
 from siftline.functions.hashing import simhash
 from siftline.functions.zero_width import strip_zero_width
 from siftline.operators.components import connected_components
-from siftline.operators.neighbours import near_pairs
+from siftline.operators.neighbours import BROADCAST_ROWS, near_pairs
 from siftline.operators.skew import lookup_join
 from siftline.session import materialize
 
@@ -165,20 +165,27 @@ def match_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """Verdicts for a new batch against itself and an index of earlier summaries.
 
-    ``index`` has the columns of :func:`fingerprint_groups` from earlier batches. Returns
-    (verdicts, the batch's own summaries to add to the index). The batch is keyed and
-    joined to the index; the index is never joined to itself.
+    ``index`` has the columns of :func:`fingerprint_groups` from earlier batches, in any
+    number of rows per fingerprint. Returns (verdicts, the batch's own summaries to add to
+    the index). A batch that is small next to the index is broadcast (by count), so the
+    index is only scanned: once for its fingerprints, once for the rows that matched.
     """
     groups = materialize(fingerprint_groups(fps, ttl_seconds=ttl_seconds))
+    new_fps = materialize(groups.select("fp").distinct())
+    options = {"threshold": threshold, "num_bands": num_bands, "hash_bits": hash_bits}
+    within = neighbourhood(new_fps, near_pairs(new_fps, **options))
+    across = near_pairs(new_fps, index.select("fp"), **options)
+    known = across.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("near_fp"), "distance")
+    near = materialize(within.unionByName(known).distinct())
+    touched = near.select(F.col("near_fp").alias("fp")).distinct()
+    if touched.count() <= BROADCAST_ROWS:
+        touched = F.broadcast(touched)
+    seen = index.join(touched, "fp", "left_semi")
     merged = materialize(
-        groups.unionByName(index.select("fp", "bucket", "first", "last", F.lit(0).cast("long").alias("n")))
+        groups.unionByName(seen.select("fp", "bucket", "first", "last", F.lit(0).cast("long").alias("n")))
         .groupBy("fp", "bucket")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     )
-    new_fps = groups.select("fp").distinct()
-    known = merged.select("fp").distinct()
-    pairs = near_pairs(new_fps, known, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)
-    near = pairs.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("near_fp"), "distance")
     return _attach(fps, merged, near, hash_bits, ttl_seconds), groups
 
 

@@ -73,16 +73,18 @@ def ranked(
     ``groups`` must have few distinct values, such as labels; draws must differ between
     rows, so seed them with a row key.
     """
-    keys = [*groups, "_slice"]
-    sliced = df.withColumn("_slice", F.substring(draw, 1, digits))
+    # A struct is never null itself, so rows with a null group value are ranked as well.
+    group = F.struct(*groups) if groups else F.lit(0)
+    keys = ["_group", "_slice"]
+    sliced = df.withColumn("_group", group).withColumn("_slice", F.substring(draw, 1, digits))
     counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*groups).orderBy("_slice")
+    ordered = Window.partitionBy("_group").orderBy("_slice")
     counts = counts.withColumn(
         "_before", F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     if size:
-        counts = counts.withColumn(size, F.sum("_n").over(Window.partitionBy(*groups)))
+        counts = counts.withColumn(size, F.sum("_n").over(Window.partitionBy("_group")))
     inside = Window.partitionBy(*keys).orderBy(draw, *ties)
     numbered = sliced.withColumn("_local", F.row_number().over(inside))
     joined = numbered.join(counts.drop("_n"), keys)
-    return joined.withColumn(rank, F.col("_before") + F.col("_local")).drop("_slice", "_before", "_local")
+    return joined.withColumn(rank, F.col("_before") + F.col("_local")).drop("_group", "_slice", "_before", "_local")

@@ -77,7 +77,7 @@ def detect_batch(
     template = fingerprint_groups(fps, ttl_seconds=ttl_seconds)
     span = fps.agg(F.min(F.unix_seconds("ts")).alias("low")).first()
     oldest = None if span["low"] is None else span["low"] // ttl_seconds - 1
-    index = materialize(_earlier_summaries(spark, index_path, batch_id, oldest, template))
+    index = _earlier_summaries(spark, index_path, batch_id, oldest, template)
     verdicts, groups = match_batch(
         fps, index, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits, ttl_seconds=ttl_seconds
     )
