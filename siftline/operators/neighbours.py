@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions.hashing import block_keys, block_masks, signed64
+from siftline.operators.skew import lookup_join
 from siftline.session import materialize
 
 MAX_KEYS = 1000
@@ -179,3 +180,24 @@ def near_pairs(
     for part in found[1:]:
         merged = merged.unionByName(part)
     return merged.distinct()
+
+
+def centres(fps: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64) -> DataFrame:
+    """fp, centre: fingerprints lying within half the allowed distance of a common one.
+
+    Any two fingerprints with the same centre are therefore near duplicates of each other,
+    which settles a dense crowd of variants without comparing them pairwise. Each
+    fingerprint takes the centre of the most crowded key it shares; those without company
+    are left out. Empty where the band rule could exclude a pair.
+    """
+    distance = max_distance(threshold, hash_bits)
+    if distance >= num_bands:
+        return fps.select("fp", F.col("fp").alias("centre")).limit(0)
+    radius = distance // 2
+    keyed = _keyed(fps, KeyScheme(radius + 5, 5), hash_bits)
+    crowds = materialize(
+        keyed.groupBy("k", "v").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    )
+    sized = lookup_join(keyed, crowds.withColumn("crowd", F.col("n")), ["k", "v"], weight="n", how="inner")
+    inside = sized.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= radius)
+    return inside.groupBy("fp").agg(F.max(F.struct("crowd", "centre")).alias("best")).select("fp", "best.centre")

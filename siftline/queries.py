@@ -448,6 +448,15 @@ def outbreak_flags_ttl(spark, sf_dir):
     )
 
 
+@query("outbreak_crowds", SIMHASH_SQL + """,
+hits AS (SELECT DISTINCT x.message_id FROM fps x JOIN fps y ON y.message_id < x.message_id WHERE bit_count(xor(x.fp, y.fp)) <= 6)
+SELECT f.message_id, f.fp AS fingerprint, h.message_id IS NOT NULL AS is_outbreak_candidate FROM fps f LEFT JOIN hits h USING (message_id)""")
+def outbreak_crowds(spark, sf_dir):
+    """Flags only, without listing near-duplicate pairs."""
+    flags = outbreak.flag_crowds(materialize(_fingerprints(spark, sf_dir)))
+    return flags.select("message_id", "fingerprint", "is_outbreak_candidate")
+
+
 @query("new_batch_lookup", SIMHASH_SQL + """
 SELECT x.message_id, y.message_id AS similar_id, 1.0::DOUBLE - bit_count(xor(x.fp, y.fp)) / 64.0::DOUBLE AS similarity
 FROM fps x JOIN messages m ON m.message_id = x.message_id JOIN fps y ON y.message_id < x.message_id
