@@ -113,6 +113,16 @@ def _join(left: DataFrame, right: DataFrame, scheme: KeyScheme, distance: int, n
     return pairs.select("fp_a", "fp_b", F.bit_count(difference).alias("distance"))
 
 
+def _crowded(left: DataFrame, right: DataFrame, self_join: bool, limit: int) -> DataFrame:
+    """Keys whose join would compare more than ``limit`` squared pairs."""
+    there = right.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    if self_join:
+        return there.filter(F.col("n") > limit).select("k", "v")
+    here = left.groupBy("k", "v").agg(F.count(F.lit(1)).alias("m"))
+    work = F.col("m").cast("double") * F.col("n")
+    return here.join(there, ["k", "v"]).filter(work > float(limit) * limit).select("k", "v")
+
+
 def near_pairs(
     left: DataFrame,
     right: DataFrame | None = None,
@@ -133,7 +143,8 @@ def near_pairs(
     while ``right`` is scanned; ``right`` is then neither shuffled nor copied and may hold
     a fingerprint several times (its pairs repeat as often).
 
-    Keys shared by more than ``bucket_limit`` fingerprints are not joined directly.
+    Keys shared by more than ``bucket_limit`` fingerprints (between two sets: by more than
+    its square in pairs) are not joined directly.
     Their fingerprints go on to a scheme with longer keys, which is exact by itself, so
     no pair is lost and a crowded bucket does not cost its square.
     """
@@ -157,9 +168,7 @@ def near_pairs(
         last = level == len(schemes) - 1 or rows <= bucket_limit
         hot = None
         if not last:
-            hot = materialize(
-                keyed_right.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("k", "v")
-            )
+            hot = materialize(_crowded(keyed_left, keyed_right, self_join, bucket_limit))
             hot_rows = hot.count()
             if hot_rows == 0:
                 hot, last = None, True
@@ -182,22 +191,52 @@ def near_pairs(
     return merged.distinct()
 
 
-def centres(fps: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64) -> DataFrame:
-    """fp, centre: fingerprints lying within half the allowed distance of a common one.
-
-    Any two fingerprints with the same centre are therefore near duplicates of each other,
-    which settles a dense crowd of variants without comparing them pairwise. Each
-    fingerprint takes the centre of the most crowded key it shares; those without company
-    are left out. Empty where the band rule could exclude a pair.
+def bucket_representatives(
+    groups: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64, ttl: bool = False
+) -> DataFrame:
+    """Per (fp, bucket): an early near duplicate in the bucket and a late one in the bucket before.
+
+    ``groups`` has fp, bucket, first, last, n, where first and last are
+    (ts, message_id, fp). Fingerprints sharing a key are represented by the earliest and
+    the latest message among them, and each fingerprint is compared with the
+    representatives of its keys and with itself, so the work is linear however crowded a
+    key is. What is found is a true near duplicate; one that is missed must be looked up
+    with :func:`near_pairs`. Output: fp, bucket, first, before, n.
     """
     distance = max_distance(threshold, hash_bits)
-    if distance >= num_bands:
-        return fps.select("fp", F.col("fp").alias("centre")).limit(0)
-    radius = distance // 2
-    keyed = _keyed(fps, KeyScheme(radius + 5, 5), hash_bits)
-    crowds = materialize(
-        keyed.groupBy("k", "v").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    scheme = KeyScheme(num_bands, max(1, num_bands - distance))
+    masks = block_keys(scheme.blocks, scheme.agree, hash_bits)
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(mask).alias("mask")) for k, mask in masks])
+    keyed = groups.select("*", F.explode(keys).alias("key")).select(
+        "fp", "bucket", "first", "last", F.col("key.k").alias("k"), F.col("fp").bitwiseAND(F.col("key.mask")).alias("v")
+    )
+    order_type = groups.schema["first"].dataType
+    none = F.lit(None).cast(order_type)
+    same = F.struct(F.col("bucket"), F.col("first"), none.alias("before"))
+    later = F.struct((F.col("bucket") + 1).alias("bucket"), none.alias("first"), F.col("last").alias("before"))
+    parts = F.array(same, later) if ttl else F.array(same)
+    entries = keyed.select("k", "v", F.explode(parts).alias("p")).select("k", "v", "p.*")
+    # weight 1 per fingerprint summary of the bucket itself: the rows that will look it up
+    faces = materialize(
+        entries.groupBy("k", "v", "bucket").agg(
+            F.min("first").alias("first"), F.max("before").alias("before"), F.count("first").alias("rows")
+        ).filter(F.col("rows") > 0)
+    )
+    met = lookup_join(keyed.select("fp", "bucket", "k", "v"), faces, ["k", "v", "bucket"], weight="rows", how="inner")
+
+    def close(face: str) -> Column:
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col(face)["fp"])) <= distance
+        return F.when(near, F.col(face))
+
+    found = met.select("fp", "bucket", close("first").alias("first"), close("before").alias("before"), F.lit(0).cast("long").alias("n"))
+    own = groups.select(
+        "fp", F.explode(F.array(
+            F.struct(F.col("bucket"), F.col("first"), none.alias("before"), F.col("n")),
+            *([F.struct((F.col("bucket") + 1).alias("bucket"), none.alias("first"), F.col("last").alias("before"), F.lit(0).cast("long").alias("n"))] if ttl else []),
+        )).alias("p"),
+    ).select("fp", "p.*")
+    return (
+        found.unionByName(own).groupBy("fp", "bucket")
+        .agg(F.min("first").alias("first"), F.max("before").alias("before"), F.sum("n").alias("n"))
+        .filter(F.col("n") > 0)
     )
-    sized = lookup_join(keyed, crowds.withColumn("crowd", F.col("n")), ["k", "v"], weight="n", how="inner")
-    inside = sized.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= radius)
-    return inside.groupBy("fp").agg(F.max(F.struct("crowd", "centre")).alias("best")).select("fp", "best.centre")

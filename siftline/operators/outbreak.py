@@ -13,7 +13,7 @@ from siftline.functions.confusables import strip_confusables
 from siftline.functions.hashing import simhash
 from siftline.functions.zero_width import strip_zero_width
 from siftline.operators.components import connected_components
-from siftline.operators.neighbours import BROADCAST_ROWS, centres, near_pairs
+from siftline.operators.neighbours import BROADCAST_ROWS, bucket_representatives, near_pairs
 from siftline.operators.skew import lookup_join
 from siftline.session import materialize
 
@@ -237,52 +237,38 @@ def flag_crowds(
 ) -> DataFrame:
     """Exact flags with one earlier match per message, without listing near-duplicate pairs.
 
-    For streams where one campaign sends a huge number of slightly different texts. Most
-    of its messages have an earlier one around the same centre and are settled by an
-    aggregate over the crowd. Only the others, such as the first of each crowd, are
-    looked up among all fingerprints. Flags equal those of :func:`flag_fingerprints`.
+    For data in which one campaign sends a huge number of slightly different texts. Nearly
+    all of its messages are settled by :func:`bucket_representatives`, in linear work.
+    Only messages left without a match, such as the first of a campaign, are looked up
+    among all fingerprints. Flags equal those of :func:`flag_fingerprints`.
 
     Output: message_id, ts, fingerprint, is_outbreak_candidate, match_id, similarity (of
     that match).
     """
     options = {"threshold": threshold, "num_bands": num_bands, "hash_bits": hash_bits}
-    bucketed = fps.withColumn("bucket", _bucket(ttl_seconds))
+    keyed_rows = fps.withColumn("bucket", _bucket(ttl_seconds))
+    message = F.struct("ts", "message_id", "fp")
     groups = materialize(
-        bucketed.groupBy("fp", "bucket").agg(
-            F.min(F.struct("ts", "message_id", "fp")).alias("first"),
-            F.max(F.struct("ts", "message_id", "fp")).alias("last"),
-            F.count(F.lit(1)).alias("n"),
+        keyed_rows.groupBy("fp", "bucket").agg(
+            F.min(message).alias("first"), F.max(message).alias("last"), F.count(F.lit(1)).alias("n")
         )
     )
+    level = F.array(F.struct(F.lit(0).alias("distance"), "first", "before"))
+    faces = bucket_representatives(groups, ttl=ttl_seconds is not None, **options)
+    faces = materialize(faces.select("fp", "bucket", level.alias("levels"), "n"))
+
+    def judge(rows: DataFrame, levels: DataFrame) -> DataFrame:
+        joined = lookup_join(rows, levels, ["fp", "bucket"], weight="n", how="inner").withColumn("fingerprint", F.col("fp"))
+        return joined.select("message_id", "ts", "fingerprint", "bucket", *_witness(hash_bits, ttl_seconds))
+
+    settled = materialize(judge(keyed_rows, faces))
+    open_rows = settled.filter(F.col("match_id").isNull()).select("message_id", "ts", F.col("fingerprint").alias("fp"), "bucket")
+    todo = materialize(open_rows.select("fp").distinct())
     known = materialize(groups.select("fp").distinct())
-    home = materialize(
-        known.join(centres(known, **options), "fp", "left")
-        .join(groups.groupBy("fp").agg(F.sum("n").alias("n")), "fp")
-        .select("fp", F.coalesce("centre", "fp").alias("home"), "n")
-    )
-    crowds = (
-        groups.join(home.drop("n"), "fp")
-        .groupBy(F.col("home").alias("fp"), "bucket")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    )
-    itself = home.select(F.col("home").alias("fp"), F.col("home").alias("near_fp"), F.lit(0).alias("distance")).distinct()
-    crowd_levels = materialize(_earliest_by_distance(materialize(crowds), itself, ttl_seconds))
-    placed = lookup_join(bucketed, home, ["fp"], weight="n", how="inner").withColumnRenamed("fp", "fingerprint")
-    settled = materialize(
-        lookup_join(placed.withColumnRenamed("home", "fp"), crowd_levels, ["fp", "bucket"], weight="n", how="inner").select(
-            "message_id", "ts", "fingerprint", "bucket", *_witness(hash_bits, ttl_seconds)
-        )
-    )
-    open_rows = settled.filter(F.col("match_id").isNull())
-    todo = materialize(open_rows.select(F.col("fingerprint").alias("fp")).distinct())
     pairs = near_pairs(todo, known, **options)
     near = pairs.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("near_fp"), "distance")
-    levels = materialize(_earliest_by_distance(groups, near, ttl_seconds))
-    looked_up = lookup_join(
-        open_rows.select("message_id", "ts", F.col("fingerprint").alias("fp"), "bucket"), levels, ["fp", "bucket"], weight="n", how="inner"
-    ).withColumn("fingerprint", F.col("fp"))
-    rest = looked_up.select("message_id", "ts", "fingerprint", *_witness(hash_bits, ttl_seconds))
-    merged = settled.filter(F.col("match_id").isNotNull()).drop("bucket").unionByName(rest)
+    rest = judge(open_rows, materialize(_earliest_by_distance(groups, near, ttl_seconds)))
+    merged = settled.filter(F.col("match_id").isNotNull()).unionByName(rest)
     return merged.select(
         "message_id", "ts", "fingerprint", F.col("match_id").isNotNull().alias("is_outbreak_candidate"), "match_id", "similarity"
     )
