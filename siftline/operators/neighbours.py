@@ -19,6 +19,8 @@ from siftline.session import materialize
 
 MAX_KEYS = 1000
 BROADCAST_ROWS = 1_000_000
+# Shuffling and sorting one keyed row costs about as much as comparing this many pairs.
+ROW_COST = 50
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ def key_schemes(
     def cost(o: KeyScheme) -> float:
         compared = rows * rows / 2 if other is None else rows * other
         candidates = compared / 2 ** (o.key_bits(hash_bits) * 0.65)
-        return o.keys * (10 * (rows + (other or 0)) + candidates)
+        return o.keys * (ROW_COST * (rows + (other or 0)) + candidates)
 
     best = min(options, key=cost)
     finer = sorted(
