@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,25 +27,35 @@ def build_session(app_name: str = "siftline", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, as configured by the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster set it.
 
-    Only a local-mode session with nothing configured gets a temporary folder; on a
-    cluster a missing setting is an error, because executors could not read it back.
+    Where it is unset, as in tests, a sub-folder of the session's warehouse is used, which
+    every task that writes a table has to reach anyway.
     """
-    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return configured or current
     if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="siftline-ckpt-")
-    sc.setCheckpointDir(folder)
-    return folder
+        return configured.rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point reliable checkpoints at the shared folder, unless the session already chose one."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(spark))
+    return shared_folder(spark)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses; it is not created here."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`new_folder`, whatever file system holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
