@@ -152,8 +152,9 @@ def dedup_lines(
     runs.drop()
     drop_stored(spark, lines_path)
     row = docs.select(F.struct("*").alias("row"))
+    # Always the same join: a broadcast would be chosen for small inputs only.
     found = row.join(
-        drops, F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.xxhash64("row.text") == F.col("th")), "left"
+        drops.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.xxhash64("row.text") == F.col("th")), "left"
     )
     parts = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
