@@ -44,3 +44,10 @@ def ascii_lower(c: Column) -> Column:
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text falls into fold 0. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary package keeps a file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm.common import table
+from siftline.llm.common import table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
+from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
+from siftline.llm.sentencepiece_bpe import decode as sp_decode, digests, encode as sp_encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +44,17 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op1_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = corpus_folder(spark)
+    write_corpus(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path, end_id=2)
+    return read_corpus(spark, path, with_ids=False)
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp_decode(sp_encode(docs, model).drop("text"), model).select("doc_id", *digests(F.col("ids"), F.col("decoded")))
