@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siftline.llm.common import table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
+from siftline.llm.simhash_index import simhash_classes
 from siftline.llm.sentencepiece_bpe import decode as sp_decode, digests, encode as sp_encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sp_decode(sp_encode(docs, model).drop("text"), model).select("doc_id", *digests(F.col("ids"), F.col("decoded")))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"), width=3, seed=42)
