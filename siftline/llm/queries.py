@@ -10,7 +10,7 @@ from siftline.llm.common import table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
 from siftline.llm.simhash_index import simhash_classes
-from siftline.llm.sentencepiece_bpe import decode as sp_decode, digests, encode as sp_encode
+from siftline.llm.sentencepiece_bpe import digests, encode as sp_encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,7 +58,7 @@ def op1_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sp_decode(sp_encode(docs, model).drop("text"), model).select("doc_id", *digests(F.col("ids"), F.col("decoded")))
+    return sp_encode(docs, model, decoded="decoded").select("doc_id", *digests(F.col("ids"), F.col("decoded")))
 
 
 @query

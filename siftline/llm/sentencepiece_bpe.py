@@ -28,7 +28,7 @@ class PrefixEncoder:
     matches, and the ids are recovered from the end of the word backwards.
     """
 
-    def __init__(self, model_file: str, *, pair_limit: int = 1_000_000):
+    def __init__(self, model_file: str, *, pair_limit: int = 400_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
@@ -137,45 +137,31 @@ class BatchEncoder:
         starts = [i for i in range(len(marked)) if marked[i] == SPACE and (i == 0 or marked[i - 1] != SPACE)] + [len(marked)]
         return b"".join(self.memo.fill([marked[a + 1 : b] for a, b in zip(starts, starts[1:])], self._words))
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per slice of texts: all ids, and the number of ids of each text."""
-        dtype = np.dtype(np.int32)
-        for part in slices(texts):
-            distinct, codes, words = words_of(part)
-            pieces = self.memo.fill(distinct, self._words)
-            odd = [i for i, t in enumerate(part.to_pylist()) if not t or t[0] == " " or "  " in t or SPACE in t]
-            if odd:
-                # The whole text takes the place of its first word; its other words become empty.
-                ends = np.cumsum(words)
-                codes = codes.copy()
-                empty = len(pieces)
-                pieces.append(b"")
-                for i in odd:
-                    codes[ends[i] - words[i] : ends[i]] = empty
-                    codes[ends[i] - words[i]] = len(pieces)
-                    pieces.append(self._plain(part[i].as_py() or ""))
-            ids, counts = gather(codes, pieces, dtype)
-            yield ids, per_text(counts, words)
-
-
-@lru_cache(maxsize=2)
-def _encoder(model_file: str, word_limit: int) -> BatchEncoder:
-    return BatchEncoder(model_file, word_limit)
+    def _texts(library, lists: pa.ListArray) -> pa.Array:
+    """The library's decoding of every list, a few at a time."""
+    found: list[str] = []
+    for start in range(0, len(lists), 64):
+        found += library.decode([x or [] for x in lists.slice(start, 64).to_pylist()], num_threads=1)
+    return pa.array(found, pa.string())
 
 
 def encode(
-    docs: DataFrame, model_file: str, *, text: str = "text", ids: str = "ids", word_limit: int = 400_000
+    docs: DataFrame, model_file: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, word_limit: int = 200_000
 ) -> DataFrame:
     """Add ``ids``, the token ids of the whole text, as the SentencePiece library gives them.
 
     No begin or end ids are added and nothing is sampled. Null is treated as empty and gives an
-    empty list. Other columns come back unchanged, except one that is itself named ``ids``,
-    which is replaced. ``word_limit`` bounds the words each worker remembers (twice that
-    number); it changes the speed only. ``model_file`` is a path that every executor can read.
+    empty list. With ``decoded`` a column of that name holds the library's decoding of the ids
+    as well, made in the same pass. Other columns come back unchanged, except one that has the
+    name of an added column, which is replaced. ``word_limit`` bounds the words each worker
+    remembers (twice that number); it changes the speed only. ``model_file`` is a path that
+    every executor can read.
     """
-    rest = [c for c in docs.columns if c != ids]
+    rest = [c for c in docs.columns if c not in (ids, decoded)]
     kinds = {f.name: f for f in docs.schema.fields}
     schema = StructType([kinds[c] for c in rest] + [StructField(ids, ArrayType(IntegerType()), False)])
+    if decoded:
+        schema = schema.add(decoded, StringType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_file, word_limit)
@@ -186,7 +172,8 @@ def encode(
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
                 own = batch.slice(start, len(counts))
                 start += len(counts)
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + [lists], names=[*rest, ids])
+                more = [lists, _texts(_library(model_file), lists)] if decoded else [lists]
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + more, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -200,11 +187,7 @@ def decode(df: DataFrame, model_file: str, *, ids: str = "ids", text: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(model_file)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                own = batch.slice(start, 256)
-                lists = [x or [] for x in own.column(ids).to_pylist()]
-                texts = pa.array(library.decode(lists, num_threads=1), pa.string())
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + [texts], names=[*rest, text])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [_texts(library, batch.column(ids))], names=[*rest, text])
 
     return df.mapInArrow(run, schema)
 

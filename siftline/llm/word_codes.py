@@ -32,7 +32,7 @@ class Memo:
         return [young[key] for key in keys]
 
 
-def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[pa.Array]:
     """Consecutive slices of about ``max_bytes``; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = total = 0
