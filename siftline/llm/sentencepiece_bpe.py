@@ -137,7 +137,33 @@ class BatchEncoder:
         starts = [i for i in range(len(marked)) if marked[i] == SPACE and (i == 0 or marked[i - 1] != SPACE)] + [len(marked)]
         return b"".join(self.memo.fill([marked[a + 1 : b] for a, b in zip(starts, starts[1:])], self._words))
 
-    def _texts(library, lists: pa.ListArray) -> pa.Array:
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per slice of texts: all ids, and the number of ids of each text."""
+        dtype = np.dtype(np.int32)
+        for part in slices(texts):
+            distinct, codes, words = words_of(part)
+            pieces = self.memo.fill(distinct, self._words)
+            odd = [i for i, t in enumerate(part.to_pylist()) if not t or t[0] == " " or "  " in t or SPACE in t]
+            if odd:
+                # The whole text takes the place of its first word; its other words become empty.
+                ends = np.cumsum(words)
+                codes = codes.copy()
+                empty = len(pieces)
+                pieces.append(b"")
+                for i in odd:
+                    codes[ends[i] - words[i] : ends[i]] = empty
+                    codes[ends[i] - words[i]] = len(pieces)
+                    pieces.append(self._plain(part[i].as_py() or ""))
+            ids, counts = gather(codes, pieces, dtype)
+            yield ids, per_text(counts, words)
+
+
+@lru_cache(maxsize=2)
+def _encoder(model_file: str, word_limit: int) -> BatchEncoder:
+    return BatchEncoder(model_file, word_limit)
+
+
+def _texts(library, lists: pa.ListArray) -> pa.Array:
     """The library's decoding of every list, a few at a time."""
     found: list[str] = []
     for start in range(0, len(lists), 64):
