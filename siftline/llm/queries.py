@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm.common import table, tokenizer_path
+from siftline.llm import toxicity
+from siftline.llm.common import held_out, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
 from siftline.llm.simhash_index import simhash_classes
@@ -64,3 +65,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), width=3, seed=42)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
