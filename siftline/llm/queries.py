@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siftline.llm import toxicity
 from siftline.llm.common import held_out, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
+from siftline.llm.lsa_decontam import contamination
 from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
 from siftline.llm.simhash_index import simhash_classes
 from siftline.llm.sentencepiece_bpe import digests, encode as sp_encode
@@ -74,3 +75,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    per_doc = found.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("lcs_share").alias("lcs_share"), F.max("cosine").alias("cosine")
+    )
+    flag = F.col("item_ids").isNotNull()
+    return docs.select("doc_id").join(per_doc, "doc_id", "left").select(
+        "doc_id", flag.alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "lcs_share", "cosine"
+    )
