@@ -172,7 +172,7 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per slice of texts: all ids, and the number of ids of each text."""
-        for part in slices(texts):
+        for part in slices(texts, 8 << 20):
             part = pc.fill_null(part, "")
             distinct, codes, words = words_of(part)
             pieces = self.memo.fill(distinct, self._words)
@@ -198,7 +198,7 @@ def _tokens(path: str, word_limit: int) -> Tokens:
 
 
 def token_blocks(
-    docs: DataFrame, tokenizer: str, *, end_id: int | None, block_ids: int = 1 << 16, word_limit: int = 250_000
+    docs: DataFrame, tokenizer: str, *, end_id: int | None, block_ids: int = 1 << 16, word_limit: int = 400_000
 ) -> DataFrame:
     """Rows of whole documents' ids in ascending doc_id: (part, seq, doc_ids, hashes, counts, n, ids)."""
     schema = "part int, seq int, doc_ids array<bigint>, hashes array<bigint>, counts array<bigint>, n bigint, wide boolean, ids binary"
@@ -266,7 +266,7 @@ BLOCKS = (
 
 
 def write_corpus(
-    docs: DataFrame, tokenizer: str, path: str, *, end_id: int | None = 2, block_ids: int = 1 << 16, word_limit: int = 250_000
+    docs: DataFrame, tokenizer: str, path: str, *, end_id: int | None = 2, block_ids: int = 1 << 16, word_limit: int = 400_000
 ) -> None:
     """Tokenize whole texts and write them to ``path`` in the format above, in ascending doc_id.
 
