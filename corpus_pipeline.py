@@ -1,4 +1,67 @@
-"""placeholder"""
-STAGES=[]
-ORACLE_SQL=None
-def run(spark,sf_dir): ...
+"""A corpus-cleaning pipeline of five stages over the table of documents.
+
+Each stage takes what its predecessor kept. The first four return the columns of the table of
+documents; the last returns the kept documents with their token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from siftline.llm import toxicity
+from siftline.llm.common import stored, table, tokenizer_path
+from siftline.llm.line_dedup import dedup_lines
+from siftline.llm.lsa_decontam import drop_contaminated
+from siftline.llm.sentencepiece_bpe import encode
+from siftline.llm.simhash_index import drop_near_duplicates
+
+MODEL = "piece_bpe_32k.model"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the classifier learns from the labelled ones outside the held-out fold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that three or more of them share (but for the largest id)."""
+    kept = dedup_lines(docs, min_chars=20, min_docs=3)
+    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's columns, its token ids, their number and the text decoded from them."""
+    return encode(docs, tokenizer_path(MODEL), decoded="decoded").withColumn("n_tokens", F.size("ids").cast("bigint"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_shared_lines),
+    ("simhash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("sentencepiece", tokenize),
+]
+
+#: SQL can express neither the classifier nor the retrieval; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each returns is written to the shared folder and read back for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs, _ = stored(docs, "stage-" + name.replace(" ", "-"))
+    return docs
