@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import toxicity
+from siftline.llm import language_spans, toxicity
 from siftline.llm.common import held_out, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import contamination
@@ -88,3 +88,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(per_doc, "doc_id", "left").select(
         "doc_id", flag.alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "lcs_share", "cosine"
     )
+
+
+@query
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_spans.train(docs.select("doc_id", "text", "lang"))
+    return language_spans.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
