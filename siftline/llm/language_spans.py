@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.common import held_out
-from siftline.llm.word_codes import Memo, slices
+from siftline.llm.word_codes import slices
 
 #: First code points of ranges that one script fills; a letter belongs to the last range that starts at or before it.
 RANGES = (
@@ -38,34 +39,59 @@ class Model:
     scripts: np.ndarray
 
 
-def _letters(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalpha())
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: is it a letter, and which script does it belong to."""
+    points = np.arange(0x110000)
+    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return alpha, SCRIPT_OF[np.searchsorted(STARTS, points, "right") - 1].astype(np.uint8)
 
 
-def _grams(word: str) -> np.ndarray:
-    """Buckets of the n-grams of a word of letters, set between two spaces."""
-    codes = np.array([32, *map(ord, word), 32], np.uint64)
-    out, rolled = [], codes + np.uint64(1)
-    for n in ORDERS:
-        if n > 1:
-            if len(codes) < n:
+@dataclass(frozen=True)
+class Grams:
+    """Of a list of words: letters and script (-1 without a letter) of each; word and bucket of all n-grams of letters."""
+
+    letters: np.ndarray
+    script: np.ndarray
+    word: np.ndarray
+    bucket: np.ndarray
+
+
+def grams_of(words: pa.Array) -> Grams:
+    """N-grams over each word's lower-cased letters, set between two spaces."""
+    alpha, scripts = _tables()
+    n = len(words)
+    lowered = pc.utf8_lower(words)
+    codes = np.frombuffer("".join(lowered.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(n), pc.utf8_length(lowered).to_numpy(zero_copy_only=False))
+    keep = alpha[codes]
+    codes, of = codes[keep], of[keep]
+    letters = np.bincount(of, minlength=n)
+    kinds = np.bincount(of * len(SCRIPTS) + scripts[codes], minlength=n * len(SCRIPTS)).reshape(n, -1)
+    script = np.where(letters > 0, kinds.argmax(axis=1) if n else 0, -1)
+    rank = np.cumsum(letters > 0) - 1
+    padded = np.full(len(codes) + 2 * int((letters > 0).sum()), 32, np.uint64)
+    padded[np.arange(len(codes)) + 2 * rank[of] + 1] = codes
+    owner = np.repeat(np.arange(n), np.where(letters > 0, letters + 2, 0))
+    rolled, found, places = padded + np.uint64(1), [], []
+    for order in ORDERS:
+        if order > 1:
+            if len(padded) < order:
                 break
-            rolled = rolled[:-1] * STEP + codes[n - 1 :]
-        mixed = (rolled ^ (rolled >> np.uint64(31))) * STEP + np.uint64(n)
-        out.append((mixed >> np.uint64(64 - 15)).astype(np.int64))
-    return np.concatenate(out)
-
+            rolled = rolled[:-1] * STEP + padded[order - 1 :]
+        inside = owner[: len(rolled)] == owner[order - 1 :]
+        mixed = (rolled ^ (rolled >> np.uint64(31))) * STEP + np.uint64(order)
+        found.append((mixed[inside] >> np.uint64(64 - 15)).astype(np.int64))
+        places.append(owner[: len(rolled)][inside])
+    empty = np.zeros(0, np.int64)
+    return Grams(letters, script, np.concatenate(places or [empty]), np.concatenate(found or [empty]))
 
-def _script(word: str) -> int:
-    codes = np.fromiter(map(ord, word), np.int64, len(word))
-    return int(np.bincount(SCRIPT_OF[np.searchsorted(STARTS, codes, "right") - 1]).argmax())
 
-
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct raw words, the code of each word and the words per text; cut at white space."""
     lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     found = lists.flatten().dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
 def train(docs: DataFrame, *, lang: str = "lang", alpha: float = 0.5) -> Model:
@@ -78,28 +104,21 @@ def train(docs: DataFrame, *, lang: str = "lang", alpha: float = 0.5) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        memo = Memo(100_000)
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
             for part in slices(batch.column("text")):
                 distinct, codes, per = split_words(part)
-                grams = memo.fill(distinct, _word_rows)
+                grams = grams_of(distinct)
                 own = langs[at : at + len(part)]
                 at += len(part)
                 known = {name: i for i, name in enumerate(dict.fromkeys(own))}
                 of_word = np.repeat([known[name] for name in own], per)
-                pairs, n = np.unique(of_word * len(distinct) + codes, return_counts=True)
                 for name, i in known.items():
-                    chosen = np.flatnonzero(pairs // max(len(distinct), 1) == i)
-                    if not len(chosen):
-                        continue
-                    rows = [grams[p] for p in (pairs[chosen] % len(distinct)).tolist()]
-                    sizes = np.fromiter((len(r[0]) for r in rows), np.int64, len(rows))
-                    times = n[chosen]
+                    times = np.bincount(codes[of_word == i], minlength=len(distinct))
                     total = counts.setdefault(name, np.zeros(BUCKETS + len(SCRIPTS), np.float64))
-                    total[:BUCKETS] += np.bincount(np.concatenate([r[0] for r in rows]), np.repeat(times, sizes), BUCKETS)
-                    scripts = np.array([r[1] for r in rows])
-                    total[BUCKETS:] += np.bincount(scripts[scripts >= 0], times[scripts >= 0], len(SCRIPTS))
+                    total[:BUCKETS] += np.bincount(grams.bucket, times[grams.word], BUCKETS)
+                    known_script = grams.script >= 0
+                    total[BUCKETS:] += np.bincount(grams.script[known_script], times[known_script], len(SCRIPTS))
         for name, total in counts.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(total[used].astype(np.int64))], names=["lang", "cell", "n"])
@@ -114,50 +133,27 @@ def train(docs: DataFrame, *, lang: str = "lang", alpha: float = 0.5) -> Model:
     return Model(langs, logs.astype(np.float32), used)
 
 
-def _word_rows(words: list[str]) -> list[tuple[np.ndarray, int]]:
-    """Per raw word the buckets of its letters and their script, -1 without a letter."""
-    out = []
-    for raw in words:
-        word = _letters(raw)
-        out.append((_grams(word), _script(word)) if word else (np.zeros(0, np.int64), -1))
-    return out
-
-
 class Labeller:
     """Viterbi over the words of texts; ``penalty`` is what a change of language costs."""
 
-    def __init__(self, model: Model, *, penalty: float, word_limit: int = 150_000):
+    def __init__(self, model: Model, *, penalty: float):
         self.model, self.penalty = model, np.float32(penalty)
-        self.memo = Memo(word_limit)
-        self.none = np.zeros(len(model.langs), np.float32)
-
-    def scores(self, words: list[str]) -> list[tuple[np.ndarray, int]]:
-        """Per word the mean log-probability of its n-grams times its letters; languages that do not use its script are far behind."""
-        out, rows = [], _word_rows(words)
-        sizes = np.fromiter((len(r[0]) for r in rows), np.int64, len(rows))
-        keep = sizes > 0
-        sums = np.zeros((len(rows), len(self.none)), np.float32)
-        if keep.any():
-            starts = np.cumsum(sizes[keep]) - sizes[keep]
-            sums[keep] = np.add.reduceat(self.model.logs.T[np.concatenate([r[0] for r in rows])], starts)
-        for i, (raw, (_, script)) in enumerate(zip(words, rows)):
-            if script < 0:
-                out.append((self.none, 0))
-                continue
-            letters = sum(c.isalpha() for c in raw)
-            value = sums[i] / len(ORDERS)
-            fits = self.model.scripts[:, script]
-            out.append((value if fits.all() or not fits.any() else np.where(fits, value, value - np.float32(30)), letters))
+
+    def scores(self, grams: Grams) -> np.ndarray:
+        """Per word and language the log-probability of its n-grams, all orders averaged; a script that a language does not use sets it far behind."""
+        n = len(grams.letters)
+        out = np.stack([np.bincount(grams.word, row[grams.bucket], n) for row in self.model.logs], axis=1).astype(np.float32) / len(ORDERS)
+        fits = self.model.scripts[:, np.maximum(grams.script, 0)].T
+        narrowed = (grams.script >= 0) & fits.any(axis=1)
+        out[narrowed] -= np.where(fits[narrowed], 0, 30).astype(np.float32)
         return out
 
     def label(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per slice of texts: the language of every word, its letters, and the words of each text."""
         for part in slices(texts, 2 << 20):
             distinct, codes, per = split_words(part)
-            found = self.memo.fill(distinct, self.scores)
-            table = np.array([f[0] for f in found], np.float32).reshape(len(found), len(self.none))
-            letters = np.fromiter((f[1] for f in found), np.int64, len(found))
-            yield self._paths(table[codes], per), letters[codes], per
+            grams = grams_of(distinct)
+            yield self._paths(self.scores(grams)[codes], per), grams.letters[codes], per
 
     def _paths(self, emit: np.ndarray, per: np.ndarray) -> np.ndarray:
         """Best labels of all words: texts are advanced together, longest first, one word a step."""
