@@ -12,6 +12,7 @@ from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import contamination
 from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
 from siftline.llm.simhash_index import simhash_classes
+from siftline.llm.url_markov import filter_urls
 from siftline.llm.sentencepiece_bpe import digests, encode as sp_encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,12 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_spans.train(docs.select("doc_id", "text", "lang"))
     return language_spans.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query
+def op6_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.col("url_score").alias("score"))
