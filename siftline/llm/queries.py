@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import language_spans, toxicity
+from siftline.llm import html_blocks, language_spans, toxicity
 from siftline.llm.common import held_out, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import contamination
@@ -105,3 +105,9 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 def op6_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.col("url_score").alias("score"))
+
+
+@query
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
