@@ -10,6 +10,7 @@ from siftline.llm import html_blocks, language_spans, toxicity
 from siftline.llm.common import held_out, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import contamination
+from siftline.llm.posting_ann import nearest
 from siftline.llm.rans_tokens import corpus_folder, read_corpus, write_corpus
 from siftline.llm.simhash_index import simhash_classes
 from siftline.llm.url_markov import filter_urls
@@ -111,3 +112,8 @@ def op6_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_blocks.extract(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query
+def op3_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
