@@ -45,7 +45,7 @@ class LineRuns:
     """Levelled sorted runs of line hashes, one record (h1, h2, n, top) per key and run.
 
     ``n`` is the number of documents of the run's batches that hold the key and ``top`` the
-    largest id among them. A run is an external table bucketed by h1 and sorted by
+    largest id among them. A run is an external table bucketed and sorted by
     (h1, h2), so a batch is shuffled once to the bucket layout and merged with every run in
     place: the runs themselves never move. Whenever a level holds ``fan_in`` runs they are
     merged into one run of the next level, so a key is rewritten a logarithmic number of times.
@@ -59,23 +59,28 @@ class LineRuns:
         name, path = f"line_run_{uuid.uuid4().hex}", new_folder(self.spark, "line-run")
         (
             records.write.format("parquet").option("path", path).option("compression", "zstd")
-            .bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(name)
+            .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         )
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fan_in:
             old, self.levels[level] = self.levels[level], []
-            self._write(merged(self._read(old)), level + 1)
+            self._write(self._merged(old), level + 1)
             for table_name, folder in old:
                 self.spark.sql(f"DROP TABLE {table_name}")
                 remove_folder(self.spark, folder)
 
-    def _read(self, runs: list[tuple[str, str]]) -> DataFrame:
-        frames = [self.spark.table(name) for name, _ in runs]
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
+    def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        """One record per key of several runs, by merge joins. (A union of bucketed scans followed
+        by an aggregate left keys unmerged in Spark 4.1.2, which took it to be partitioned by key.)"""
+        out = self.spark.table(runs[0][0])
+        for name, _ in runs[1:]:
+            more = self.spark.table(name).select("h1", "h2", *[F.col(c).alias(f"_{c}") for c in ("n", "top", "since")])
+            out = out.join(more.hint("merge"), ["h1", "h2"], "full").select(
+                "h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
+                F.greatest("top", "_top").alias("top"), F.greatest("since", "_since").alias("since"),
+            )
         return out
 
     def runs(self) -> list[tuple[str, str]]:
@@ -99,14 +104,14 @@ class LineRuns:
             lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
             .groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc").alias("top"))
         )
-        records, path = stored(records.repartition(self.buckets, "h1"), "line-batch")
+        records, path = stored(records.repartition(self.buckets, "h1", "h2"), "line-batch")
         fresh = self.unseen(records).select("h1", "h2", F.col("top").alias("since"))
         self._write(records.join(fresh, ["h1", "h2"], "left").select("h1", "h2", "n", "top", "since"), 0)
         drop_stored(self.spark, path)
 
     def state(self) -> DataFrame:
         """(h1, h2, n, top, since) over all batches."""
-        return merged(self._read(self.runs()))
+        return self._merged(self.runs())
 
     def drop(self) -> None:
         for name, folder in self.runs():
@@ -115,12 +120,6 @@ class LineRuns:
         self.levels = []
 
 
-def merged(records: DataFrame) -> DataFrame:
-    return records.groupBy("h1", "h2").agg(
-        F.sum("n").alias("n"), F.max("top").alias("top"), F.max("since").alias("since")
-    )
-
-
 def dedup_lines(
     docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 3, buckets: int = 16
 ) -> DataFrame:
