@@ -12,6 +12,38 @@ PRIORITY = "_priority"
 SEQ = "_seq"
 
 
+def file_path() -> Column:
+    """The path a row was read from, as a reader takes it (the metadata column holds it as a URI)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def file_position() -> Column:
+    """Place of a row in its files: path, start of its split, row in the split.
+
+    A split is read front to back by one task, so this is file order however splits are
+    packed into tasks. Only for a projection directly over the scan.
+    """
+    return F.struct(
+        file_path().alias("path"), F.col("_metadata.file_block_start").cast("bigint").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def position_of(df: DataFrame) -> Column:
+    """The position column as (path, block, row); a plain number is the row.
+
+    A frame without one is ordered by its content, which is repeatable but says nothing about
+    age: give an explicit position where the first row must win.
+    """
+    if SEQ not in df.columns:
+        row = F.xxhash64(*[F.to_json(F.struct("extra")) if c == "extra" else F.col(c) for c in RECORD_COLUMNS if c in df.columns])
+    elif df.schema[SEQ].dataType.typeName() == "struct":
+        return F.col(SEQ)
+    else:
+        row = F.col(SEQ).cast("bigint")
+    return F.struct(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("block"), row.alias("row"))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the one that comes first in ``order``.
 
@@ -30,13 +62,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def union_by_priority(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of record frames in priority order, tagged with (priority, position).
 
-    A frame that lacks a position column is numbered in scan order, which is stable as
-    long as it comes straight from its files.
+    See :func:`position_of` for what counts as the position.
     """
     tagged = []
     for priority, frame in enumerate(frames):
-        seq = F.col(SEQ) if SEQ in frame.columns else F.monotonically_increasing_id()
-        tagged.append(frame.select(*RECORD_COLUMNS, F.lit(priority).alias(PRIORITY), seq.cast("long").alias(SEQ)))
+        tagged.append(frame.select(*RECORD_COLUMNS, F.lit(priority).alias(PRIORITY), position_of(frame).alias(SEQ)))
     merged = tagged[0]
     for frame in tagged[1:]:
         merged = merged.unionByName(frame)

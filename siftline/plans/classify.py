@@ -124,6 +124,19 @@ def classify(
     return scored.select(*kept, F.inline(F.array(verdict)))
 
 
+def latest_messages(messages: DataFrame, *, id_col: str = "message_id", text_col: str = "text", ts_col: str = "ts") -> DataFrame:
+    """One row per id, the latest; a missing id is derived from the text, so replays agree.
+
+    Of rows with the same id and time the one whose text has the larger hash stays.
+    """
+    given = messages.schema[id_col].dataType
+    fresh = F.sha2(text_col, 256) if isinstance(given, T.StringType) else F.xxhash64(text_col).cast(given)
+    rows = messages.withColumn(id_col, F.coalesce(id_col, fresh))
+    rest = [c for c in rows.columns if c != id_col]
+    last = rows.groupBy(id_col).agg(F.max_by(F.struct(*rest), F.struct(ts_col, F.xxhash64(text_col))).alias("_last"))
+    return last.select(*[F.col(c) if c == id_col else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
 def classify_with_outbreaks(
     messages: DataFrame,
     scorer: Scorer,
@@ -138,9 +151,11 @@ def classify_with_outbreaks(
 ) -> DataFrame:
     """The whole flow in batch: :func:`classify` plus outbreak columns.
 
-    Only (id, ts, fingerprint) goes through outbreak detection; its verdicts join back on
-    the unique message id.
+    A message sent again under its id takes the place of the earlier one, see
+    :func:`latest_messages`. Only (id, ts, fingerprint) goes through outbreak detection; its
+    verdicts join back on the id, which is then unique.
     """
+    messages = latest_messages(messages, id_col=id_col, text_col=text_col, ts_col=ts_col)
     cleaned = strip_confusables(strip_zero_width(text_col), normalize=normalize)
     fps = materialize(
         messages.select(

@@ -16,17 +16,16 @@ from siftline.operators.skew import hex_draw, lookup_join, ranked
 from siftline.schema import MODEL_LABELS, label_index
 from siftline.session import materialize
 
-MAX_STRATA = 1000
 
 
 def _share(rows, fraction: float):
     return F.floor(rows * F.lit(fraction) + F.lit(0.5))
 
 
-def _can_stratify(counts: list[int], val_size: float, test_size: float) -> bool:
-    total = sum(counts)
-    smallest_part = min(math.floor(total * val_size + 0.5), math.floor(total * test_size + 0.5))
-    return bool(counts) and min(counts) >= 3 and smallest_part >= len(counts)
+def _can_stratify(labels: int, smallest: int | None, rows: int | None, val_size: float, test_size: float) -> bool:
+    if not labels or smallest < 3:
+        return False
+    return min(math.floor(rows * share + 0.5) for share in (val_size, test_size)) >= labels
 
 
 def split_dataset(
@@ -57,11 +56,10 @@ def split_dataset(
         )
         return lookup_join(df, assigned, [group_col], weight="_n", how="inner").select(*df.columns, "split")
 
-    strata = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(strata) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} label values; is {label_col!r} the label column?")
+    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    strata = sizes.agg(F.count(F.lit(1)).alias("labels"), F.min("n").alias("smallest"), F.sum("n").alias("rows")).first()
     by: list[str] = [label_col]
-    if not _can_stratify([r["n"] for r in strata], val_size, test_size):
+    if not _can_stratify(strata["labels"], strata["smallest"], strata["rows"], val_size, test_size):
         warnings.warn("stratified split failed (a class is too small); falling back to a non-stratified split")
         by = []
     drawn = df.withColumn("_draw", hex_draw(seed, *key_cols))

@@ -10,7 +10,7 @@ from siftline import schema as S
 from siftline.functions import confusables, hashing, net, rules, urls, zero_width
 from siftline.operators import dedup, evaluate, metrics, neighbours, outbreak, redirects, relabel, review, skew, synth
 from siftline.plans import classify as flow, training
-from siftline.session import materialize, spread
+from siftline.session import materialize
 from siftline.streaming import jobs
 from siftline.views import MESSAGES, documents, messages
 
@@ -37,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 ZW = "[" + zero_width.ZERO_WIDTH + "]"
 OTP_SQL = r"(?i)(?:" + "|".join(rules.OTP_PHRASES) + ")"
+# What counts as an address, as trailing punctuation and as a registry number.
 SCHEME_SQL = r"(?i)\bhttps?://[^\s<>""'']+"
 BARE_SQL = r"(?i)\b(?:[a-z0-9-]+\.)+(?:" + urls.TLDS + r")\b(?:/[^\s<>""'']*)?"
 PUNCT_SQL = r"[.,;:!?)\]''""]+$"
@@ -164,7 +165,7 @@ def zero_width_report(spark, sf_dir):
 @query("zero_width_inject", """SELECT doc_id, text AS restored, TRUE AS gained_only_invisible FROM documents""")
 def zero_width_inject(spark, sf_dir):
     """Injection is undone exactly by cleaning, for every document."""
-    docs = spread(documents(spark, sf_dir), "doc_id")
+    docs = documents(spark, sf_dir)
     injected = docs.select("doc_id", "text", zero_width.inject_zero_width("text").alias("v"))
     grown = F.length("v") - F.length("text")
     return injected.select(
@@ -291,7 +292,7 @@ FROM parts""")
 def ip_classify(spark, sf_dir):
     first = F.array(*[F.lit(x) for x in (10, 127, 192, 172, 100, 169, 8, 224, 240, 198, 203, 11)])
     second = F.array(*[F.lit(x) for x in (168, 16, 64, 254, 0, 18, 51, 31, 77)])
-    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
     quad = F.concat_ws(
         ".", F.get(first, (F.col("event_id") % 12).cast("int")).cast("string"),
         F.get(second, (F.col("user_id") % 9).cast("int")).cast("string"),
@@ -661,7 +662,7 @@ def focal_loss(spark, sf_dir):
 def ml_train_score(spark, sf_dir):
     split = materialize(training.split_dataset(_corpus(spark, sf_dir)))
     parts = {name: split.filter(F.col("split") == name) for name in ("train", "val", "test")}
-    model, _ = training.train_classifier(parts["train"], parts["val"], num_features=1 << 14, max_iter=10)
+    model, _ = training.train_classifier(parts["train"], parts["val"])
     return training.evaluate_model(model, parts["test"])
 
 
@@ -826,12 +827,12 @@ def classify_stream(spark, sf_dir):
     for i in range(4):
         low, high = i * (last + 1) // 4, (i + 1) * (last + 1) // 4
         part = view.filter((F.col("message_id") >= low) & (F.col("message_id") < high))
-        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
-    stream = spark.readStream.schema(view.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
-    started = jobs.start_classification_stream(
-        stream, hash_scorer(), work, f"{work}/state", ttl_seconds=1500, hash_fn="md5"
-    )
-    jobs.finish(started)
+        part.write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(view.schema).parquet(f"{work}/in")
+        started = jobs.start_classification_stream(
+            stream, hash_scorer(), work, f"{work}/state", ttl_seconds=1500, hash_fn="md5"
+        )
+        jobs.finish(started)  # one micro-batch a quarter, however many files it has
     return jobs.read_results(spark, work).select(
         "message_id", "label", F.round("confidence", 6).alias("confidence"), "needs_review", F.col("is_outbreak_candidate").alias("outbreak")
     )
@@ -841,7 +842,7 @@ def classify_stream(spark, sf_dir):
 
 
 def _seed_records(spark, sf_dir) -> DataFrame:
-    docs = spread(documents(spark, sf_dir), "doc_id")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", *S.record_columns(F.concat(F.col("text"), F.lit(" hemen tiklayin, bonus.")), F.lit(S.SPAM), F.lit("synthetic_seed"), F.lit("tr")))
 
 
@@ -855,23 +856,23 @@ def paraphrase(spark, sf_dir):
     )
 
 
-@query("adversarial_set", """SELECT kind, count(*) AS records, count(*) AS restored FROM documents, (VALUES ('homoglyph'), ('zero_width')) k(kind) GROUP BY kind""")
+@query("adversarial_set", """SELECT kind, count(*) AS records, count(*) AS restored, count(*) AS changed FROM documents, (VALUES ('homoglyph'), ('zero_width')) k(kind) GROUP BY kind""")
 def adversarial_set(spark, sf_dir):
     """Two variants per document; undoing the change gives the original back."""
     made = synth.adversarial_set(_seed_records(spark, sf_dir).drop("doc_id"))
     original = F.col("extra")["original_text"]
     undone = F.lower(F.translate(zero_width.strip_zero_width("text"), synth.CYRILLIC, synth.LATIN)) == F.lower(original)
     return made.groupBy(F.col("extra")["variant_type"].alias("kind")).agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(undone).alias("restored")
+        F.count(F.lit(1)).alias("records"), F.count_if(undone).alias("restored"), F.count_if(F.col("text") != original).alias("changed")
     )
 
 
 @query("synthetic_sizes", """SELECT 'seeds' AS part, count(*) AS records, count(DISTINCT text) AS roots FROM documents
-UNION ALL SELECT 'augmented', 2 * count(*), count(DISTINCT text) FROM documents
-UNION ALL SELECT 'adversarial', 6 * count(*), count(DISTINCT text) FROM documents""")
+UNION ALL SELECT 'augmented', 3 * count(*), count(DISTINCT text) FROM documents
+UNION ALL SELECT 'adversarial', 8 * count(*), count(DISTINCT text) FROM documents""")
 def synthetic_sizes(spark, sf_dir):
     """s seeds give s*n paraphrases and 2*s*(1+n) adversarial rows, all traced to their seed."""
-    parts = synth.synthetic_corpus(_seed_records(spark, sf_dir).drop("doc_id"), n_per_seed=2)
+    parts = synth.synthetic_corpus(_seed_records(spark, sf_dir).drop("doc_id"))
     rows = None
     for name, frame in parts.items():
         one = frame.select(F.lit(name).alias("part"), "root_text")
@@ -990,7 +991,20 @@ def decision_log(spark, sf_dir):
     append_decisions(_decisions(spark, sf_dir), path)
     left = relabel.undecided(relabel.candidate_pool(_pool_corpus(spark, sf_dir)), read_decisions(spark, path))
     append_decisions(materialize(relabel.bulk_decisions(left)), path)
-    return read_decisions(spark, path)
+    return read_decisions(spark, path).select(*S.DECISION_SCHEMA.names)
+
+
+@query("decision_first_wins", """SELECT text, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'spam' ELSE 'reklam' END AS label
+FROM documents WHERE text IS NOT NULL GROUP BY text""")
+def decision_first_wins(spark, sf_dir):
+    """A third of the documents is decided first, then all of them twice over, otherwise: the first decision stays."""
+    from siftline.sources.tables import append_decisions, read_decisions
+
+    path = f"{jobs.scratch(spark)}/log"
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.lit("ham").alias("original_label"), "source").withColumnRenamed("source", "original_source")
+    for label, rows in ((S.SPAM, docs.filter(F.col("doc_id") % 3 == 0)), (S.REKLAM, docs), (S.BILGILENDIRME, docs)):
+        append_decisions(rows.withColumn("label", F.lit(label)), path, order=F.col("doc_id"))
+    return build(decisions=read_decisions(spark, path)).select("text", "label")
 
 
 @query("corpus_sink", f"WITH {MERGED_SQL} SELECT text, label, source, lang, '{{}}' AS extra FROM merged")
@@ -1032,5 +1046,5 @@ def training_corpus(spark, sf_dir):
     docs = documents(spark, sf_dir)
     public = docs.select(*S.record_columns(F.col("text"), F.lit(S.BILGILENDIRME), F.col("source"), F.col("lang")), F.col("doc_id").alias("_seq"))
     seeds = _seed_records(spark, sf_dir).drop("doc_id")
-    built = build(decisions=_decisions(spark, sf_dir), sources={"documents": lambda: public}, seeds=seeds, n_per_seed=1)
+    built = build(decisions=_decisions(spark, sf_dir), sources={"documents": lambda: public}, seeds=seeds)
     return dedup.corpus_summary(built, ("label", "lang"))

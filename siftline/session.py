@@ -66,15 +66,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only when the input has fewer files than the session has cores.
-
-    A large table already arrives in enough splits and is returned unchanged, so this
-    adds no shuffle there; a single small file would otherwise run in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)

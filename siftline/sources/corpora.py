@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.operators.dedup import SEQ
+from siftline.operators.dedup import SEQ, file_path, file_position
 from siftline.schema import BILGILENDIRME, SPAM, record_columns, strip
 from siftline.sources.files import first_file, list_files, positional, read_labelled_csv
 
@@ -21,7 +21,6 @@ SPAM_HAM = {
     "legitimate": BILGILENDIRME,
     "0": BILGILENDIRME,
 }
-MAX_LISTED = 100
 
 
 def labels_named(*names: str) -> dict[str, str]:
@@ -99,14 +98,22 @@ def map_label(raw: Column, label_map: Mapping[str, str]) -> Column:
     return F.try_element_at(lookup, F.lower(strip(raw)))
 
 
-def check_labels(df: DataFrame, label_map: Mapping[str, str], *, dataset_name: str) -> None:
-    """Fail when a label has no mapping, listing the values (the first hundred of many)."""
+class NoLabelFolders(ValueError):
+    """A folder has no text files below folders named after labels."""
+
+
+def unmapped_labels(df: DataFrame, label_map: Mapping[str, str]) -> DataFrame:
+    """Every label without a mapping: label (lower case, trimmed, null as ``nan``) and its records."""
     raw = F.lower(strip(F.coalesce(F.col("label"), F.lit("nan"))))
-    unknown = df.filter(map_label(raw, label_map).isNull()).select(raw.alias("label")).distinct()
-    values = [r["label"] for r in unknown.orderBy("label").limit(MAX_LISTED + 1).collect()]
+    unknown = df.filter(map_label(raw, label_map).isNull())
+    return unknown.groupBy(raw.alias("label")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def check_labels(df: DataFrame, label_map: Mapping[str, str], *, dataset_name: str) -> None:
+    """Fail when a label has no mapping, naming all such labels."""
+    values = unmapped_labels(df, label_map).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ")).first()[0]
     if values:
-        more = " and more" if len(values) > MAX_LISTED else ""
-        raise ValueError(f"[{dataset_name}] unmapped label values: {values[:MAX_LISTED]}{more}; extend the label map")
+        raise ValueError(f"{dataset_name}: labels without a mapping: {values}")
 
 
 def to_records(
@@ -130,7 +137,7 @@ def to_records(
     if check:
         check_labels(df, label_map, dataset_name=name)
     else:
-        mapped = F.coalesce(mapped, F.raise_error(F.concat(F.lit(f"[{name}] unmapped label: "), F.coalesce(F.col("label"), F.lit("null")))))
+        mapped = F.coalesce(mapped, F.raise_error(F.concat(F.lit(f"{name}: label without a mapping: "), F.coalesce(F.col("label"), F.lit("null")))))
     text = strip("text")
     keep = text.isNotNull() & (text != "")
     if drop_nan_text:
@@ -147,15 +154,14 @@ def read_label_folders(spark: SparkSession, root: str, folders: Mapping[str, str
     files = (
         spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt").load(root)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select("value", file_path().alias("path"), file_position().alias(SEQ))
     )
-    parent = F.url_decode(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     tagged = files.select(
-        strip(F.make_valid_utf8("value")).alias("text"), map_label(parent, folders).alias("label"),
-        F.monotonically_increasing_id().alias(SEQ),
+        strip(F.make_valid_utf8("value")).alias("text"), map_label(parent, folders).alias("label"), SEQ,
     ).filter(F.col("label").isNotNull())
     if tagged.isEmpty():
-        raise ValueError(f"[{name}] no text files in folders {sorted(folders)} under {root}")
+        raise NoLabelFolders(f"{name}: {root} has no text files below {sorted(folders)}")
     return tagged.filter(F.col("text") != "").select(
         *record_columns(F.col("text"), F.col("label"), F.lit(name), F.lit(lang)), SEQ
     )
@@ -164,7 +170,7 @@ def read_label_folders(spark: SparkSession, root: str, folders: Mapping[str, str
 def read_split_files(spark: SparkSession, folder: str, columns: Sequence[str] = ("text", "label")) -> DataFrame:
     """Union of all split files of a dataset, further columns ignored."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    return reader.parquet(folder).select(*columns).withColumn(SEQ, F.monotonically_increasing_id())
+    return reader.parquet(folder).select(*columns, file_position().alias(SEQ))
 
 
 def load_source(spark: SparkSession, spec: SourceSpec, path: str) -> DataFrame:
@@ -179,13 +185,13 @@ def load_source(spark: SparkSession, spec: SourceSpec, path: str) -> DataFrame:
     if spec.label_folders and extension != "csv":
         try:
             return read_label_folders(spark, path, spec.label_folders, name=spec.name, lang=spec.lang)
-        except ValueError:
+        except NoLabelFolders:
             csv = first_file(spark, path, ("csv",))
             if csv is None:
                 raise
             path = csv
     if extension in spec.positional_extensions:
-        raw = positional(spark.read.parquet(path)).withColumn(SEQ, F.monotonically_increasing_id())
+        raw = positional(spark.read.parquet(path).select("*", file_position().alias(SEQ)))
     else:
         raw = read_labelled_csv(
             spark, path, text_columns=spec.text_columns, label_columns=spec.label_columns,

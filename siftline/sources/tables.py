@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from siftline.operators.dedup import SEQ, file_path, file_position
 from siftline.operators.relabel import MANUAL
 from siftline.schema import DECISION_SCHEMA, EXTRA_TYPE, LABELS, MODEL_LABELS, RECORD_COLUMNS
 from siftline.sources.files import list_files, read_csv_robust
 
 SEED_SOURCE = "synthetic_seed"
+#: What an append adds to each decision.
+STAMP = T.StructType([T.StructField("decided_at", T.LongType()), T.StructField("position", T.LongType())])
 CONFIRMED_SCHEMA = "text string, label string, source string, lang string"
 
 
@@ -59,25 +62,44 @@ def read_seeds(spark: SparkSession, folder: str, *, lang: str = "tr") -> DataFra
     )
 
 
-def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+def _read_json(spark: SparkSession, path: str, schema, *, position: bool = False) -> DataFrame:
     try:
-        return spark.read.schema(schema).json(path)
+        rows = spark.read.schema(schema).json(path)
+        return rows.select("*", file_position().alias(SEQ)) if position else rows
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumn(SEQ, F.lit(None).cast("struct<path:string,block:bigint,row:bigint>")) if position else empty
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision log; blank lines are ignored, a missing log is empty, a missing method is manual."""
-    log = _read_json(spark, path, DECISION_SCHEMA)
-    return log.filter(F.col("text").isNotNull()).withColumn("method", F.coalesce("method", F.lit(MANUAL)))
+    """Decision log with a position; blank lines are ignored, a missing log is empty, a missing method is manual.
+
+    The position puts decisions in the order they were made: by the time of their append and
+    the order within it. Lines that no append stamped come first, in file order.
+    """
+    log = _read_json(spark, path, T.StructType([*DECISION_SCHEMA.fields, *STAMP.fields]), position=True)
+    stamp = F.lpad(F.coalesce("decided_at", F.lit(0)).cast("string"), 20, "0")
+    own = F.col("decided_at").isNull()
+    position = F.struct(
+        F.when(own, F.concat(stamp, f"{SEQ}.path")).otherwise(stamp).alias("path"),
+        F.when(own, F.col(f"{SEQ}.block")).otherwise(F.lit(0)).alias("block"), F.coalesce("position", f"{SEQ}.row").alias("row"),
+    )
+    kept = log.filter(F.col("text").isNotNull()).withColumn("method", F.coalesce("method", F.lit(MANUAL)))
+    return kept.select(*DECISION_SCHEMA.names, position.alias(SEQ))
 
 
-def append_decisions(decisions: DataFrame, path: str) -> None:
-    """Append decision rows (text, label, original_label, original_source, method)."""
+def append_decisions(decisions: DataFrame, path: str, *, order: Column | None = None) -> None:
+    """Append decision rows (text, label, original_label, original_source, method).
+
+    Each is stamped with the time of the append and its place in it: ``order``, a whole
+    number, or the order of the frame.
+    """
     rows = decisions if "method" in decisions.columns else decisions.withColumn("method", F.lit(MANUAL))
-    rows.select(*DECISION_SCHEMA.names).write.mode("append").json(path)
+    place = F.monotonically_increasing_id() if order is None else order.cast("bigint")
+    stamped = rows.select(*DECISION_SCHEMA.names, F.unix_micros(F.current_timestamp()).alias("decided_at"), place.alias("position"))
+    stamped.write.mode("append").json(path)
 
 
 def read_confirmed(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +158,7 @@ def label_map_table(spark: SparkSession) -> DataFrame:
 def profile_csv(spark: SparkSession, path: str, *, sample: int = 3) -> dict:
     """Columns, row count and first rows of one file; a read failure is reported, not raised."""
     try:
-        df = read_csv_robust(spark, path).drop("_seq")
+        df = read_csv_robust(spark, path).drop(SEQ)
         return {"path": path, "columns": df.columns, "rows": df.count(), "sample": [r.asDict() for r in df.limit(sample).collect()], "error": None}
     except Exception as exc:  # the report names the problem
         return {"path": path, "columns": None, "rows": None, "sample": None, "error": str(exc)}

@@ -19,7 +19,7 @@ from siftline.functions.hashing import simhash
 from siftline.operators.metrics import windowed_metrics
 from siftline.operators.outbreak import match_batch
 from siftline.operators.review import review_items
-from siftline.plans.classify import Scorer, classify
+from siftline.plans.classify import Scorer, classify, latest_messages
 from siftline.session import ensure_checkpoint_dir, materialize
 
 BATCH = "batch_id"
@@ -30,10 +30,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}"
 
 
-def finish(query: StreamingQuery, *, seconds: int = 600) -> None:
-    """Wait for a stream that processes what is available, and stop it in any case."""
+def finish(query: StreamingQuery, *, seconds: int | None = None) -> None:
+    """Wait for a stream that processes what is available, and stop it in any case.
+
+    It is given as long as it takes unless the caller sets a limit.
+    """
     try:
-        if not query.awaitTermination(seconds):
+        if query.awaitTermination(seconds) is False:
             raise TimeoutError(f"stream still active after {seconds} seconds")
     finally:
         query.stop()
@@ -138,7 +141,7 @@ def start_classification_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         scored = materialize(
-            classify(batch, scorer, normalize=normalize).withColumn("fp", simhash("cleaned_text", hash_fn=hash_fn))
+            classify(latest_messages(batch), scorer, normalize=normalize).withColumn("fp", simhash("cleaned_text", hash_fn=hash_fn))
         )
         fps = scored.select("message_id", F.col("ts").cast("timestamp").alias("ts"), "fp")
         verdicts = detect_batch(fps, batch_id, f"{out_dir}/index", ttl_seconds=ttl_seconds, **detection)

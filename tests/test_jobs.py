@@ -314,3 +314,14 @@ def test_metrics_stream_appends_closed_windows(spark, tmp_path):
     jobs.finish(jobs.start_metrics_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), watermark="10 minutes"), seconds=240)
     closed = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
     assert [r["messages"] for r in closed] == [3, 3, 3] and closed[0]["review_queue"] == 3
+
+
+def test_resent_and_missing_ids_give_one_row_per_id(spark):
+    from siftline.plans.classify import classify_with_outbreaks, column_scorer
+
+    rows = [("a", "first text", 10), ("a", "second text", 20), ("b", "kodunuz", 5), (None, "no id", 7), (None, "no id", 8), (None, "no id either", 9)]
+    df = spark.createDataFrame(rows, "message_id string, text string, s long").selectExpr("message_id", "text", "timestamp_seconds(s) AS ts")
+    scorer = column_scorer(lambda t: [F.lit(0.4), F.lit(0.3), F.lit(0.3)])
+    out = classify_with_outbreaks(df, scorer, hash_fn="md5").collect()
+    assert sorted(r["text"] for r in out) == ["kodunuz", "no id", "no id either", "second text"]
+    assert all(r["is_outbreak_candidate"] is not None and r["message_id"] for r in out)

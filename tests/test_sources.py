@@ -18,9 +18,9 @@ def load(spark, name, path):
 
 
 def test_find_column():
-    assert Fi.find_column(["ID", "Mesaj Metni", "E-Posta"], ["text", "mesajmetni"]) == "Mesaj Metni"
-    with pytest.raises(Fi.ColumnNotFoundError, match="foo"):
-        Fi.find_column(["foo", "bar"], ["text"], dataset_name="x")
+    assert Fi.resolve_columns(["ID", "Mesaj Metni", "E-Posta"], {"text": ["text", "mesajmetni"]}) == {"text": "Mesaj Metni"}
+    with pytest.raises(Fi.UnresolvedColumns, match="foo"):
+        Fi.resolve_columns(["foo", "bar"], {"text": ["text"]}, source="x")
 
 
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1254", "iso-8859-9"])
@@ -53,14 +53,14 @@ def test_comma_and_semicolon_layouts(spark, tmp_path):
 def test_unmapped_label_and_unknown_columns(spark, tmp_path):
     bad = tmp_path / "bad.csv"
     bad.write_text("Message,Group\nmerhaba,unknown_label\n ,other\n")
-    with pytest.raises(ValueError, match=r"unmapped label values: \['other', 'unknown_label'\]"):
+    with pytest.raises(ValueError, match="labels without a mapping: other, unknown_label"):
         load(spark, "turkish_sms_collection", bad)
     foo = tmp_path / "foo.csv"
     foo.write_text("foo,bar\nx,y\n")
-    with pytest.raises(Fi.ColumnNotFoundError):
+    with pytest.raises(Fi.UnresolvedColumns):
         load(spark, "turkish_sms_collection", foo)
     raw = spark.createDataFrame([("a", "zzz")], "text string, label string")
-    with pytest.raises(Exception, match="unmapped label"):
+    with pytest.raises(Exception, match="label without a mapping"):
         C.to_records(raw, name="n", lang="tr", label_map=C.SPAM_HAM, check=False).collect()
 
 
@@ -179,3 +179,37 @@ def test_profiles(spark, tmp_path):
     assert T.profile_csv(spark, str(tmp_path / "missing.csv"))["error"]
     folders = T.profile_folders(spark, str(tmp_path)).collect()
     assert len(folders) == 1 and folders[0]["folder"].endswith("/ham") and folders[0]["files"] == 1
+
+
+@pytest.mark.parametrize("name", ["two words.csv", "100%25 off.csv", "a+b.csv", "şık.csv"])
+def test_awkward_file_names(spark, tmp_path, name):
+    (tmp_path / name).write_bytes("text,label\nbir mesaj,spam\n".encode())
+    (tmp_path / "old charset.csv").write_bytes("text,label\nşifre ığü,ham\n".encode("cp1254"))
+    paths = [r["path"] for r in Fi.list_files(spark, str(tmp_path), "*.csv").collect()]
+    rows = Fi.read_csv_robust(spark, paths).collect()
+    assert sorted(r["text"] for r in rows) == ["bir mesaj", "şifre ığü"]
+
+
+def test_header_that_begins_like_a_byte_order_mark(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("ïd,text\n1,a\n", encoding="utf-8")
+    (tmp_path / "y.csv").write_text("id,text\n1,a\n", encoding="utf-8-sig")
+    assert Fi.read_csv_robust(spark, str(tmp_path / "x.csv")).columns[0] == "ïd"
+    assert Fi.read_csv_robust(spark, str(tmp_path / "y.csv")).columns[0] == "id"
+
+
+def test_first_decision_wins_whatever_the_file_sizes(spark, tmp_path):
+    from siftline.plans.corpus import training_corpus
+    from siftline.sources.tables import append_decisions, read_decisions
+
+    path = str(tmp_path / "log")
+    for label, extra in (("spam", 0), ("reklam", 500), ("bilgilendirme", 5)):
+        rows = [("kampanya başladı", label, "ham", "x")] + [(f"{label} {i}", label, "ham", "x") for i in range(extra)]
+        append_decisions(spark.createDataFrame(rows, "text string, label string, original_label string, original_source string"), path)
+    kept = training_corpus(decisions=read_decisions(spark, path)).filter("text = 'kampanya başladı'").collect()
+    assert [r["label"] for r in kept] == ["spam"]
+
+
+def test_unmapped_labels_are_all_listed(spark):
+    df = spark.createDataFrame([(f"L{i % 150}", "t") for i in range(300)] + [(None, "t"), ("spam", "t")], "label string, text string")
+    found = C.unmapped_labels(df, C.labels_named("spam")).collect()
+    assert len(found) == 151 and {r["records"] for r in found} == {1, 2}
