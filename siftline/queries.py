@@ -666,6 +666,16 @@ def ml_train_score(spark, sf_dir):
     return training.evaluate_model(model, parts["test"])
 
 
+@query("ml_classify", f"""WITH {SCORED} SELECT message_id, is_otp, CASE WHEN is_otp THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS probability FROM reviewed""")
+def ml_classify(spark, sf_dir):
+    """All messages scored by a classifier trained on the labelled corpus; SQL knows the rule's rows and that the rest sum to one."""
+    split = materialize(training.split_dataset(_corpus(spark, sf_dir)))
+    model, _ = training.train_classifier(split.filter("split = 'train'"), split.filter("split = 'val'"))
+    scored = flow.classify(messages(spark, sf_dir), flow.ml_scorer(model))
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, p: a + p)
+    return scored.select("message_id", (F.col("label") == S.OTP).alias("is_otp"), F.round(total, 6).alias("probability"))
+
+
 # --- classification, review, monitoring ----------------------------------------------
 
 
@@ -998,6 +1008,7 @@ def decision_log(spark, sf_dir):
 FROM documents WHERE text IS NOT NULL GROUP BY text""")
 def decision_first_wins(spark, sf_dir):
     """A third of the documents is decided first, then all of them twice over, otherwise: the first decision stays."""
+    from siftline.plans.corpus import training_corpus as build
     from siftline.sources.tables import append_decisions, read_decisions
 
     path = f"{jobs.scratch(spark)}/log"
@@ -1048,3 +1059,35 @@ def training_corpus(spark, sf_dir):
     seeds = _seed_records(spark, sf_dir).drop("doc_id")
     built = build(decisions=_decisions(spark, sf_dir), sources={"documents": lambda: public}, seeds=seeds)
     return dedup.corpus_summary(built, ("label", "lang"))
+
+
+@query("unmapped_labels", "SELECT lower(source) AS label, count(*) AS records FROM documents WHERE lower(source) NOT IN ('src1', 'src2') GROUP BY lower(source)")
+def unmapped_labels(spark, sf_dir):
+    """Every label spelling that a map of two lacks."""
+    from siftline.sources import corpora
+
+    docs = documents(spark, sf_dir).select("text", F.upper("source").alias("label"))
+    return corpora.unmapped_labels(docs, {"src1": S.SPAM, "src2": S.REKLAM})
+
+
+@query("source_charsets", "SELECT doc_id, text FROM documents")
+def source_charsets(spark, sf_dir):
+    """Documents as files in UTF-8, a single-byte charset and UTF-8 with a mark, in a folder with a space, read back as one table."""
+    from siftline.sources.files import list_files, read_csv_robust
+
+    folder = f"{jobs.scratch(spark)} raw"
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    for i, (charset, key) in enumerate((("UTF-8", "doc_id"), ("ISO-8859-1", "doc_id"), ("UTF-8", "\ufeffdoc_id"))):
+        part = docs.filter(F.pmod("doc_id", F.lit(3)) == i).withColumnRenamed("doc_id", key)
+        part.write.mode("append").option("header", True).option("quote", '"').option("escape", '"').option("encoding", charset).csv(folder)
+    paths = [r["path"] for r in list_files(spark, folder, "*.csv").collect()]
+    return read_csv_robust(spark, paths).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+@query("classify_resent_ids", f"""WITH {SCORED} SELECT CAST(message_id AS VARCHAR) AS message_id, label, round(confidence, 6) AS confidence, needs_review FROM reviewed""")
+def classify_resent_ids(spark, sf_dir):
+    """Every message sent twice under its id, first with another text: one row per id, judged by the later text."""
+    view = messages(spark, sf_dir).withColumn("message_id", F.col("message_id").cast("string"))
+    early = view.withColumn("text", F.concat(F.lit("kodunuz 1234 onay kodu "), "text")).withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
+    out = flow.classify_with_outbreaks(early.unionByName(view), hash_scorer(), hash_fn="md5")
+    return out.select("message_id", "label", F.round("confidence", 6).alias("confidence"), "needs_review")
