@@ -44,6 +44,11 @@ HEADLINE = (
     "adversarial_set",
     "redirect_resolve",
     "ip_classify",
+    "outbreak_crowds",
+    "new_batch_lookup",
+    "drift_stream",
+    "classify_stream",
+    "ml_train_score",
 )
 
 
