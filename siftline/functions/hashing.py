@@ -125,7 +125,7 @@ def similarity(a: Column | str, b: Column | str, *, hash_bits: int = 64) -> Colu
 def band_values(fingerprint: Column | str, *, num_bands: int = 8, hash_bits: int = 64) -> Column:
     """ARRAY<BIGINT> of band values; band i holds bits [i*w, (i+1)*w)."""
     if hash_bits % num_bands:
-        raise ValueError(f"hash_bits ({hash_bits}) must be divisible by num_bands ({num_bands})")
+        raise ValueError(f"{num_bands} bands do not divide {hash_bits} bits evenly")
     width = hash_bits // num_bands
     column = _col(fingerprint)
     if width == 64:

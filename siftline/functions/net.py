@@ -112,7 +112,7 @@ def url_rejection(url: Column | str) -> Column:
     column = _col(url)
     scheme = url_scheme(column)
     return (
-        F.when(~scheme.isin(*ALLOWED_SCHEMES), F.concat(F.lit("disallowed scheme "), scheme))
-        .when(url_authority(column).contains("@"), "userinfo in URL is not allowed")
-        .when(F.coalesce(url_host(column), F.lit("")) == "", "could not parse hostname from URL")
+        F.when(~scheme.isin(*ALLOWED_SCHEMES), F.concat(F.lit("scheme not accepted: "), scheme))
+        .when(url_authority(column).contains("@"), "address carries a user name")
+        .when(F.coalesce(url_host(column), F.lit("")) == "", "address names no host")
     )

@@ -151,7 +151,7 @@ def near_pairs(
     no pair is lost and a crowded bucket does not cost its square.
     """
     if hash_bits % num_bands:
-        raise ValueError(f"hash_bits ({hash_bits}) must be divisible by num_bands ({num_bands})")
+        raise ValueError(f"{num_bands} bands do not divide {hash_bits} bits evenly")
     distance = max_distance(threshold, hash_bits)
     self_join = right is None
     sizes = [left.count()] if self_join else [left.count(), right.count()]

@@ -42,7 +42,7 @@ def test_paraphrase_properties(col):
 
 
 def test_adversarial_variants(spark, col):
-    text = "paypal hesabinizi dogrulayin"
+    text = "pasaport randevunuz ayarlandi"
     assert col([text], lambda c: is_homoglyph_attack(S.homoglyph_variant(c, fraction=0.8))) == [True]
     assert col([text], lambda c: S.homoglyph_variant(c, fraction=0.0)) == [text]
     assert col(["AEX bd"], lambda c: S.homoglyph_variant(c, fraction=1.0)) == ["аех bd"]
@@ -254,21 +254,21 @@ def test_ipv4_ranges_agree_with_the_standard_library(col):
 
 
 def test_redirects(spark):
-    hops = [("http://short.example/abc", 301, "http://mid.example/y", None), ("http://mid.example/y", 200, None, None), ("http://in.example/a", 302, "http://internal.example/s", None)]
-    hops += [(f"http://loop.example/{i}", 301, f"/{i + 1}", None) for i in range(9)]
-    hops += [("http://nohead.example/x", 405, None, None), ("http://nohead.example/x", 200, None, None), ("http://slow.example/", None, None, "Read timeout"), ("http://bad.example/", None, None, "reset"), ("http://8.8.8.8/ip", 200, None, None)]
+    hops = [("http://entry.example/abc", 301, "http://relay.example/y", None), ("http://relay.example/y", 200, None, None), ("http://inward.example/a", 302, "http://intra.example/s", None)]
+    hops += [(f"http://circle.example/{i}", 301, f"/{i + 1}", None) for i in range(9)]
+    hops += [("http://getonly.example/x", 405, None, None), ("http://getonly.example/x", 200, None, None), ("http://lagging.example/", None, None, "Read timeout"), ("http://broken.example/", None, None, "reset"), ("http://8.8.8.8/ip", 200, None, None)]
     h = spark.createDataFrame(hops, "url string, status int, location string, error string")
-    names = ["short", "mid", "in", "loop", "nohead", "slow", "bad", "unlogged"]
-    dns = spark.createDataFrame([(f"{n}.example", "8.8.4.4") for n in names] + [("internal.example", "8.8.8.8"), ("internal.example", "169.254.169.254")], "host string, ip string")
-    starts = ["http://short.example/abc", "http://in.example/a", "http://loop.example/0", "http://nohead.example/x", "http://slow.example/", "http://bad.example/", "file:///etc/passwd", "http://u:p@short.example/x", "http://nodns.example/", "http://unlogged.example/", "http://8.8.8.8/ip", "http://127.0.0.1/", "http://[::1]/"]
+    names = ["entry", "relay", "inward", "circle", "getonly", "lagging", "broken", "unlogged"]
+    dns = spark.createDataFrame([(f"{n}.example", "8.8.4.4") for n in names] + [("intra.example", "8.8.8.8"), ("intra.example", "169.254.169.254")], "host string, ip string")
+    starts = ["http://entry.example/abc", "http://inward.example/a", "http://circle.example/0", "http://getonly.example/x", "http://lagging.example/", "http://broken.example/", "file:///etc/passwd", "http://u:p@entry.example/x", "http://nodns.example/", "http://unlogged.example/", "http://8.8.8.8/ip", "http://127.0.0.1/", "http://[::1]/"]
     got = {r["original_url"]: r for r in Rd.resolve_redirects(spark.createDataFrame([(u,) for u in starts * 2], "url string"), h, dns).collect()}
     assert len(got) == len(starts)
-    assert got[starts[0]]["status"] == "ok" and got[starts[0]]["redirect_chain"] == [starts[0], "http://mid.example/y"]
-    assert got[starts[0]]["final_url"] == "http://mid.example/y"
+    assert got[starts[0]]["status"] == "ok" and got[starts[0]]["redirect_chain"] == [starts[0], "http://relay.example/y"]
+    assert got[starts[0]]["final_url"] == "http://relay.example/y"
     inner = got[starts[1]]
-    assert inner["status"] == "blocked_ssrf" and "internal.example" in inner["error"] and inner["redirect_chain"] == [starts[1]]
+    assert inner["status"] == "blocked_ssrf" and "intra.example" in inner["error"] and inner["redirect_chain"] == [starts[1]]
     loop = got[starts[2]]
-    assert loop["status"] == "too_many_redirects" and loop["final_url"] == "http://loop.example/6" and len(loop["redirect_chain"]) == 6
+    assert loop["status"] == "too_many_redirects" and loop["final_url"] == "http://circle.example/6" and len(loop["redirect_chain"]) == 6
     assert [got[u]["status"] for u in starts[3:]] == ["ok", "timeout", "error", "blocked_ssrf", "blocked_ssrf", "blocked_ssrf", "error", "ok", "blocked_ssrf", "blocked_ssrf"]
 
 
@@ -276,7 +276,7 @@ def test_redirects(spark):
 
 
 def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_path):
-    base = "Bonus kazandiniz hemen tiklayin bit.ly/"
+    base = "Depoda son urunler kaldi, gelin cutt.ly/"
     texts = [base + "x", "toplanti yarin saat uc", base + "x", base + "y", "onay kodu 123456", base + "x", "toplanti yarin saat uc", base + "x"]
     start = dt.datetime(2024, 1, 1)
     rows = [(i, t, start + dt.timedelta(seconds=40 * i)) for i, t in enumerate(texts)]
