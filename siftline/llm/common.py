@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline.session import new_folder, remove_folder
@@ -10,6 +12,19 @@ from siftline.session import new_folder, remove_folder
 ASCII_SPACE = " \t\n\x0b\f\r"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    On a cluster it is installed on all machines or shipped with the job; a path that does not
+    exist there is ignored.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm import html_blocks, language_spans, toxicity
-from siftline.llm.common import held_out, table, tokenizer_path
+from siftline.llm.common import held_out, importable, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import contamination
 from siftline.llm.posting_ann import nearest
@@ -21,8 +22,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
