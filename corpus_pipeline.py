@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm import toxicity
-from siftline.llm.common import stored, table, tokenizer_path
+from siftline.llm.common import importable, stored, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import drop_contaminated
 from siftline.llm.sentencepiece_bpe import encode
@@ -20,6 +20,7 @@ MODEL = "piece_bpe_32k.model"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the classifier learns from the labelled ones outside the held-out fold."""
+    importable(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
 
@@ -32,16 +33,19 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    importable(spark)
     return drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    importable(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's columns, its token ids, their number and the text decoded from them."""
+    importable(spark)
     return encode(docs, tokenizer_path(MODEL), decoded="decoded").withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
