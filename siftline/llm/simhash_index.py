@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from siftline.llm.common import ascii_lower, stored
+from siftline.llm.common import stored
 from siftline.operators.components import connected_components
+from siftline.operators.skew import lookup_join
 
 #: Two 32-bit segments: three differing bits leave at most one in either of them.
 RADIUS = 3
 HALF = (1 << 32) - 1
 #: Of the eight 4-bit pieces of the other segment, three differing bits leave five equal.
 PIECES = [sum(0xF << 4 * i for i in chosen) for chosen in combinations(range(8), 5)]
+SHINGLE_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(words: list[bytes], *, width: int, seed: int, distinct: bool) -> int:
@@ -154,15 +156,107 @@ def simhash_classes(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataF
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _words(text: Column) -> Column:
-    """Runs without ASCII white space, A-Z lower-cased."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def add_shingles(texts: DataFrame, *, width: int) -> DataFrame:
+    """(th, s): distinct 64-bit hashes of the ``width``-word shingles of every text; fewer words are one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            found = []
+            for value in batch.column("text"):
+                words = value.as_py().encode().lower().split()
+                codes = np.fromiter((xxh64_intdigest(w, 1) for w in words), np.uint64, len(words))
+                own = min(width, len(codes))
+                value = np.full(max(1, len(codes) - width + 1), own, np.uint64)
+                for i in range(own):
+                    value = (value ^ codes[i : i + len(value)]) * SHINGLE_STEP
+                    value ^= value >> np.uint64(29)
+                found.append(np.unique(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(found, pa.list_(pa.int64()))], names=["th", "s"])
+
+    return texts.select("th", "text").mapInArrow(run, "th bigint, s array<bigint>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles reach ``similarity`` (Jaccard)."""
+    return (
+        pairs.join(sets.select(F.col("th").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("th").alias("v"), F.col("s").alias("sv")), "v")
+        .withColumn("both", F.size(F.array_intersect("su", "sv")))
+        .filter(F.col("both") >= similarity * (F.size("su") + F.size("sv") - F.col("both")))
+        .select("u", "v")
+    )
+
+
+def rare_cells(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, th, n, room): texts under the shingles by which every pair at ``similarity`` or more meets.
+
+    Shingles are ordered by the number of texts that hold them. A partner shares at least
+    ``similarity`` of a text's n shingles, so it holds one of all but that many less one of the
+    rarest. Shingles of one text alone are shared with none: a text with too many of them has no
+    partner, and they are left out of the cells. ``room`` is the number of shared shingles from
+    this one on, the most that can be common with a text first met here.
+    """
+    each = sets.select("th", F.size("s").alias("n"), F.explode("s").alias("s"))
+    counts, _ = stored(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "near-dup-counts")
+    held = lookup_join(each, counts.withColumn("weight", F.col("k")), ["s"], weight="weight", how="inner")
+    ranked = held.groupBy("th", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("held"))
+    least = F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int")
+    first = ranked.withColumn("m", F.size("held")).filter(F.col("m") >= least).withColumn("cut", F.slice("held", F.lit(1), F.col("m") - least + 1))
+    return first.select("th", "n", "m", F.posexplode("cut").alias("i", "e")).select("e.s", "th", "n", (F.col("m") - F.col("i")).alias("room"))
 
 
-def _shingles(words: Column, width: int) -> Column:
-    """Distinct hashes of the ``width``-word shingles; fewer words are one shingle."""
-    last = F.greatest(F.lit(1), F.size(words) - (width - 1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+def _may_reach(similarity: float) -> Column:
+    """Whether two texts that first meet in a cell can share enough."""
+    return F.least("room", "room_") >= similarity / (1 + similarity) * (F.col("n") + F.col("n_")) - 1e-9
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _mixed(cells: DataFrame, links: DataFrame, found: str) -> tuple[DataFrame, DataFrame]:
+    """Cells with the component of every text over ``links``, those of several components; and the number of texts in each."""
+    of = connected_components(links).withColumnRenamed("node", "th")
+    placed, _ = stored(cells.drop("component", "size").join(of, "th", "left").withColumn("component", F.coalesce("component", "th")), found)
+    sizes, _ = stored(
+        placed.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high").select("s", "size"), found + "-sizes",
+    )
+    return placed, sizes
+
+
+def missing_links(sets: DataFrame, links: DataFrame, *, similarity: float, stars: int = 2, block: int = 256) -> DataFrame:
+    """Links at ``similarity`` or more that, with ``links``, connect all texts that such pairs connect.
+
+    An exact prefix-filter join. Texts that are connected already need no further link, so the
+    first ``stars`` rounds compare the texts of a cell with one of them, each round another,
+    which connects large groups of copies with a row per text. Then all pairs of different
+    components are compared in the cells that are still mixed; those are cut into blocks
+    of about ``block`` texts, and each two blocks meet by themselves.
+    """
+    cells, _ = stored(rare_cells(sets, similarity), "near-dup-cells")
+    known = links
+    for turn in range(stars + 1):
+        placed, sizes = _mixed(cells, known, f"near-dup-mixed-{turn}")
+        cells = lookup_join(placed, sizes.withColumn("weight", F.col("size")), ["s"], weight="weight", how="inner")
+        if turn < stars:
+            lead = F.min(F.struct(F.xxhash64("th", F.lit(turn)).alias("h"), F.col("th").alias("th_"), F.col("n").alias("n_"), F.col("room").alias("room_"), F.col("component").alias("component_")))
+            leads, _ = stored(cells.groupBy("s").agg(lead.alias("lead"), F.count(F.lit(1)).alias("weight")).select("s", "lead.*", "weight"), "near-dup-leads")
+            pairs = lookup_join(cells.drop("size"), leads, ["s"], weight="weight", how="inner")
+            pairs = pairs.filter((F.col("component") != F.col("component_")) & _may_reach(similarity))
+        else:
+            blocks = F.ceil(F.col("size") / block).cast("int")
+            own = cells.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("th", F.lit("block")), F.col("blocks")).cast("int"))
+            left = own.select("s", "th", "n", "room", "component", F.col("own").alias("p"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("q"))
+            right = own.select("s", *[F.col(c).alias(c + "_") for c in ("th", "n", "room", "component")], F.col("own").alias("q"), F.explode(F.sequence(F.lit(0), "own")).alias("p"))
+            met = (F.col("component") != F.col("component_")) & _may_reach(similarity) & ((F.col("p") < F.col("q")) | (F.col("th") < F.col("th_")))
+            same = (F.col("s") == F.col("s_")) & (F.col("p") == F.col("p_")) & (F.col("q") == F.col("q_"))
+            pairs = left.join(right.withColumnRenamed("s", "s_").withColumnRenamed("p", "p_").withColumnRenamed("q", "q_"), same & met)
+        pairs, _ = stored(_ordered(pairs.select(F.col("th").alias("u"), F.col("th_").alias("v"))), "near-dup-pairs")
+        more, _ = stored(_similar(pairs, sets, similarity), "near-dup-more")
+        known = known.unionByName(more)
+    return known
 
 
 def drop_near_duplicates(
@@ -170,34 +264,28 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` with one row kept of each group of near-duplicates; columns unchanged.
 
-    Candidates come from fingerprints of distinct words under several seeds: at a similarity
-    of 0.8 in five-word shingles two texts still share most of their words, so some pair of
-    fingerprints is within three bits. A candidate pair counts if its ``width``-word shingle
-    sets reach ``similarity`` (Jaccard). Pairs from crowds are taken by fingerprint distance,
-    as only copies crowd.
+    Two texts are linked if their sets of ``width``-word shingles reach ``similarity`` (Jaccard);
+    groups are what links connect. Fingerprints of distinct words under several seeds find most
+    links: texts are compared with one of their fingerprint, and those of fingerprints within
+    three bits with each other. What they miss, :func:`missing_links` finds, so no link between
+    different groups is lost, and every link is checked on the shingles.
 
     Exact copies are found by a hash of the whole text and stand for one another. The row with
     the smallest doc_id stays (a null id comes last); of rows alike in id and text any one.
     Null and wordless texts are copies of one another. An empty table stays empty.
     """
     tagged = docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
-    texts = tagged.groupBy("th").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+    texts, _ = stored(tagged.groupBy("th").agg(F.min("doc_id").alias("first"), F.first("text").alias("text")), "near-dup-texts")
     fps, _ = stored(add_fingerprints(texts, width=1, seeds=tuple(seeds), distinct=True).select("th", "first", F.posexplode("fps").alias("tag", "fp")), "near-dup-fps")
+    sets, _ = stored(add_shingles(texts, width=width), "near-dup-shingles")
     classes, _ = stored(fps.groupBy("tag", "fp").agg(F.min("th").alias("rep")), "near-dup-classes")
     links, _ = stored(near_links(classes.select("tag", "fp"), crowd=crowd), "near-dup-links")
-    same = fps.join(classes, ["tag", "fp"]).filter("th <> rep").select(F.col("th").alias("u"), F.col("rep").alias("v"), F.lit(False).alias("crowded"))
+    same = fps.join(classes, ["tag", "fp"]).filter("th <> rep").select(F.col("th").alias("u"), F.col("rep").alias("v"))
     ends = {side: classes.select("tag", F.col("fp").alias(side), F.col("rep").alias(name)) for side, name in (("a", "u"), ("b", "v"))}
-    across = links.join(ends["a"], ["tag", "a"]).join(ends["b"], ["tag", "b"]).filter("u <> v").select("u", "v", "crowded")
-    pairs, _ = stored(same.unionByName(across).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "crowded").groupBy("u", "v").agg(F.max("crowded").alias("crowded")), "near-dup-pairs")
-    wanted = pairs.filter("NOT crowded").select(F.explode(F.array("u", "v")).alias("th")).distinct()
-    sets, _ = stored(tagged.select("th", "text").join(wanted, "th", "left_semi").dropDuplicates(["th"]).select("th", _words(F.col("text")).alias("w")).select("th", _shingles(F.col("w"), width).alias("s")), "near-dup-shingles")
-    checked = (
-        pairs.filter("NOT crowded").join(sets.select(F.col("th").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("th").alias("v"), F.col("s").alias("sv")), "v")
-        .withColumn("both", F.size(F.array_intersect("su", "sv")))
-        .filter(F.col("both") >= similarity * (F.size("su") + F.size("sv") - F.col("both")))
-        .select("u", "v")
-    )
-    found = connected_components(checked.unionByName(pairs.filter("crowded").select("u", "v")))
+    across = links.join(ends["a"], ["tag", "a"]).join(ends["b"], ["tag", "b"]).filter("u <> v").select("u", "v")
+    pairs, _ = stored(_ordered(same.unionByName(across)), "near-dup-near")
+    checked, _ = stored(_similar(pairs, sets, similarity), "near-dup-checked")
+    found = connected_components(missing_links(sets, checked, similarity=similarity))
     ids = fps.filter("tag = 0").select("th", "first")
     grouped = ids.join(found.withColumnRenamed("node", "th"), "th", "left").withColumn("component", F.coalesce("component", "th"))
     order = F.struct(F.col("first").isNull().alias("no_id"), F.col("first").alias("id"), "th")

@@ -142,3 +142,36 @@ def test_near_duplicates_keep_one_of_each_group(spark, crowd):
     ids = sorted(r["doc_id"] for r in kept.collect())
     assert ids == [0, 5, 10, 15, 20, 25, 100, 102, 103]
     assert simhash_index.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def shingle_set(text, width=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def brute_keepers(rows):
+    """The smallest id of every group that pairs at 0.8 or more in five-word shingles connect."""
+    sets, group = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return sorted(min(r[0] for r, g in zip(rows, group) if g == own) for own in set(group))
+
+
+def test_near_duplicates_equal_brute_force_at_the_bound(spark):
+    rnd = random.Random(12)
+    rows = []
+    for n in (40, 120, 400):
+        for _ in range(25):
+            words = [f"w{int(rnd.paretovariate(0.6)) % 4000}" for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+            edits = max(1, round(n * rnd.choice([0.015, 0.018, 0.021, 0.025])))
+            for at in rnd.sample(range(n), edits):
+                words[at] = f"new{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    want = brute_keepers(rows)
+    assert 75 < len(want) < 140
+    got = simhash_index.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
