@@ -175,3 +175,17 @@ def test_near_duplicates_equal_brute_force_at_the_bound(spark):
     assert 75 < len(want) < 140
     got = simhash_index.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_near_duplicates_link_members_of_one_word_set(spark):
+    rnd = random.Random(13)
+    base = [f"w{i}" for i in range(240)]
+    rows = []
+    for _ in range(12):  # texts of one word set, far from one another, each with a near copy of the same word set
+        words = rnd.sample(base, len(base))
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(words[3:] + words[:3])))
+    want = brute_keepers(rows)
+    assert len(want) == 12
+    got = simhash_index.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
