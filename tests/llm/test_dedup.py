@@ -189,3 +189,15 @@ def test_near_duplicates_link_members_of_one_word_set(spark):
     assert len(want) == 12
     got = simhash_index.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("crowd", [256, 3])
+def test_near_duplicates_of_a_crowd_are_checked_on_shingles(spark, crowd):
+    rnd = random.Random(14)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(16):  # fingerprints close by, word order not
+        rows.append((i, " ".join(rnd.sample(base, len(base)) + [f"own{i}"])))
+    assert brute_keepers(rows) == list(range(16))
+    got = simhash_index.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), crowd=crowd)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(16))
