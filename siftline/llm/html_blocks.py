@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,8 +30,9 @@ HINTS = set(
     "comment comments commentlist disqus respond replies copyright disclaimer pagination pager search contentinfo complementary".split()
 )
 MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]{0,40})((?:[^'"<>]++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<[!?/a-zA-Z][^<>]{0,4096}>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]{0,40})((?:[^'"<>]++|"[^"<>]*+"|'[^'<>]*+')*+)>|<[!?][^'"<>]*+>|<[!?/a-zA-Z]""", re.S
 )
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]{0,40})")
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Lines in a window, and the characters in one that make a surge.
@@ -50,6 +52,39 @@ def hinted(attributes: str) -> bool:
     return False
 
 
+class Ends:
+    """Where tags end that MARKUP does not span: those with < or > in an attribute value, and those that are none.
+
+    One pass from the page's end, made when first asked, so any number of unclosed quotes costs no more.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.marks: list[int] | None = None
+
+    def of(self, start: int) -> tuple[int, bool]:
+        """Place behind the tag whose ``<`` is at ``start``, and whether its quotes are closed; (-1, False) if it is text."""
+        if self.marks is None:
+            self.marks = [m.start() for m in re.finditer("[\"'<>]", self.html)]
+            self.ends = [-1] * (len(self.marks) + 1)
+            self.bare = [-1] * (len(self.marks) + 1)  # as if quotes had no meaning
+            double = single = out = bare = -1
+            for k in range(len(self.marks) - 1, -1, -1):
+                at = self.marks[k]
+                mark = self.html[at]
+                if mark == ">":
+                    out = bare = at + 1
+                elif mark == "<":
+                    out = bare = -1
+                elif mark == '"':
+                    out, double = double, out
+                else:
+                    out, single = single, out
+                self.ends[k], self.bare[k] = out, bare
+        k = bisect_right(self.marks, start)
+        return (self.ends[k], True) if self.ends[k] >= 0 else (self.bare[k], False)
+
+
 class Lines:
     """Lines of a page: text, whether it stands in boilerplate, in an article, and its characters inside links."""
 
@@ -72,8 +107,21 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
     articles = links = 0
     heading = False
     lowered = None
+    ends = Ends(html)
     while True:
         found = MARKUP.search(html, at)
+        end, name, attributes = found.end() if found else 0, found and found[2], found and found[3]
+        if found and len(found[0]) == 2:
+            end, whole = ends.of(found.start())
+            tag = whole and TAG.match(html, found.start())
+            if tag:
+                found, name, attributes = tag, tag[2], html[tag.end() : end - 1]
+            elif end < 0:  # no tag: the sign is text
+                end = found.start() + 1
+                out.parts.append(html[at:end])
+                out.linked += (end - at) if links else 0
+                at = end
+                continue
         text = html[at : found.start() if found else len(html)]
         if text:
             out.parts.append(text)
@@ -81,11 +129,10 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
                 out.linked += len(text)
         if not found:
             break
-        at = found.end()
-        name = found[2]
+        at = end
         if not name:
             continue
-        name, closing, attributes = name.lower(), bool(found[1]), found[3]
+        name, closing = name.lower(), bool(found[1])
         if not closing and name in RAW:
             lowered = lowered if lowered is not None else html.lower() if html.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), html)
             end = lowered.find(f"</{name}", at)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -221,3 +222,15 @@ def test_html_main_text(spark):
     for i, (_, want) in enumerate(cases[:-1]):
         assert got[i] == want, i
     assert html_blocks.extract(df.limit(0)).count() == 0
+
+
+def test_html_long_attributes_and_unclosed_quotes():
+    long = "x" * 5000 + "<b>a > b</b>" + "y" * 5000
+    assert html_blocks.main_text(f"<article><p>one <img src='data:{long}'> two</p><div data-x=\"{long}\" class=share>Share</div><p>three") == "one two three"
+    assert html_blocks.main_text('<article><p>one <i title="open>two</i> three') == "one two three"
+    assert html_blocks.main_text("<p>1 <2 and a<b") == "1 <2 and a<b"
+    started = time.monotonic()
+    for unit in ("<a \"'", "<a '\"'\"\"", '<a "" \'', "<a \"'\"''\""):
+        html_blocks.main_text(unit * 50000)
+        html_blocks.main_text(unit + "<a " * 100000)
+    assert time.monotonic() - started < 30
