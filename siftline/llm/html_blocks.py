@@ -163,31 +163,52 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
     return out.rows
 
 
+def _stretches(sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Lines with text from where a window reaches the bound of its first line to where a whole window is empty."""
+    total = np.concatenate([[0], np.cumsum(np.append(sizes, np.zeros(WINDOW, np.int64)))])
+    window = total[WINDOW : WINDOW + len(sizes)] - total[: len(sizes)]
+    if not (window >= bounds).any():
+        bounds = np.ones_like(bounds)
+    keep, inside = np.zeros(len(sizes), bool), False
+    for i in range(len(sizes)):
+        inside = window[i] > 0 if inside else sizes[i] > 0 and window[i] >= bounds[i]
+        keep[i] = inside and sizes[i] > 0
+    return keep
+
+
+def _surges(sizes: np.ndarray) -> bool:
+    return bool((np.convolve(sizes, np.ones(WINDOW, np.int64)) >= SURGE).any())
+
+
 def main_text(html: str | None) -> str:
     """The text between the surge and dive points of the line-block distribution.
 
-    A line counts with its length; one in boilerplate, outside the article where the page
-    marks one, or made of links counts as empty. A window sums WINDOW lines. Text begins where
-    a window surges (any text inside a marked article, SURGE characters otherwise, or any if
-    no window has that many) and ends where a whole window is empty. All such stretches are
-    kept, with the heading right before the first.
+    A line counts with its length; one in boilerplate or made of links counts as empty. A
+    window sums WINDOW lines. Text begins where a window surges to SURGE characters (to any if
+    no window has that many) and ends where a whole window is empty. An element that the page
+    marks as article or main has weight: as long as it holds at least as much as what surges
+    outside, its lines and those outside are dealt with by themselves, any text in it
+    is a surge, and its links count. Marked elements that hold less are cards beside the main text and
+    surge like any other. All such stretches are kept, with the heading right before the first.
     """
     if not html:
         return ""
     rows = lines_of(html)
     if not rows:
         return ""
-    marked = any(article and not waste for _, waste, article, _, _ in rows)
-    sizes = np.array([
-        0 if waste or marked and not article or not marked and 2 * linked > len(text) else len(text) for text, waste, article, linked, _ in rows
-    ])
-    total = np.concatenate([[0], np.cumsum(np.append(sizes, np.zeros(WINDOW, np.int64)))])
-    window = total[WINDOW : WINDOW + len(sizes)] - total[: len(sizes)]
-    bound = 1 if marked or window.max() < SURGE else SURGE
-    keep, inside = np.zeros(len(sizes), bool), False
-    for i in range(len(sizes)):
-        inside = window[i] > 0 if inside else window[i] >= bound
-        keep[i] = inside and sizes[i] > 0
+    length = np.array([0 if waste else len(text) for text, waste, *_ in rows], np.int64)
+    marked = np.array([article for _, _, article, _, _ in rows])
+    linked = np.array([2 * links > len(text) for text, _, _, links, _ in rows])
+    inner, outer = np.where(marked, length, 0), np.where(marked | linked, 0, length)
+    surge = np.full(len(rows), SURGE)
+    if inner.any():
+        beside = _stretches(outer, surge) if _surges(outer) else np.zeros(len(rows), bool)
+        if inner.sum() >= outer[beside].sum():
+            keep = beside | _stretches(inner, np.ones_like(surge))
+        else:
+            keep = _stretches(np.where(linked, 0, length), surge)
+    else:
+        keep = _stretches(outer, surge)
     if keep.any():
         first = int(np.flatnonzero(keep)[0])
         if first and rows[first - 1][4] and not rows[first - 1][1]:

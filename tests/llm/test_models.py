@@ -234,3 +234,12 @@ def test_html_long_attributes_and_unclosed_quotes():
         html_blocks.main_text(unit * 50000)
         html_blocks.main_text(unit + "<a " * 100000)
     assert time.monotonic() - started < 30
+
+
+def test_html_main_text_beside_article_cards():
+    body = "The council met on Tuesday and agreed after a long debate to rebuild the old bridge over the river."
+    card = "<article class=card><h3>More</h3><p>Short teaser.</p></article>"
+    text = html_blocks.main_text(f"{card}<div><h1>Head</h1>" + f"<p>{body}</p>" * 4 + f"</div>{card}")
+    assert text.count(body) == 4 and "Head" in text
+    assert html_blocks.main_text(f"<p>Lead in.</p><main><p>{body}</p></main><p>End.</p>") == body
+    assert html_blocks.main_text(f"<main><p>{body * 3}</p></main>" + "<p>gap <a href=x>a long line of links alone</a></p>" * 3 + f"<div><p>{body}</p></div>") == f"{body * 3} {body}"
