@@ -105,10 +105,38 @@ def nearest_centres(graph: Centroids, queries: np.ndarray, width: int) -> tuple[
         open_ = np.concatenate([open_, new], axis=1)
 
 
-def lists_for(graph: Centroids, vectors: np.ndarray, *, ratio: float, most: int) -> list[np.ndarray]:
-    """Posting lists of each vector: those no farther than ``ratio`` times the nearest centre, nearest first, ``most`` at most."""
-    ids, dist = nearest_centres(graph, vectors, max(most, 24))
-    return [own[np.isfinite(d) & (d <= ratio * d[0] + 1e-12)][:most] for own, d in zip(ids, dist)]
+def lists_for(graph: Centroids, vectors: np.ndarray, *, ratio: float, most: int, least: int = 1) -> list[np.ndarray]:
+    """Posting lists of each vector: those no farther than ``ratio`` times the nearest centre, nearest first, ``least`` to ``most`` of them."""
+    width = max(most, 24)
+    if 8 * width >= len(graph.points):  # a beam as wide would visit most centres
+        width = min(width, len(graph.points))
+        dist = (vectors**2).sum(axis=1)[:, None] - 2 * vectors @ graph.points.T + (graph.points**2).sum(axis=1)
+        ids = np.argpartition(dist, width - 1, axis=1)[:, :width]
+        ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(dist, ids, axis=1), axis=1, kind="stable"), axis=1)
+        dist = np.sqrt(np.maximum(np.take_along_axis(dist, ids, axis=1), 0))
+    else:
+        ids, dist = nearest_centres(graph, vectors, width)
+    return [own[np.isfinite(d) & ((d <= ratio * d[0] + 1e-12) | (np.arange(len(d)) < least))][:most] for own, d in zip(ids, dist)]
+
+
+def measured_probes(graph: Centroids, sample: np.ndarray, *, k: int, recall: float, ratio: float, most: int, queries: int = 256, seed: int = 3) -> int:
+    """How many lists a query must read so that ``recall`` of its ``k`` nearest in the sample, found by brute force, are in one.
+
+    In the whole table the nearest are nearer than in a sample, so no more are needed there.
+    """
+    asked = np.random.default_rng(seed).permutation(len(sample))[:queries]
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(graph.points)
+    squares, needed = (sample**2).sum(axis=1), []
+    for i in asked:
+        d = squares - 2 * sample @ sample[i]
+        d[i] = np.inf
+        near = np.argpartition(d, k - 1)[:k]
+        rank = np.empty(len(graph.points), np.int64)
+        rank[np.argsort(((graph.points - sample[i]) ** 2).sum(axis=1), kind="stable")] = np.arange(len(rank))
+        needed += [rank[own].min() + 1 for own in lists_for(graph, sample[near], ratio=ratio, most=most)]
+    return int(np.quantile(needed, recall, method="higher"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -155,7 +183,7 @@ def _scan(k: int):
 
 def nearest(
     vectors: DataFrame, is_query: Column, *, k: int = 10, list_size: int = 200, sample: int = 50_000, copies: int = 8, copy_ratio: float = 1.2,
-    probes: int = 64, probe_ratio: float = 1.25, block: int = 4096,
+    probes: int = 64, probe_ratio: float = 1.25, block: int = 4096, recall: float = 0.995,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found of every query row, itself left out.
 
@@ -169,7 +197,8 @@ def nearest(
     while twelve of the sample are left for each; every vector is indexed. (A pruning rule that
     keeps copies on different sides of a boundary left none in 64 dimensions, so it is not used.)
     A vector near a boundary is stored in up to ``copies`` lists. A query reads the lists whose
-    centres are within ``probe_ratio`` times its nearest centre's distance, ``probes`` at most.
+    centres are within ``probe_ratio`` times its nearest centre's distance, ``probes`` at most,
+    but always as many as :func:`measured_probes` finds needed for ``recall``.
     Lists are cut into blocks of about ``block`` vectors and queries into as many, so no task
     holds a whole list.
     """
@@ -191,11 +220,13 @@ def nearest(
     fitted = points.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).select("vector").toPandas()["vector"]  # bounded by sample
     if not len(fitted):
         return empty
-    graph = search_graph(balanced_centres(np.stack(fitted.to_numpy()).astype(np.float32), max(12, round(list_size * share))))
+    fitted = np.stack(fitted.to_numpy()).astype(np.float32)
+    graph = search_graph(balanced_centres(fitted, max(12, round(list_size * share))))
+    needed = measured_probes(graph, fitted, k=k, recall=recall, ratio=copy_ratio, most=copies)
     shared = spark.sparkContext.broadcast(graph)
     postings, _ = stored(_assign(points, shared, ratio=copy_ratio, most=copies), "ann-postings")
     wanted = points.join(asked.select("key").distinct(), "key", "left_semi")
-    probing, _ = stored(_assign(wanted, shared, ratio=probe_ratio, most=probes), "ann-probes")
+    probing, _ = stored(_assign(wanted, shared, ratio=probe_ratio, most=max(probes, needed), least=needed), "ann-probes")
     # One row per list, of which there are fewer than vectors in the sample: a bounded broadcast.
     count = lambda frame, name: frame.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     cuts = F.broadcast(count(postings, "blocks").join(count(probing, "parts"), "list"))

@@ -243,3 +243,18 @@ def test_html_main_text_beside_article_cards():
     assert text.count(body) == 4 and "Head" in text
     assert html_blocks.main_text(f"<p>Lead in.</p><main><p>{body}</p></main><p>End.</p>") == body
     assert html_blocks.main_text(f"<main><p>{body * 3}</p></main>" + "<p>gap <a href=x>a long line of links alone</a></p>" * 3 + f"<div><p>{body}</p></div>") == f"{body * 3} {body}"
+
+
+def test_neighbours_recall_where_lists_far_outnumber_probes(spark):
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(16000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    got = posting_ann.nearest(df, F.col("vec_id") % 400 == 0, list_size=12).collect()
+    hits = {(r["query_id"], r["vec_id"]) for r in got}
+    want = set()
+    for q in range(0, 16000, 400):
+        d = ((data - data[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        want |= {(q, int(i)) for i in np.argsort(d)[:10]}
+    assert len(hits & want) >= 0.97 * len(want), len(hits & want) / len(want)
