@@ -258,3 +258,20 @@ def test_neighbours_recall_where_lists_far_outnumber_probes(spark):
         d[q] = np.inf
         want |= {(q, int(i)) for i in np.argsort(d)[:10]}
     assert len(hits & want) >= 0.97 * len(want), len(hits & want) / len(want)
+
+
+def test_decontamination_finds_copies_of_long_items(spark):
+    rng = np.random.default_rng(17)
+    prose = lambda n: [f"w{int(x)}" for x in rng.zipf(1.15, 3 * n) if x < 30000][:n]
+    sizes = [int(rng.integers(6, 13)) for _ in range(150)] + [int(rng.integers(100, 801)) for _ in range(150)]
+    items = [(i, " ".join([f"key{i}", *prose(n - 1)])) for i, n in enumerate(sizes)]
+    docs, want = [], set()
+    for i, item in items:
+        words = prose(300)
+        at = int(rng.integers(0, len(words)))
+        docs.append((i, " ".join(words[:at] + item.split() + words[at:])))
+        want.add((i, i))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsa_decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    missed = sorted(sizes[i] for i, _ in want - got if sizes[i] >= 100)
+    assert not missed, missed
