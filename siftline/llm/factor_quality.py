@@ -25,6 +25,8 @@ from siftline.llm.word_codes import Memo, slices, words_of
 
 #: Intervals of a structure statistic (all are shares from 0 to 1) and of a metadata column (powers of two).
 STEPS, LEVELS = 16, 40
+#: Words added to every text's count when shares are taken.
+SHRINK = 20.0
 STATISTICS = (
     "letters", "upper", "digits", "spaces", "lines", "other", "marks a word", "distinct words", "most common word", "repeated neighbours", "short words", "long words",
     "words with marks inside", "words in upper case", "words without letters", "length",
@@ -47,14 +49,16 @@ class Machine:
 
     def odds(self, at: np.ndarray, value: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log-odds of label 1 for texts whose places and values lie one after another, ``counts`` of each."""
-        ends = np.cumsum(counts)
+        text = np.repeat(np.arange(len(counts)), counts)
 
-        def sums(x: np.ndarray) -> np.ndarray:
-            total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
-            return total[ends] - total[ends - counts]
+        def sums(x: np.ndarray) -> np.ndarray:  # each text by itself, so that equal texts get equal sums
+            return np.bincount(text, weights=x, minlength=len(counts))
 
-        held = self.factors[at] * value[:, None]
-        return self.bias + sums(self.linear[at] * value) + 0.5 * (sums(held) ** 2 - sums(held * held)).sum(axis=1)
+        pairs = np.zeros(len(counts))
+        for weights in self.factors.T:
+            held = weights[at] * value
+            pairs += sums(held) ** 2 - sums(held * held)
+        return self.bias + sums(self.linear[at] * value) + 0.5 * pairs
 
 
 def word_facts(word: str) -> tuple[int, int, int, int, int, int, int]:
@@ -127,11 +131,12 @@ class Features:
             level = np.floor(np.log2(np.abs(np.nan_to_num(m, nan=0.0, posinf=1e300, neginf=-1e300)) + 1)).clip(0, LEVELS // 2 - 2).astype(np.int64) + 1
             steps.append(np.where(np.isnan(m), 0, np.where(m < 0, level + LEVELS // 2, level)) + base + LEVELS * i)
         weight = 1 + np.log(times.astype(np.float64))
-        norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))
+        # Words count by their share, less so in short texts, which say little about their words.
+        norm = np.bincount(owner, weights=weight, minlength=n) + SHRINK
         every = np.tile(np.arange(n), len(steps))
         rows = np.concatenate([owner, every])
         at = np.concatenate([facts[word, 0] % self.words, *steps])
-        value = np.concatenate([weight / norm[owner], np.full(len(every), 1 / np.sqrt(len(steps)))])
+        value = np.concatenate([weight / norm[owner], np.full(len(every), 0.5)])
         # Words that share a place are one place of the sum of their values.
         both, inverse = np.unique(rows * np.int64(1 << 32) + at, return_inverse=True)
         return both & 0xFFFFFFFF, np.bincount(inverse, weights=value), np.bincount(both >> 32, minlength=n)
@@ -164,7 +169,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, meta
 
 def train(
     docs: DataFrame, labels: DataFrame, *, label: str = "quality", metadata: Sequence[str] = (), words: int = 1 << 14, factors: int = 8, per_class: int = 2500,
-    rounds: int = 80, step: float = 0.05, reg: float = 1e-4, least: int = 3, seed: int = 1,
+    rounds: int = 100, step: float = 0.05, reg: float = 0.03, least: int = 3, seed: int = 1,
 ) -> Machine:
     """Fit on a bounded sample: about ``per_class`` labelled texts of each class, none of the held-out fold.
 
