@@ -70,18 +70,23 @@ def key_schemes(
     return [best, *finer]
 
 
-def _keyed(side: DataFrame, scheme: KeyScheme, hash_bits: int) -> DataFrame:
+def explode_keys(side: DataFrame, scheme: KeyScheme, hash_bits: int) -> DataFrame:
+    """Every row once per block key of its ``fp``: all its columns, k (the blocks chosen) and v (their bits)."""
     keys = F.array(
         *[
             F.struct(F.lit(chosen).alias("k"), F.lit(mask).alias("mask"))
             for chosen, mask in block_keys(scheme.blocks, scheme.agree, hash_bits)
         ]
     )
-    return side.select("fp", F.explode(keys).alias("key")).select(
-        "fp", F.col("key.k").alias("k"), F.col("fp").bitwiseAND(F.col("key.mask")).alias("v")
+    return side.select("*", F.explode(keys).alias("key")).select(
+        *side.columns, F.col("key.k").alias("k"), F.col("fp").bitwiseAND(F.col("key.mask")).alias("v")
     )
 
 
+def _keyed(side: DataFrame, scheme: KeyScheme, hash_bits: int) -> DataFrame:
+    return explode_keys(side.select("fp"), scheme, hash_bits)
+
+
 def _agreeing_blocks(difference: Column, blocks: int, hash_bits: int) -> Column:
     """Bit set of the blocks in which two fingerprints do not differ."""
     total = F.lit(0)
@@ -91,6 +96,30 @@ def _agreeing_blocks(difference: Column, blocks: int, hash_bits: int) -> Column:
     return total
 
 
+def is_near(difference: Column, distance: int, num_bands: int, hash_bits: int) -> Column:
+    """Whether two fingerprints that differ in these bits match: close enough, and one band in common."""
+    close = F.bit_count(difference) <= distance
+    if distance < num_bands:  # then some band has to agree
+        return close
+    bands = [difference.bitwiseAND(F.lit(signed64(m))) == 0 for m in block_masks(num_bands, hash_bits)]
+    shares_band = bands[0]
+    for band in bands[1:]:
+        shares_band = shares_band | band
+    return close & shares_band
+
+
+def under_lowest_key(difference: Column, k: Column, scheme: KeyScheme, hash_bits: int) -> Column:
+    """Whether ``k`` is the lowest of the keys that a pair shares, so that it is kept once.
+
+    Among the blocks up to the key's last block, none but the key's own blocks agree.
+    """
+    smear = k
+    for shift in (1, 2, 4, 8, 16):
+        smear = smear.bitwiseOR(F.shiftright(smear, shift))
+    agreeing = _agreeing_blocks(difference, scheme.blocks, hash_bits)
+    return F.bit_count(agreeing.bitwiseAND(smear)) == scheme.agree
+
+
 def _join(left: DataFrame, right: DataFrame, scheme: KeyScheme, distance: int, num_bands: int, hash_bits: int, self_join: bool) -> DataFrame:
     a = left.withColumnRenamed("fp", "fp_a")
     b = right.select(F.col("fp").alias("fp_b"), "k", "v")
@@ -98,20 +127,7 @@ def _join(left: DataFrame, right: DataFrame, scheme: KeyScheme, distance: int, n
     if self_join:
         pairs = pairs.filter(F.col("fp_a") < F.col("fp_b"))
     difference = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    pairs = pairs.filter(F.bit_count(difference) <= distance)
-    # A pair sharing several keys is kept under the lowest one only: among the blocks up
-    # to the key's last block, none but the key's own blocks agree.
-    smear = F.col("k")
-    for shift in (1, 2, 4, 8, 16):
-        smear = smear.bitwiseOR(F.shiftright(smear, shift))
-    agreeing = _agreeing_blocks(difference, scheme.blocks, hash_bits)
-    pairs = pairs.filter(F.bit_count(agreeing.bitwiseAND(smear)) == scheme.agree)
-    if distance >= num_bands:
-        bands = [difference.bitwiseAND(F.lit(signed64(m))) == 0 for m in block_masks(num_bands, hash_bits)]
-        shares_band = bands[0]
-        for band in bands[1:]:
-            shares_band = shares_band | band
-        pairs = pairs.filter(shares_band)
+    pairs = pairs.filter(is_near(difference, distance, num_bands, hash_bits)).filter(under_lowest_key(difference, F.col("k"), scheme, hash_bits))
     return pairs.select("fp_a", "fp_b", F.bit_count(difference).alias("distance"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.functions.confusables import strip_confusables
 from siftline.functions.hashing import simhash
 from siftline.functions.zero_width import strip_zero_width
-from siftline.operators.components import connected_components
+from siftline.operators.forest import near_components
 from siftline.operators.neighbours import BROADCAST_ROWS, bucket_representatives, near_pairs
 from siftline.operators.skew import lookup_join
 from siftline.session import materialize
@@ -52,7 +52,7 @@ def latest_per_id(fingerprints: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(ttl_seconds: int | None) -> Column:
+def time_bucket(ttl_seconds: int | None) -> Column:
     if ttl_seconds is None:
         return F.lit(0).cast("long")
     return F.floor(F.unix_micros("ts") / F.lit(ttl_seconds * 1_000_000))
@@ -65,7 +65,7 @@ def fingerprint_groups(fingerprints: DataFrame, *, ttl_seconds: int | None = Non
     one before.
     """
     order = F.struct("ts", "message_id")
-    return fingerprints.groupBy("fp", _bucket(ttl_seconds).alias("bucket")).agg(
+    return fingerprints.groupBy("fp", time_bucket(ttl_seconds).alias("bucket")).agg(
         F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")
     )
 
@@ -151,7 +151,7 @@ def flag_fingerprints(
     distinct_fps = groups.select("fp").distinct() if ttl_seconds is not None else groups.select("fp")
     pairs = near_pairs(distinct_fps, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)
     near = neighbourhood(distinct_fps, materialize(pairs))
-    return _attach(fps, groups, near, hash_bits, ttl_seconds)
+    return attach_verdicts(fps, groups, near, hash_bits, ttl_seconds)
 
 
 def match_batch(
@@ -186,12 +186,13 @@ def match_batch(
         .groupBy("fp", "bucket")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     )
-    return _attach(fps, merged, near, hash_bits, ttl_seconds), groups
+    return attach_verdicts(fps, merged, near, hash_bits, ttl_seconds), groups
 
 
-def _attach(fps: DataFrame, groups: DataFrame, near: DataFrame, hash_bits: int, ttl_seconds: int | None) -> DataFrame:
+def attach_verdicts(fps: DataFrame, groups: DataFrame, near: DataFrame, hash_bits: int, ttl_seconds: int | None) -> DataFrame:
+    """Verdicts of messages from fingerprint summaries and the relation of near fingerprints."""
     levels = materialize(_earliest_by_distance(groups, near, ttl_seconds))
-    keyed = fps.withColumn("bucket", _bucket(ttl_seconds))
+    keyed = fps.withColumn("bucket", time_bucket(ttl_seconds))
     joined = lookup_join(keyed, levels, ["fp", "bucket"], weight="n", how="inner")
     return joined.select(
         "message_id", "ts", F.col("fp").alias("fingerprint"), *_verdict(hash_bits, ttl_seconds)
@@ -246,7 +247,7 @@ def flag_crowds(
     that match).
     """
     options = {"threshold": threshold, "num_bands": num_bands, "hash_bits": hash_bits}
-    keyed_rows = fps.withColumn("bucket", _bucket(ttl_seconds))
+    keyed_rows = fps.withColumn("bucket", time_bucket(ttl_seconds))
     message = F.struct("ts", "message_id", "fp")
     groups = materialize(
         keyed_rows.groupBy("fp", "bucket").agg(
@@ -325,13 +326,8 @@ def similar_messages(
 
 
 def blast_labels(groups: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64) -> DataFrame:
-    """Connected groups of near-duplicate fingerprints: fp, blast (smallest fp of the group)."""
-    distinct_fps = groups.select("fp")
-    pairs = materialize(near_pairs(distinct_fps, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits))
-    labels = connected_components(pairs.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")))
-    return distinct_fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("blast")
-    )
+    """Connected groups of near-duplicate fingerprints: fp, blast (smallest fp of the group). No pairs are listed."""
+    return near_components(groups.select("fp"), threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)
 
 
 def blast_summary(groups: DataFrame, labels: DataFrame, *, min_size: int = 2) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline import schema as S
 from siftline.functions import confusables, hashing, net, rules, urls, zero_width
-from siftline.operators import dedup, evaluate, metrics, neighbours, outbreak, redirects, relabel, review, skew, synth
+from siftline.operators import blast_index, dedup, evaluate, metrics, neighbours, outbreak, outbreak_index, redirects, relabel, review, skew, synth
 from siftline.plans import classify as flow, training
-from siftline.session import materialize
+from siftline.session import materialize, new_folder
 from siftline.streaming import jobs
 from siftline.views import MESSAGES, documents, messages
 
@@ -463,27 +463,76 @@ SELECT x.message_id, y.message_id AS similar_id, 1.0::DOUBLE - bit_count(xor(x.f
 FROM fps x JOIN messages m ON m.message_id = x.message_id JOIN fps y ON y.message_id < x.message_id
 WHERE m.lang = 'de' AND bit_count(xor(x.fp, y.fp)) <= 6""")
 def new_batch_lookup(spark, sf_dir):
-    """Full match lists of one incoming batch (the German messages) against all messages."""
+    """Full match lists of one incoming batch (the German messages) against an index that three earlier batches wrote."""
     view = messages(spark, sf_dir)
     fps = materialize(outbreak.fingerprint_messages(view, hash_fn="md5"))
+    index = _stored_index(spark, fps, 3, outbreak_index.IndexOptions(fan_in=3))
     batch = fps.join(view.filter(F.col("lang") == "de").select("message_id"), "message_id")
-    return outbreak.similar_messages(batch, fps)
+    return index.similar(materialize(batch))
 
 
-@query("blast_sizes", SIMHASH_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
+def _stored_index(spark, fps, batches, options):
+    """An index of these fingerprints, written batch by batch in time order; each is sent twice."""
+    index = outbreak_index.OutbreakIndex(spark, new_folder(spark, "outbreak-index"), options)
+    last = fps.agg(F.max("message_id")).first()[0]
+    for i in range(batches):
+        low, high = i * (last + 1) // batches, (i + 1) * (last + 1) // batches
+        part = fps.filter((F.col("message_id") >= low) & (F.col("message_id") < high))
+        index.add(part, batch=i)
+        index.add(part, batch=i)
+        index.compact()
+    return index
+
+
+@query("index_lookup_ttl", SIMHASH_SQL + """, bound AS (SELECT 3 * ((max(message_id) + 1) // 4) AS b FROM fps),
+hits AS (SELECT x.message_id, bit_count(xor(x.fp, y.fp)) AS d FROM fps x JOIN fps y ON y.message_id < x.message_id
+  JOIN bound ON x.message_id >= b WHERE bit_count(xor(x.fp, y.fp)) <= 6 AND (x.message_id - y.message_id) * 7 < 1500),
+best AS (SELECT message_id, min(d) AS d, count(DISTINCT d) AS levels FROM hits GROUP BY message_id)
+SELECT f.message_id, h.d IS NOT NULL AS is_outbreak_candidate, 1.0::DOUBLE - h.d / 64.0::DOUBLE AS best_similarity,
+  CAST(coalesce(h.levels, 0) AS BIGINT) AS levels FROM fps f JOIN bound ON f.message_id >= b LEFT JOIN best h USING (message_id)""")
+def index_lookup_ttl(spark, sf_dir):
+    """Verdicts of the newest quarter of the messages against a stored index of all messages, its own batch left out."""
+    fps = materialize(_fingerprints(spark, sf_dir))
+    quarter = 3 * ((fps.agg(F.max("message_id")).first()[0] + 1) // 4)
+    index = outbreak_index.OutbreakIndex(spark, new_folder(spark, "outbreak-index"), outbreak_index.IndexOptions(ttl_seconds=1500))
+    index.add(fps.filter(F.col("message_id") < quarter), batch=0)
+    batch = materialize(fps.filter(F.col("message_id") >= quarter))
+    index.add(batch, batch=1)
+    flags = index.verdicts(batch, before_batch=1)
+    return flags.select("message_id", "is_outbreak_candidate", "best_similarity", F.size("matches").cast("long").alias("levels"))
+
+
+BLAST_SQL = SIMHASH_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
 d AS (SELECT DISTINCT fp FROM fps),
 edges AS MATERIALIZED (SELECT a.fp AS u, b.fp AS v FROM d a JOIN d b ON a.fp <> b.fp WHERE bit_count(xor(a.fp, b.fp)) <= 6),
 reach AS (SELECT fp AS node, fp AS origin FROM d UNION SELECT e.v, r.origin FROM reach r JOIN edges e ON e.u = r.node),
 labels_ AS (SELECT node AS fp, min(origin) AS blast FROM reach GROUP BY node)
 SELECT blast, count(*) AS messages, count(DISTINCT fp) AS variants, min(message_id) AS first_message_id, max(message_id) AS last_message_id
-FROM (SELECT l.blast, f.fp, f.message_id FROM fps f JOIN labels_ l USING (fp)) GROUP BY blast HAVING count(*) >= 2""")
-def blast_sizes(spark, sf_dir):
-    groups = materialize(outbreak.fingerprint_groups(materialize(_fingerprints(spark, sf_dir))))
-    summary = outbreak.blast_summary(groups, outbreak.blast_labels(groups))
+FROM (SELECT l.blast, f.fp, f.message_id FROM fps f JOIN labels_ l USING (fp)) GROUP BY blast HAVING count(*) >= 2"""
+
+
+def _blasts(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    summary = outbreak.blast_summary(groups, labels)
     last_id = ((F.unix_seconds("last_seen") - F.lit(1704067200)) / 7).cast("long")
     return summary.select("blast", "messages", "variants", "first_message_id", last_id.alias("last_message_id"))
 
 
+@query("blast_sizes", BLAST_SQL)
+def blast_sizes(spark, sf_dir):
+    groups = materialize(outbreak.fingerprint_groups(materialize(_fingerprints(spark, sf_dir))))
+    return _blasts(groups, outbreak.blast_labels(groups))
+
+
+@query("blast_batches", BLAST_SQL)
+def blast_batches(spark, sf_dir):
+    """The same blasts from four batches, each merged into the groups known before."""
+    fps = materialize(_fingerprints(spark, sf_dir))
+    known = blast_index.BlastIndex(spark, new_folder(spark, "blast-index"))
+    for batch in range(4):
+        known.add(materialize(fps.filter(F.col("message_id") % 4 == batch)), batch=batch)
+    return _blasts(known.groups(), known.labels())
+
+
 # --- relabelling ---------------------------------------------------------------------
 
 

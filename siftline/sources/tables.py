@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from siftline.operators.dedup import SEQ, file_path, file_position
 from siftline.operators.relabel import MANUAL
 from siftline.schema import DECISION_SCHEMA, EXTRA_TYPE, LABELS, MODEL_LABELS, RECORD_COLUMNS
+from siftline.sources.commits import CommitLog
 from siftline.sources.files import list_files, read_csv_robust
 
 SEED_SOURCE = "synthetic_seed"
@@ -63,14 +64,21 @@ def read_seeds(spark: SparkSession, folder: str, *, lang: str = "tr") -> DataFra
 
 
 def _read_json(spark: SparkSession, path: str, schema, *, position: bool = False) -> DataFrame:
-    try:
-        rows = spark.read.schema(schema).json(path)
-        return rows.select("*", file_position().alias(SEQ)) if position else rows
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        empty = spark.createDataFrame([], schema)
-        return empty.withColumn(SEQ, F.lit(None).cast("struct<path:string,block:bigint,row:bigint>")) if position else empty
+    """Lines of committed batches and of files that lie in the folder itself."""
+    empty = spark.createDataFrame([], schema)
+    if position:
+        empty = empty.withColumn(SEQ, F.lit(None).cast("struct<path:string,block:bigint,row:bigint>"))
+    found = empty
+    for folders in ([path], CommitLog(spark, path).folders()):
+        try:
+            rows = spark.read.schema(schema).json(folders) if folders else None
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = None
+        if rows is not None:
+            found = found.unionByName(rows.select("*", file_position().alias(SEQ)) if position else rows)
+    return found
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
@@ -90,25 +98,30 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(*DECISION_SCHEMA.names, position.alias(SEQ))
 
 
-def append_decisions(decisions: DataFrame, path: str, *, order: Column | None = None) -> None:
-    """Append decision rows (text, label, original_label, original_source, method).
+def append_decisions(decisions: DataFrame, path: str, *, order: Column | None = None, batch: tuple[str, int] | None = None) -> bool:
+    """Append decision rows (text, label, original_label, original_source, method); False if they were there already.
 
     Each is stamped with the time of the append and its place in it: ``order``, a whole
-    number, or the order of the frame.
+    number, or the order of the frame. ``batch`` names the writer and its batch number; sent again, it adds nothing.
     """
     rows = decisions if "method" in decisions.columns else decisions.withColumn("method", F.lit(MANUAL))
     place = F.monotonically_increasing_id() if order is None else order.cast("bigint")
     stamped = rows.select(*DECISION_SCHEMA.names, F.unix_micros(F.current_timestamp()).alias("decided_at"), place.alias("position"))
-    stamped.write.mode("append").json(path)
+    return _append(stamped, path, batch)
+
+
+def _append(rows: DataFrame, path: str, batch: tuple[str, int] | None) -> bool:
+    writer, number = batch or (None, 0)
+    return CommitLog(rows.sparkSession, path).append(rows, writer=writer, batch=number, file_format="json")
 
 
 def read_confirmed(spark: SparkSession, path: str) -> DataFrame:
     return _read_json(spark, path, CONFIRMED_SCHEMA).filter(F.col("text").isNotNull())
 
 
-def append_confirmed(records: DataFrame, path: str) -> None:
-    """Append human-confirmed records (text, label, source, lang)."""
-    records.select("text", "label", "source", "lang").write.mode("append").json(path)
+def append_confirmed(records: DataFrame, path: str, *, batch: tuple[str, int] | None = None) -> bool:
+    """Append human-confirmed records (text, label, source, lang); ``batch`` as in :func:`append_decisions`."""
+    return _append(records.select("text", "label", "source", "lang"), path, batch)
 
 
 def write_corpus(df: DataFrame, out_dir: str) -> tuple[str, str]:
@@ -133,14 +146,19 @@ def write_synthetic(parts: dict[str, DataFrame], out_dir: str) -> None:
         write_jsonl(frame, f"{out_dir}/{name}.jsonl")
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """Train, validation and test rows as one Parquet table partitioned by ``split``."""
-    df.withColumn("extra", F.to_json("extra")).write.mode("overwrite").partitionBy("split").parquet(path)
+def write_splits(df: DataFrame, path: str, *, batch: tuple[str, int] | None = None) -> bool:
+    """Train, validation and test rows as one Parquet table partitioned by ``split``, in place of an earlier one.
+
+    Readers see the old rows until the new ones are complete.
+    """
+    writer, number = batch or (None, 0)
+    rows = df.withColumn("extra", F.to_json("extra"))
+    return CommitLog(df.sparkSession, path).append(rows, writer=writer, batch=number, partition_by=["split"], replace=True)
 
 
 def read_split(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Split rows with ``extra`` decoded; a named split prunes the other partitions."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(*CommitLog(spark, path).folders())
     if split is not None:
         df = df.filter(F.col("split") == split)
     return df.withColumn("extra", F.from_json("extra", EXTRA_TYPE))

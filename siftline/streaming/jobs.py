@@ -1,9 +1,9 @@
 """Structured Streaming jobs: classification with outbreak detection, and live metrics.
 
-Outbreak state is a table of fingerprint summaries, one folder per micro-batch. A
-micro-batch is detected with the batch operators against that table, so a burst of
+Outbreak state is a stored index (:mod:`siftline.operators.outbreak_index`) that every
+micro-batch extends by one part. A micro-batch is detected with the batch operators against the index, so a burst of
 identical messages is combined before any shuffle, AQE applies, and a replayed batch
-overwrites its own folders instead of adding to them.
+is neither matched with itself nor added twice.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline.functions.hashing import simhash
 from siftline.operators.metrics import windowed_metrics
-from siftline.operators.outbreak import match_batch
+from siftline.operators.outbreak_index import IndexOptions, OutbreakIndex
 from siftline.operators.review import review_items
 from siftline.plans.classify import Scorer, classify, latest_messages
 from siftline.session import ensure_checkpoint_dir, materialize
@@ -42,20 +41,8 @@ def finish(query: StreamingQuery, *, seconds: int | None = None) -> None:
         query.stop()
 
 
-def _earlier_summaries(
-    spark: SparkSession, index_path: str, batch_id: int, oldest_bucket: int | None, template: DataFrame
-) -> DataFrame:
-    """Index rows of earlier batches that can still match; partition filters prune the rest."""
-    try:
-        index = spark.read.schema(template.schema.add(BATCH, "long")).parquet(index_path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return template.limit(0)
-    earlier = index.filter(F.col(BATCH) < batch_id)
-    if oldest_bucket is not None:
-        earlier = earlier.filter(F.col("bucket") >= oldest_bucket)
-    return earlier.drop(BATCH)
+#: Writer of stream parts in an index's manifest.
+STREAM = "stream"
 
 
 def detect_batch(
@@ -68,30 +55,27 @@ def detect_batch(
     num_bands: int = 8,
     hash_bits: int = 64,
     late_after_seconds: int | None = None,
+    shards: int = 64,
+    fan_in: int = 8,
 ) -> DataFrame:
-    """Outbreak verdicts for one micro-batch; adds its summaries to the index.
+    """Outbreak verdicts for one micro-batch, which then becomes part of the index.
 
     ``fps`` is materialised (message_id, ts, fp). Rows older than the newest indexed
-    message by more than ``late_after_seconds`` are judged but not remembered.
+    message by more than ``late_after_seconds`` are judged but not remembered; with that
+    bound, time buckets that no row can match any more are deleted.
     """
-    from siftline.operators.outbreak import fingerprint_groups
-
     spark = fps.sparkSession
-    template = fingerprint_groups(fps, ttl_seconds=ttl_seconds)
-    span = fps.agg(F.min(F.unix_seconds("ts")).alias("low")).first()
-    oldest = None if span["low"] is None else span["low"] // ttl_seconds - 1
-    index = _earlier_summaries(spark, index_path, batch_id, oldest, template)
-    verdicts, groups = match_batch(
-        fps, index, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits, ttl_seconds=ttl_seconds
-    )
-    verdicts = materialize(verdicts)
-    remembered = groups
-    if late_after_seconds is not None:
-        newest = index.agg(F.max(F.unix_seconds("last.ts"))).first()[0]
-        if newest is not None:
-            fresh = fps.filter(F.unix_seconds("ts") >= newest - late_after_seconds)
-            remembered = fingerprint_groups(fresh, ttl_seconds=ttl_seconds)
-    remembered.write.mode("overwrite").partitionBy("bucket").parquet(f"{index_path}/{BATCH}={batch_id}")
+    options = IndexOptions(ttl_seconds, threshold, num_bands, hash_bits, shards, fan_in)
+    index = OutbreakIndex(spark, index_path, options, id_type=fps.schema["message_id"].dataType.simpleString())
+    verdicts = materialize(index.verdicts(fps, before_batch=batch_id, writer=STREAM))
+    newest = index.newest(index.parts(before_batch=batch_id, writer=STREAM))
+    fresh = fps
+    if late_after_seconds is not None and newest is not None:
+        fresh = fps.filter(F.unix_micros("ts") >= int((newest - late_after_seconds) * 1_000_000))
+    index.add(fresh, batch=batch_id, writer=STREAM)
+    if late_after_seconds is not None and newest is not None:
+        index.expire(newest - late_after_seconds - ttl_seconds)
+    index.compact(keep_batch=batch_id)
     return verdicts
 
 

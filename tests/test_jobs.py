@@ -294,15 +294,18 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_path):
     }
     assert got[2]["is_outbreak_candidate"] and not got[6]["is_outbreak_candidate"]
     assert jobs.read_review_items(spark, out).count() == 7  # the rule row is certain
-    # a replayed micro-batch sees the same index and rewrites its own folders
+    # a replayed micro-batch sees the same index and adds nothing to it
     from siftline.operators.outbreak import fingerprint_messages
+    from siftline.operators.outbreak_index import IndexOptions, OutbreakIndex
 
     fps = fingerprint_messages(df.filter("message_id >= 5")).checkpoint()
-    last = max(r["batch_id"] for r in spark.read.parquet(f"{out}/index").select("batch_id").distinct().collect())
-    before = spark.read.parquet(f"{out}/index").count()
+    index = OutbreakIndex(spark, f"{out}/index", IndexOptions(ttl_seconds=100))
+    last = max(p.note["batch"] for p in index.parts())
+    before = (index.log.snapshot().version, index._read("members", index.parts()).count())
+    assert before[1] == len(rows)
     again = {r["message_id"]: r["is_outbreak_candidate"] for r in jobs.detect_batch(fps, last, f"{out}/index", ttl_seconds=100).collect()}
     assert again == {k: got[k]["is_outbreak_candidate"] for k in (5, 6, 7)}
-    assert spark.read.parquet(f"{out}/index").count() == before
+    assert (index.log.snapshot().version, index._read("members", index.parts()).count()) == before
 
 
 def test_metrics_stream_appends_closed_windows(spark, tmp_path):
