@@ -11,7 +11,7 @@ from siftline.functions import confusables, hashing, net, rules, urls, zero_widt
 from siftline.operators import blast_index, dedup, evaluate, metrics, neighbours, outbreak, outbreak_index, redirects, relabel, review, skew, synth
 from siftline.plans import classify as flow, training
 from siftline.session import materialize, new_folder
-from siftline.streaming import jobs
+from siftline.streaming import jobs, state
 from siftline.views import MESSAGES, documents, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -897,6 +897,31 @@ def classify_stream(spark, sf_dir):
     )
 
 
+@query("outbreak_state_stream", SIMHASH_SQL + """,
+hits AS (SELECT x.message_id, bit_count(xor(x.fp, y.fp)) AS d FROM fps x JOIN fps y ON y.message_id < x.message_id
+  WHERE bit_count(xor(x.fp, y.fp)) <= 6 AND (x.message_id - y.message_id) * 7 < 1500),
+best AS (SELECT message_id, min(d) AS d, count(DISTINCT d) AS levels FROM hits GROUP BY message_id)
+SELECT f.message_id, b.d IS NOT NULL AS is_outbreak_candidate, 1.0::DOUBLE - b.d / 64.0::DOUBLE AS best_similarity,
+  CAST(coalesce(b.levels, 0) AS BIGINT) AS levels FROM fps f LEFT JOIN best b USING (message_id)""")
+def outbreak_state_stream(spark, sf_dir):
+    """All messages as a stream in four files, a third of each arriving one file late, judged in keyed state."""
+    work = jobs.scratch(spark)
+    view = messages(spark, sf_dir).select("message_id", "text", "ts")
+    last = view.agg(F.max("message_id")).first()[0]
+    part = F.least(F.lit(3), F.floor(F.col("message_id") * 4 / F.lit(last + 1)) + (F.xxhash64("message_id") % 3 == 0).cast("long"))
+    for i in range(4):
+        view.filter(part == i).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    delay = 7 * (last + 1)
+    clock = view.limit(1).select(F.lit(None).cast("long").alias("message_id"), F.lit("").alias("text"), F.timestamp_seconds(F.lit(1704067200 + 3 * delay + 1500)).alias("ts"))
+    clock.write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(view.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    started = state.start_outbreak_state_stream(stream, f"{work}/out", f"{work}/state", ttl_seconds=1500, watermark=f"{delay} seconds", hash_fn="md5")
+    jobs.finish(started)
+    return spark.read.parquet(f"{work}/out").select(
+        "message_id", "is_outbreak_candidate", "best_similarity", F.size("levels").cast("long").alias("levels")
+    )
+
+
 # --- synthetic data ------------------------------------------------------------------
 
 
