@@ -7,7 +7,7 @@ never formed, so a blast of any size costs as many rows as it has messages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions.confusables import strip_confusables
 from siftline.functions.hashing import simhash
@@ -325,6 +325,17 @@ def similar_messages(
     )
 
 
+def top_similar(matches: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best matches of every message, ranked: message_id, rank, similar_id, similarity; ties by id.
+
+    Every task keeps its own ``k`` best per message before anything is shuffled, so a message
+    with any number of matches sends ``k`` rows per task.
+    """
+    order = Window.partitionBy("message_id").orderBy(F.desc("similarity"), "similar_id")
+    ranked = matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("message_id", "rank", "similar_id", "similarity")
+
+
 def blast_labels(groups: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64) -> DataFrame:
     """Connected groups of near-duplicate fingerprints: fp, blast (smallest fp of the group). No pairs are listed."""
     return near_components(groups.select("fp"), threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)

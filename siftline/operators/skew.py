@@ -88,3 +88,40 @@ def ranked(
     numbered = sliced.withColumn("_local", F.row_number().over(inside))
     joined = numbered.join(counts.drop("_n"), keys)
     return joined.withColumn(rank, F.col("_before") + F.col("_local")).drop("_group", "_slice", "_before", "_local")
+
+
+def draw_thresholds(rows: DataFrame, wanted: Sequence[tuple], *, digits: int = 3) -> dict[tuple, str]:
+    """For every (group, rank) the bound under which exactly that many of the group's draws lie.
+
+    ``rows`` has ``_group`` (few distinct values) and ``_draw`` (uniform hex strings, see :func:`hex_draw`) and is
+    materialised. Each round counts, per wanted rank, the draws with the prefix found so far by their
+    next ``digits`` digits, and picks the digits under which the rank lies. Only counts leave a task, and only
+    ``16**digits`` numbers per rank reach the driver; nothing is sorted. Equal draws cannot be told apart: a bound that
+    falls among them takes in all of them.
+    """
+    done = {(group, rank): "" for group, rank in wanted if rank <= 0}
+    state = {(group, rank): ("", rank) for group, rank in wanted if rank > 0}
+    names = {key: i for i, key in enumerate(state)}
+    kind = rows.schema["_group"].dataType.simpleString()
+    while state:
+        targets = rows.sparkSession.createDataFrame([(names[k], k[0], prefix) for k, (prefix, _) in state.items()], f"target int, wanted {kind}, prefix string")
+        met = rows.join(F.broadcast(targets), F.col("_group").eqNullSafe(F.col("wanted")) & F.startswith("_draw", "prefix"))
+        step = F.substr("_draw", F.length("prefix") + 1, F.lit(digits))
+        counts: dict[int, list] = {}
+        for row in met.groupBy("target", step.alias("next")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(row["target"], []).append((row["next"], row["n"]))
+        left = {}
+        for key, (prefix, rank) in state.items():
+            for following, n in sorted(counts.get(names[key], [])):
+                if rank <= n:
+                    break
+                rank -= n
+            else:
+                done[key] = prefix + "~"  # the group has no more rows than that
+                continue
+            if rank == n or not following or len(prefix) + len(following) >= 32:
+                done[key] = prefix + following + "~"
+            else:
+                left[key] = (prefix + following, rank)
+        state = left
+    return done

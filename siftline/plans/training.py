@@ -12,16 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftline.functions.urls import mark_all
 from siftline.operators.evaluate import class_weights, macro_metrics
-from siftline.operators.skew import hex_draw, lookup_join, ranked
+from siftline.operators.skew import draw_thresholds, hex_draw, lookup_join
 from siftline.schema import MODEL_LABELS, label_index
 from siftline.session import materialize
 
 
 
-def _share(rows, fraction: float):
-    return F.floor(rows * F.lit(fraction) + F.lit(0.5))
-
-
 def _can_stratify(labels: int, smallest: int | None, rows: int | None, val_size: float, test_size: float) -> bool:
     if not labels or smallest < 3:
         return False
@@ -40,8 +36,9 @@ def split_dataset(
 ) -> DataFrame:
     """Add ``split`` (train, val, test), stratified by label, exact in every stratum.
 
-    Rows are ranked by a hash of the seed and their key, so the split is repeatable and
-    independent of partitioning. With ``group_col`` all rows of a group land in one
+    Rows are drawn by a hash of the seed and their key, so the split is repeatable and
+    independent of partitioning. The bounds of the draws are found by counting, see
+    :func:`draw_thresholds`: no row is sorted and no text is shuffled. Rows with equal keys stay together. With ``group_col`` all rows of a group land in one
     split, which keeps variants of one seed text from leaking into the test set. Falls
     back to an unstratified split, with a warning, when a class is too small.
     """
@@ -62,14 +59,18 @@ def split_dataset(
     if not _can_stratify(strata["labels"], strata["smallest"], strata["rows"], val_size, test_size):
         warnings.warn("stratified split failed (a class is too small); falling back to a non-stratified split")
         by = []
-    drawn = df.withColumn("_draw", hex_draw(seed, *key_cols))
-    numbered = ranked(drawn, by, "_draw", key_cols, rank="_rank", size="_size")
-    n_test = _share(F.col("_size"), test_size)
-    n_val = _share(F.col("_size"), val_size)
-    part = (
-        F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "val").otherwise("train")
-    )
-    return numbered.withColumn("split", part).select(*df.columns, "split")
+    group = F.col(label_col) if by else F.lit(0)
+    draw = hex_draw(seed, *key_cols)
+    counts = {r["g"]: r["n"] for r in df.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
+    test = {g: math.floor(n * test_size + 0.5) for g, n in counts.items()}
+    val = {g: test[g] + math.floor(n * val_size + 0.5) for g, n in counts.items()}
+    slim = materialize(df.select(group.alias("_group"), draw.alias("_draw")))
+    bounds = draw_thresholds(slim, sorted({(g, k) for part in (test, val) for g, k in part.items()}, key=repr))
+    kind = slim.schema["_group"].dataType.simpleString()
+    limits = df.sparkSession.createDataFrame([(g, bounds[g, test[g]], bounds[g, val[g]]) for g in counts], f"_group {kind}, _test string, _val string")
+    drawn = df.withColumn("_draw", draw).join(F.broadcast(limits), F.col("_group").eqNullSafe(group), "left")
+    part = F.when(F.col("_draw") <= F.col("_test"), "test").when(F.col("_draw") <= F.col("_val"), "val").otherwise("train")
+    return drawn.withColumn("split", part).select(*df.columns, "split")
 
 
 def split_counts(split: DataFrame, *, label_col: str = "label") -> DataFrame:

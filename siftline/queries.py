@@ -1158,6 +1158,208 @@ def source_charsets(spark, sf_dir):
     return read_csv_robust(spark, paths).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
+def _in_ranges(spark, pieces: int, folder: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` reads from the folder's files, read in about ``pieces`` byte ranges each."""
+    from siftline.sources.files import list_files
+
+    size = spark.read.format("binaryFile").load([r["path"] for r in list_files(spark, folder, recursive=True).collect()]).agg(F.max("length")).first()[0]
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], str(max(size // pieces, 1)))
+        spark.conf.set(names[1], "0")
+        return materialize(make())
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+@query("source_one_csv", "SELECT doc_id, text, lang FROM documents")
+def source_one_csv(spark, sf_dir):
+    """Documents as one CSV file with quoted line breaks, read by some forty tasks."""
+    from siftline.sources.files import read_csv_robust
+
+    folder = jobs.scratch(spark)
+    rows = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    read = _in_ranges(spark, 40, folder, lambda: read_csv_robust(spark, folder))
+    return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+
+
+@query("raw_profile", """SELECT lang AS folder, 'doc_id|text' AS columns, count(*) AS records,
+array_to_string(list_slice(list(doc_id ORDER BY doc_id), 1, 3), '|') AS sample, CAST(NULL AS VARCHAR) AS error FROM documents GROUP BY lang
+UNION ALL SELECT 'zz', 'a|b', 2, NULL, 'a quoted field is never closed'
+UNION ALL SELECT 'yy', NULL, NULL, NULL, 'no content'""")
+def raw_profile(spark, sf_dir):
+    """Documents as one CSV file a language, with a broken and a blank file beside them, profiled in one pass."""
+    from siftline.sources.tables import profile_sources
+
+    folder = jobs.scratch(spark)
+    rows = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    for name, text in (("zz", 'a,b\n1,2\n3,"open\n'), ("yy", "\n\n")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").option("compression", "none").text(f"{folder}/lang={name}")
+    seen = _in_ranges(spark, 10, folder, lambda: profile_sources(spark, folder, pattern="part-*"))
+    ids = F.transform("sample", lambda s: F.get_json_object(s, "$.doc_id"))
+    return seen.select(
+        F.regexp_extract("path", "lang=([a-z]+)/", 1).alias("folder"), F.array_join("columns", "|").alias("columns"), F.col("rows").alias("records"),
+        F.when(F.col("error").isNull(), F.array_join(ids, "|")).alias("sample"), "error",
+    )
+
+
+def _written(rows: DataFrame, path: str, **options) -> None:
+    writer = rows.write.mode("append")
+    for name, value in options.items():
+        writer = writer.option(name, value)
+    writer.csv(path)
+
+
+def _source(name):
+    from siftline.sources import corpora
+
+    return next(s for s in corpora.SOURCES if s.name == name)
+
+
+_TRIMMED = """trim(text, ' ' || chr(9) || chr(10) || chr(13))"""
+
+
+@query("source_headerless_tsv", f"""SELECT {_TRIMMED} AS text, CASE WHEN doc_id % 4 = 0 THEN 'spam' ELSE 'bilgilendirme' END AS label, 'sms_spam_collection' AS source, 'en' AS lang
+FROM documents WHERE {_TRIMMED} <> ''""")
+def source_headerless_tsv(spark, sf_dir):
+    """Documents as one tab-separated file of labels and texts without a header."""
+    from siftline.sources import corpora
+
+    folder = jobs.scratch(spark)
+    label = F.when(F.col("doc_id") % 4 == 0, "spam").otherwise(F.when(F.col("doc_id") % 4 == 1, " Ham ").otherwise("ham"))
+    _written(documents(spark, sf_dir).select(label, "text").coalesce(1), folder, sep="\t", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return corpora.load_source(spark, _source("sms_spam_collection"), f"{folder}").select("text", "label", "source", "lang")
+
+
+@query("source_positional", f"""SELECT {_TRIMMED} AS text, CASE WHEN toxic = 1 THEN 'spam' ELSE 'bilgilendirme' END AS label, 'turkish_spam_dataset' AS source, 'tr' AS lang
+FROM documents JOIN labels USING (doc_id) WHERE {_TRIMMED} <> ''""")
+def source_positional(spark, sf_dir):
+    """Documents as a sheet with wrong headings, taken by position; rows without a label (half the documents) are dropped."""
+    from siftline.sources import corpora
+
+    path = f"{jobs.scratch(spark)}/sheet.parquet"
+    sheet = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    sheet.select(F.col("text").alias("Unnamed: 0"), F.col("toxic").cast("string").alias("Unnamed: 1"), F.col("lang").alias("text"), F.lit("ham").alias("label")).write.parquet(path)
+    return corpora.load_source(spark, _source("turkish_spam_dataset"), path).select("text", "label", "source", "lang")
+
+
+@query("source_label_folders", """WITH files AS (SELECT source, doc_id % 2 AS half, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS whole FROM documents GROUP BY 1, 2)
+SELECT trim(whole, ' ' || chr(9) || chr(10) || chr(13)) AS text, CASE WHEN half = 0 THEN 'spam' ELSE 'bilgilendirme' END AS label, 'enron_spam' AS source, 'en' AS lang FROM files""")
+def source_label_folders(spark, sf_dir):
+    """The texts of each source as two files, in folders named after a label below a folder of the source."""
+    from siftline.sources import corpora
+
+    root = jobs.scratch(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    for source in [r["source"] for r in docs.select("source").distinct().collect()]:
+        for half, folder in enumerate(("Spam", "ham")):
+            own = docs.filter((F.col("source") == source) & (F.col("doc_id") % 2 == half)).coalesce(1).sortWithinPartitions("doc_id").select("text")
+            if not own.isEmpty():
+                own.write.text(f"{root}/{source}/{folder}")
+    return corpora.load_source(spark, _source("enron_spam"), root).select("text", "label", "source", "lang")
+
+
+@query("source_resolver", f"""WITH t AS (SELECT {_TRIMMED} AS text, lang, doc_id FROM documents)
+SELECT 'enron_spam' AS source, 'en' AS lang, CASE WHEN doc_id % 2 = 0 THEN 'spam' ELSE 'bilgilendirme' END AS label, count(*) AS records FROM t WHERE lang = 'en' AND text <> '' GROUP BY ALL
+UNION ALL SELECT 'turkish_sms_collection', 'tr', 'bilgilendirme', count(*) FROM t WHERE lang = 'de' AND text <> '' GROUP BY ALL
+UNION ALL SELECT 'turkish_spam_dataset', 'tr', 'spam', count(*) FROM t WHERE lang = 'fr' AND text <> '' GROUP BY ALL
+UNION ALL SELECT 'turkishsms_ds', 'tr', 'spam', count(*) FROM t WHERE lang = 'es' GROUP BY ALL""")
+def source_resolver(spark, sf_dir):
+    """Four of five corpora present, one in its second-choice layout, one in two file types: what the resolver loads from each."""
+    import warnings
+
+    from siftline.sources import corpora
+
+    root = jobs.scratch(spark)
+    docs = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", ""))
+    quoted = {"header": True, "quote": '"', "escape": '"'}
+    label = F.when(F.col("doc_id") % 2 == 0, "spam").otherwise("ham").alias("Class")
+    _written(docs.filter("lang = 'en'").select(F.col("text").alias("body"), label).coalesce(1), f"{root}/enron_spam", **quoted)
+    _written(docs.filter("lang = 'de'").select(F.col("text").alias("Mesaj"), F.lit("Normal").alias("Grup")).coalesce(1), f"{root}/turkish_sms_collection", sep=";", **quoted)
+    _written(docs.filter("lang = 'fr'").select(F.lit("ignored").alias("text"), F.lit("ham").alias("label")).coalesce(1), f"{root}/turkish_spam_dataset", **quoted)
+    docs.filter("lang = 'fr'").select("text", F.lit("1").alias("x")).coalesce(1).write.mode("append").parquet(f"{root}/turkish_spam_dataset")
+    docs.filter("lang = 'es'").select("text", F.lit("spam").alias("label"), F.lit(1).alias("sms_length")).write.parquet(f"{root}/turkishsms_ds/train")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        loaded = [load() for load in corpora.available_sources(spark, root).values()]
+    merged = loaded[0]
+    for frame in loaded[1:]:
+        merged = merged.unionByName(frame, allowMissingColumns=True)
+    return merged.groupBy("source", "lang", "label").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("training_priority", """WITH d AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents),
+one AS (SELECT * FROM d WHERE rn = 1)
+SELECT text, lang, CASE WHEN lang = 'en' AND doc_id % 2 = 1 THEN 'spam' ELSE 'bilgilendirme' END AS label, source
+FROM one WHERE NOT (lang = 'en' AND doc_id % 6 = 2)
+UNION ALL SELECT text, 'tr', 'reklam', 'manual_relabel' FROM (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, doc_id FROM documents WHERE lang = 'de' AND doc_id % 3 = 0) WHERE rn = 1 AND doc_id % 6 <> 0
+UNION ALL SELECT text, 'tr', 'spam', 'human_reviewed' FROM (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE lang = 'fr' AND doc_id % 3 = 0) WHERE rn = 1""")
+def training_priority(spark, sf_dir):
+    """Decisions over confirmed reviews over documents, each text once per language; one-time-password rows, decided or loaded, are left out."""
+    from siftline.plans.corpus import training_corpus as build
+
+    docs = documents(spark, sf_dir)
+    label = F.when((F.col("lang") == "en") & (F.col("doc_id") % 6 == 2), S.OTP).when((F.col("lang") == "en") & (F.col("doc_id") % 2 == 1), S.SPAM).otherwise(S.BILGILENDIRME)
+    public = docs.select(*S.record_columns(F.col("text"), label, F.col("source"), F.col("lang")), F.col("doc_id").alias("_seq"))
+    third = docs.filter(F.col("doc_id") % 3 == 0)
+    decided = third.filter("lang = 'de'").select(
+        "text", F.when(F.col("doc_id") % 6 == 0, S.OTP).otherwise(S.REKLAM).alias("label"), F.lit("ham").alias("original_label"),
+        F.lit("documents").alias("original_source"), F.lit("manual").alias("method"), F.col("doc_id").alias("_seq"),
+    )
+    sure = third.filter("lang = 'fr'").select("text", F.lit(S.SPAM).alias("label"), F.lit("human_reviewed").alias("source"), F.lit("tr").alias("lang"), F.col("doc_id").alias("_seq"))
+    built = build(decisions=decided, confirmed=sure, sources={"documents": lambda: public})
+    return built.select("text", "lang", "label", "source")
+
+
+@query("similar_top", SIMHASH_SQL + """
+SELECT message_id, CAST(rank AS INT) AS rank, similar_id, similarity FROM (
+  SELECT x.message_id, y.message_id AS similar_id, 1.0::DOUBLE - bit_count(xor(x.fp, y.fp)) / 64.0::DOUBLE AS similarity,
+    row_number() OVER (PARTITION BY x.message_id ORDER BY bit_count(xor(x.fp, y.fp)), y.message_id) AS rank
+  FROM fps x JOIN fps y ON y.message_id < x.message_id AND bit_count(xor(x.fp, y.fp)) <= 6) WHERE rank <= 5""")
+def similar_top(spark, sf_dir):
+    """The five best earlier matches of every message, ranked."""
+    fps = materialize(_fingerprints(spark, sf_dir))
+    return outbreak.top_similar(outbreak.similar_messages(fps, fps), 5)
+
+
+@query("corpus_sink_csv", f"WITH {MERGED_SQL} SELECT text, label, source, lang, '{{}}' AS extra FROM merged")
+def corpus_sink_csv(spark, sf_dir):
+    """The merged corpus as the CSV half of the sink holds it, read back in ranges."""
+    from siftline.sources.files import read_csv_robust
+    from siftline.sources.tables import write_corpus
+
+    path, _ = write_corpus(dedup.priority_merge(_merge_frames(spark, sf_dir)), jobs.scratch(spark))
+    return _in_ranges(spark, 8, path, lambda: read_csv_robust(spark, path)).drop("_seq")
+
+
+@query("jsonl_sink", "SELECT text, 'reklam' AS label, 'synthetic_seed' AS source, 'tr' AS lang, source AS notes FROM documents")
+def jsonl_sink(spark, sf_dir):
+    """Seed records as JSON lines, read back with their extra fields as an object."""
+    from siftline.sources.tables import write_jsonl
+
+    path = f"{jobs.scratch(spark)}/seeds.jsonl"
+    write_jsonl(seed_scan(spark, sf_dir).withColumn("extra", F.create_map(F.lit("notes"), "notes")).drop("notes"), path)
+    rows = spark.read.schema("text string, label string, source string, lang string, extra map<string,string>").json(path)
+    return rows.select("text", "label", "source", "lang", F.col("extra")["notes"].alias("notes"))
+
+
+@query("confirmed_sink", f"WITH {REVIEW_SQL} SELECT text, final_label AS label, 'human_reviewed' AS source, 'tr' AS lang FROM resolved WHERE decision = 'approve'")
+def confirmed_sink(spark, sf_dir):
+    """Confirmed records appended in two batches, each sent twice, read back."""
+    from siftline.sources.tables import append_confirmed, read_confirmed
+
+    path = f"{jobs.scratch(spark)}/confirmed"
+    rows = materialize(confirmed_records(spark, sf_dir).select("text", "label", "source", "lang"))
+    for _ in range(2):
+        for i in range(2):
+            append_confirmed(rows.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == i), path, batch=("review", i))
+    return read_confirmed(spark, path)
+
+
 @query("classify_resent_ids", f"""WITH {SCORED} SELECT CAST(message_id AS VARCHAR) AS message_id, label, round(confidence, 6) AS confidence, needs_review FROM reviewed""")
 def classify_resent_ids(spark, sf_dir):
     """Every message sent twice under its id, first with another text: one row per id, judged by the later text."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from siftline.operators.dedup import SEQ, file_path, file_position
 from siftline.operators.relabel import MANUAL
 from siftline.schema import DECISION_SCHEMA, EXTRA_TYPE, LABELS, MODEL_LABELS, RECORD_COLUMNS
+from siftline.sources import split_csv
 from siftline.sources.commits import CommitLog
-from siftline.sources.files import list_files, read_csv_robust
+from siftline.sources.files import decode_record, list_files, with_charset
 
 SEED_SOURCE = "synthetic_seed"
 #: What an append adds to each decision.
@@ -173,21 +176,33 @@ def label_map_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(zip(MODEL_LABELS, range(len(MODEL_LABELS)))), "label string, label_id int")
 
 
-def profile_csv(spark: SparkSession, path: str, *, sample: int = 3) -> dict:
-    """Columns, row count and first rows of one file; a read failure is reported, not raised."""
-    try:
-        df = read_csv_robust(spark, path).drop(SEQ)
-        return {"path": path, "columns": df.columns, "rows": df.count(), "sample": [r.asDict() for r in df.limit(sample).collect()], "error": None}
-    except Exception as exc:  # the report names the problem
-        return {"path": path, "columns": None, "rows": None, "sample": None, "error": str(exc)}
+def profile_sources(spark: SparkSession, raw_dir: str, *, pattern: str = "*.csv", sep: str = ",", sample: int = 3) -> DataFrame:
+    """path, columns, rows, sample (JSON objects), error: one row per delimited file at any depth.
 
-
-def profile_sources(spark: SparkSession, raw_dir: str, *, max_files: int = 1000) -> list[dict]:
-    """Profile of every CSV file under a raw folder (files beyond the limit are an error)."""
-    paths = [r["path"] for r in list_files(spark, raw_dir, "*.csv", recursive=True).orderBy("path").limit(max_files + 1).collect()]
-    if len(paths) > max_files:
-        raise ValueError(f"more than {max_files} files under {raw_dir}")
-    return [profile_csv(spark, p) for p in paths]
+    One pass over all files together, in byte ranges; each file's header counts for itself. What cannot be
+    read is told in ``error``: a file of blank lines, a quoted field that is never closed. Spark does not list
+    files of no bytes at all.
+    """
+    found = list_files(spark, raw_dir, pattern, recursive=True)
+    ranges = split_csv.scan_ranges(spark, [raw_dir], [sep], first_records=sample + 1, pattern=pattern)
+    facts = with_charset(split_csv.file_facts(ranges, [sep]))
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for row in rows.itertuples():
+                records = [decode_record(bytes(r), row.charset) for r in row.firsts[0]]
+                columns = split_csv.header_names(records[0], sep) if records else None
+                cells = [next(csv.reader([r], delimiter=sep, strict=False), []) for r in records[1:]]
+                shown = [json.dumps(dict(zip(columns, c)), ensure_ascii=False) for c in cells] if columns else None
+                error = "a quoted field is never closed" if row.ends_inside[0] else None if columns else "no content"
+                out.append((row.path, columns, int(row.records[0]) - 1 if columns else None, shown, error))
+            yield pd.DataFrame(out, columns=["path", "columns", "rows", "sample", "error"]).astype({"rows": "Int64"})
+
+    told = facts.mapInPandas(describe, "path string, columns array<string>, rows bigint, sample array<string>, error string")
+    return found.join(told, "path", "left").select(
+        "path", "columns", "rows", "sample", F.when(F.col("columns").isNull(), F.coalesce("error", F.lit("no content"))).otherwise(F.col("error")).alias("error")
+    )
 
 
 def profile_folders(spark: SparkSession, raw_dir: str) -> DataFrame:

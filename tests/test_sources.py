@@ -174,9 +174,17 @@ def test_profiles(spark, tmp_path):
     os.makedirs(tmp_path / "s" / "ham")
     (tmp_path / "s" / "x.csv").write_text("a,b\n1,2\n3,4\n")
     (tmp_path / "s" / "ham" / "1.txt").write_text("x")
-    report = T.profile_sources(spark, str(tmp_path))
-    assert (report[0]["columns"], report[0]["rows"], report[0]["error"]) == (["a", "b"], 2, None)
-    assert T.profile_csv(spark, str(tmp_path / "missing.csv"))["error"]
+    (tmp_path / "s" / "empty.csv").write_text("\n\r\n")
+    (tmp_path / "s" / "open.csv").write_text('a,b\n1,"2\n')
+    (tmp_path / "tr.csv").write_bytes('şehir,"iki\nsatır"\n"a\nb",ğ\n\n1,2\n3,4\n5,6\n'.encode("cp1254"))
+    report = {r["path"].rsplit("/", 1)[1]: r.asDict() for r in T.profile_sources(spark, str(tmp_path)).collect()}
+    assert len(report) == 4
+    assert (report["x.csv"]["columns"], report["x.csv"]["rows"], report["x.csv"]["error"]) == (["a", "b"], 2, None)
+    assert report["x.csv"]["sample"] == ['{"a": "1", "b": "2"}', '{"a": "3", "b": "4"}']
+    assert report["empty.csv"]["error"] == "no content" and report["empty.csv"]["rows"] is None
+    assert "never closed" in report["open.csv"]["error"]
+    assert report["tr.csv"]["columns"] == ["şehir", "iki\nsatır"] and report["tr.csv"]["rows"] == 4 and len(report["tr.csv"]["sample"]) == 3
+    assert json.loads(report["tr.csv"]["sample"][0]) == {"şehir": "a\nb", "iki\nsatır": "ğ"}
     folders = T.profile_folders(spark, str(tmp_path)).collect()
     assert len(folders) == 1 and folders[0]["folder"].endswith("/ham") and folders[0]["files"] == 1
 
