@@ -40,7 +40,7 @@ def simhash(text: Column | str, *, hash_bits: int = 64, shingle_size: int = 4, h
         raise ValueError("hash_fn must be 'blake2b' or 'md5'")
     width = hash_bits // 8
     memory_limit = 1 << 20
-    block = 1 << 18
+    slice_size = 1 << 19  # shingles looked up together
 
     @F.pandas_udf(T.LongType())
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -61,10 +61,12 @@ def simhash(text: Column | str, *, hash_bits: int = 64, shingle_size: int = 4, h
             tokens = ("".join(chr((int(g) >> s) & 0xFFFF) for s in shifts) for g in grams)
             return np.array([digest(t) for t in tokens], dtype=np.uint64)
 
+        byte_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
         known = np.empty(0, dtype=np.uint64)  # sorted shingles met so far
         hashes = np.empty(0, dtype=np.uint64)
 
         def hashes_of(grams: np.ndarray) -> np.ndarray:
+            """Hashes of sorted distinct shingles; what is new is merged into the memory at once."""
             nonlocal known, hashes
             if len(known):
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -81,34 +83,66 @@ def simhash(text: Column | str, *, hash_bits: int = 64, shingle_size: int = 4, h
             known, hashes = merged[order], np.concatenate([hashes, digest_grams(new)])[order]
             return hashes[np.searchsorted(known, grams)]
 
-        def one(text) -> int | None:
+        def vote(values: np.ndarray) -> int:
+            # Counting the values of each byte first leaves 256 rows whose bits have to be added up.
+            part = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+            ones = np.concatenate([np.bincount(part[:, i], minlength=256) @ byte_bits for i in range(8)])
+            bits = (2 * ones > len(values)).astype(np.uint8)
+            return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+        def shingles(text) -> np.ndarray | int | None:
+            """A text's packed shingles, repeats included, or its fingerprint where they cannot be packed."""
             if text is None:
                 return None
             clean = " ".join(text.split()).lower()
             if not clean:
                 return 0
             if len(clean) <= shingle_size:
-                values = np.array([digest(clean)], dtype=np.uint64)
-            else:
-                codes = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-                n = len(codes) - shingle_size + 1
-                if shingle_size <= 4 and codes.max() <= 0xFFFF:
-                    packed = codes[:n].copy()
-                    for i in range(1, shingle_size):
-                        packed = (packed << np.uint64(16)) | codes[i : i + n]
-                    values = hashes_of(np.unique(packed))
+                return vote(np.array([digest(clean)], dtype=np.uint64))
+            codes = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            n = len(codes) - shingle_size + 1
+            if shingle_size > 4 or codes.max() > 0xFFFF:
+                tokens = {clean[i : i + shingle_size] for i in range(n)}
+                return vote(np.array([digest(t) for t in tokens], dtype=np.uint64))
+            packed = codes[:n].copy()
+            for i in range(1, shingle_size):
+                packed = (packed << np.uint64(16)) | codes[i : i + n]
+            return packed
+
+        def settle(found: list) -> list:
+            """Fingerprints of a slice of texts, whose shingles are looked up together."""
+            grams = [f for f in found if isinstance(f, np.ndarray)]
+            if not grams:
+                return found
+            codes, distinct = pd.factorize(np.concatenate(grams))
+            order = np.argsort(distinct)
+            values = np.empty(len(distinct), dtype=np.uint64)
+            values[order] = hashes_of(distinct[order])
+            last = np.empty(len(distinct), dtype=np.int64)  # where a text has each shingle last
+            done, start = [], 0
+            for f in found:
+                if isinstance(f, np.ndarray):
+                    own = codes[start : start + len(f)]
+                    place = np.arange(len(f))
+                    last[own] = place
+                    done.append(vote(values[own[last[own] == place]]))
+                    start += len(f)
                 else:
-                    tokens = {clean[i : i + shingle_size] for i in range(n)}
-                    values = np.array([digest(t) for t in tokens], dtype=np.uint64)
-            ones = np.zeros(64, dtype=np.int64)
-            for start in range(0, len(values), block):
-                part = np.ascontiguousarray(values[start : start + block]).view(np.uint8).reshape(-1, 8)
-                ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            bits = (2 * ones > len(values)).astype(np.uint8)
-            return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+                    done.append(f)
+            return done
 
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype="Int64")
+            done: list = []
+            found: list = []
+            size = 0
+            for text in texts:
+                found.append(shingles(text))
+                size += len(found[-1]) if isinstance(found[-1], np.ndarray) else 1
+                if size >= slice_size:
+                    done += settle(found)
+                    found, size = [], 0
+            done += settle(found)
+            yield pd.Series(done, dtype="Int64")
 
     return fingerprint(_col(text))
 

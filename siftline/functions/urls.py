@@ -131,14 +131,15 @@ def mark_mersis(text: Column | str) -> Column:
     return F.when(has_mersis_number(column), F.concat(F.lit(MERSIS_MARKER + " "), column)).otherwise(column)
 
 
-def mark_all(text: Column | str) -> Column:
-    """Both markers; the shortener marker comes first.
+def mark_all(text: Column | str, urls: Column | str | None = None) -> Column:
+    """Both markers; the shortener marker comes first. ``urls`` are the text's URLs where they are known already.
 
     The marker texts hold no URL and no digits, so both tests can read the unmarked text.
     """
     column = _col(text)
+    shortener = has_generic_shortener(column) if urls is None else shortener_in(_col(urls))
     return F.concat(
-        F.when(has_generic_shortener(column), SHORTENER_MARKER + " ").otherwise(""),
+        F.when(shortener, SHORTENER_MARKER + " ").otherwise(""),
         F.when(has_mersis_number(column), MERSIS_MARKER + " ").otherwise(""),
         column,
     )

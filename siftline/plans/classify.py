@@ -107,7 +107,7 @@ def classify(
     signalled = cleaned.withColumn("urls_found", extract_urls("cleaned_text")).withColumn(
         "_is_otp", detect_otp("cleaned_text")
     )
-    prepared = signalled.withColumn("model_text", F.when(~F.col("_is_otp"), mark_all("cleaned_text")))
+    prepared = signalled.withColumn("model_text", F.when(~F.col("_is_otp"), mark_all("cleaned_text", "urls_found")))
     scored = scorer(prepared).withColumn("_best", best_label("probabilities", labels))
     is_otp = F.col("_is_otp")
     confidence = F.when(is_otp, OTP_CONFIDENCE).otherwise(F.col("_best.p"))

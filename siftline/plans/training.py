@@ -98,7 +98,7 @@ def _stages(num_features: int, max_iter: int, reg: float) -> list:
 
 def _predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(x) for x in MODEL_LABELS])
-    scored = model.transform(training_text(df))
+    scored = model.transform(df if "model_text" in df.columns else training_text(df))
     return scored.withColumn("prediction", F.get(names, F.col("prediction_id").cast("int")))
 
 
@@ -121,7 +121,9 @@ def train_classifier(
     from pyspark.ml.functions import vector_to_array
 
     weights = class_weights(train).select("label", "weight")  # one row per label
-    base = training_text(train).withColumn("label_id", label_index("label").cast("double"))
+    # Every fit and every candidate reads the marked texts, so they are made once.
+    base = materialize(training_text(train).withColumn("label_id", label_index("label").cast("double")))
+    val = materialize(training_text(val))
     weighted = base.join(F.broadcast(weights), "label")
     first = Pipeline(stages=_stages(num_features, max_iter, reg)).fit(weighted)
     candidates = [("class_weights", first)]

@@ -707,12 +707,22 @@ def focal_loss(spark, sf_dir):
     )
 
 
-@query("ml_train_score")
+@query("ml_train_score", f"""WITH {TRAIN_SQL}, n AS (SELECT split, label, count(*) AS n FROM split GROUP BY split, label),
+most AS (SELECT arg_max(label, n) AS label FROM n WHERE split = 'train')
+SELECT CAST(sum(n) FILTER (split = 'train') AS BIGINT) AS train_records, CAST(sum(n) FILTER (split = 'val') AS BIGINT) AS val_records,
+  CAST(sum(n) FILTER (split = 'test') AS BIGINT) AS test_records, (SELECT label FROM most) AS majority_label,
+  CAST(sum(n) FILTER (split = 'test' AND label = (SELECT label FROM most)) AS BIGINT) AS majority_correct, TRUE AS model_is_better FROM n""")
 def ml_train_score(spark, sf_dir):
+    """A classifier trained and tested on the splits: their sizes, and whether its macro F1 beats that of always answering the commonest label."""
     split = materialize(training.split_dataset(_corpus(spark, sf_dir)))
     parts = {name: split.filter(F.col("split") == name) for name in ("train", "val", "test")}
     model, _ = training.train_classifier(parts["train"], parts["val"])
-    return training.evaluate_model(model, parts["test"])
+    counts = {name: {r["label"]: r["count"] for r in part.groupBy("label").count().collect()} for name, part in parts.items()}
+    majority = max(counts["train"], key=lambda x: counts["train"][x])
+    found = training.evaluate_model(model, parts["test"]).first()
+    plain = evaluate.macro_metrics(parts["test"].withColumn("prediction", F.lit(majority))).first()
+    row = (*[sum(counts[name].values()) for name in parts], majority, counts["test"].get(majority, 0), found["f1_macro"] > plain["f1_macro"])
+    return spark.createDataFrame([row], "train_records bigint, val_records bigint, test_records bigint, majority_label string, majority_correct bigint, model_is_better boolean")
 
 
 @query("ml_classify", f"""WITH {SCORED} SELECT message_id, is_otp, CASE WHEN is_otp THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS probability FROM reviewed""")
@@ -873,6 +883,32 @@ def drift_stream(spark, sf_dir):
     return _hourly(spark.read.parquet(f"{work}/out"))
 
 
+@query("drift_watermark", """WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+e AS (SELECT *, value / (value + 10) AS c, (epoch_us(ts) - lo) * 4 // (hi - lo + 1) = 0 AND event_id % 50 = 0 AS late FROM events, span)
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS label, count(*) AS messages,
+  count(*) FILTER (c >= 0.4 AND c <= 0.6) AS review_queue, count(*) FILTER (user_id % 10 = 0) AS outbreak_alerts, round(avg(c), 6) AS mean_confidence
+FROM e WHERE NOT late GROUP BY 1, 2
+UNION ALL SELECT NULL, 'late', count(*), NULL, NULL, NULL FROM e WHERE late""")
+def drift_watermark(spark, sf_dir):
+    """The hourly numbers from a stream with a watermark; a fiftieth of the first quarter's events comes with the last one, and is counted as late."""
+    work = jobs.scratch(spark)
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    quarter = F.floor((F.unix_micros("ts") - F.lit(span["lo"])) * 4 / F.lit(span["hi"] - span["lo"] + 1))
+    arrival = F.when((quarter == 0) & (F.col("event_id") % 50 == 0), F.lit(3)).otherwise(quarter)
+    for i in range(4):
+        events.filter(arrival == i).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    clock = events.limit(1).withColumn("ts", F.timestamp_micros(F.lit(span["hi"]) + F.lit(4 * 3_600_000_000))).withColumn("event_type", F.lit(None).cast("string"))
+    clock.write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    started = jobs.start_metrics_stream(_scored_events(stream), f"{work}/out", f"{work}/state", watermark="1 hour")
+    jobs.finish(started)
+    closed = spark.read.parquet(f"{work}/out").drop(jobs.BATCH)
+    rows = _hourly(closed)
+    late = spark.createDataFrame([(None, "late", jobs.late_rows(started, closed), None, None, None)], rows.schema)
+    return rows.unionByName(late)
+
+
 @query("classify_stream", f"""WITH {SCORED}, {simhash_sql('cleaned', 'message_id', 'clean')},
 flags AS (SELECT DISTINCT x.message_id FROM fps x JOIN fps y ON y.message_id < x.message_id
   WHERE bit_count(xor(x.fp, y.fp)) <= 6 AND (x.message_id - y.message_id) * 7 < 1500)
@@ -1158,6 +1194,16 @@ def source_charsets(spark, sf_dir):
     return read_csv_robust(spark, paths).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
+@query("classify_missing_ids", f"""WITH {CLEANED} SELECT DISTINCT CASE WHEN message_id % 5 = 0 THEN sha256(m.text) ELSE CAST(message_id AS VARCHAR) END AS message_id,
+  sha256(clean) AS cleaned_sha256, is_mixed FROM cleaned JOIN messages m USING (message_id)""")
+def classify_missing_ids(spark, sf_dir):
+    """Every fifth message comes without an id, all of them twice: the id is derived from the text, so they fall together."""
+    view = messages(spark, sf_dir).withColumn("message_id", F.when(F.col("message_id") % 5 != 0, F.col("message_id").cast("string")))
+    once = flow.latest_messages(view.unionByName(view))
+    out = flow.classify(once, hash_scorer())
+    return out.select("message_id", F.sha2("cleaned_text", 256).alias("cleaned_sha256"), F.col("homoglyph_attack_detected").alias("is_mixed"))
+
+
 def _in_ranges(spark, pieces: int, folder: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` reads from the folder's files, read in about ``pieces`` byte ranges each."""
     from siftline.sources.files import list_files

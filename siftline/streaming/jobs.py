@@ -160,7 +160,9 @@ def start_metrics_stream(
     their state is dropped. Without one the whole table is rewritten each time, which is
     meant for bounded replays.
     """
-    source = scored.withWatermark("ts", watermark) if watermark else scored
+    # Rows without a label only move the watermark on.
+    source = scored.observe(ARRIVED, F.count("label").alias("rows"), F.max("ts").alias("newest"))
+    source = source.withWatermark("ts", watermark) if watermark else source
     table = windowed_metrics(source, width=width)
 
     def append(batch: DataFrame, batch_id: int) -> None:
@@ -174,6 +176,22 @@ def start_metrics_stream(
     return _start(table, replace, checkpoint, available_now, mode="complete")
 
 
+ARRIVED = "arrived"
+
+
+def late_rows(query: StreamingQuery, closed: DataFrame) -> int:
+    """Rows that came after their window had been closed, of a metrics stream that has ended with all windows closed.
+
+    They are what was observed on arrival less what the ``closed`` windows count. The query's progress
+    reports must reach back to its first batch (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    reports = query.recentProgress
+    if reports and reports[0]["batchId"] > 0:
+        raise ValueError("progress reports do not reach back to the first batch")
+    seen = sum(r["observedMetrics"][ARRIVED]["rows"] for r in reports if r["observedMetrics"] and r["observedMetrics"].get(ARRIVED))
+    return seen - (closed.agg(F.sum("messages")).first()[0] or 0)
+
+
 def _start(
     df: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool, *, mode: str = "append"
 ) -> StreamingQuery:
