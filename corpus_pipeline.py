@@ -9,36 +9,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm import toxicity
-from siftline.llm.common import importable, stored, table, tokenizer_path
+from siftline.llm.common import fresh_name, importable, set_aside, stored, table, tokenizer_path
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.lsa_decontam import drop_contaminated
 from siftline.llm.sentencepiece_bpe import encode
-from siftline.llm.simhash_index import drop_near_duplicates
+from siftline.llm.simhash_index import drop_linked
 
 MODEL = "piece_bpe_32k.model"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the classifier learns from the labelled ones outside the held-out fold."""
+    """Documents that score below 0.5; the classifier learns from the labelled ones outside the held-out fold.
+
+    A null or empty text is scored like any other, repeated rows alike; an empty table stays empty.
+    """
     importable(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    out = fresh_name(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).filter(F.col(out) < 0.5).select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that three or more of them share (but for the largest id)."""
-    kept = dedup_lines(docs, min_chars=20, min_docs=3)
-    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    """All documents, without the lines that three or more of them share (but for the largest id).
+
+    A null text becomes an empty one; further columns come back unchanged, whatever their names.
+    """
+    free, now = set_aside(docs, "n_lines", "n_dropped", "kept_text")
+    kept = dedup_lines(free, min_chars=20, min_docs=3)
+    kept = kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return kept.select(*[F.col(now[c]).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Groups are those of the SimHash operator: fingerprints of three-word shingles that differ in three bits or fewer.
+    """
     importable(spark)
-    return drop_near_duplicates(docs)
+    return drop_linked(docs, width=3, seed=42)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null and empty texts hold none."""
     importable(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 

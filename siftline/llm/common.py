@@ -45,9 +45,23 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
         remove_folder(spark, path)
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when a file layout would give a few tasks most of the work."""
-    return df.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns called like ``names`` renamed out of an operator's way; what each column is called now."""
+    now = {}
+    for column in df.columns:
+        now[column] = column
+        if column.lower() in names:
+            now[column] = fresh_name(df, f"_kept_{column}")
+            df = df.withColumnRenamed(column, now[column])
+    return df, now
 
 
 def ascii_lower(c: Column) -> Column:

@@ -157,15 +157,15 @@ class Labeller:
 
     def _paths(self, emit: np.ndarray, per: np.ndarray) -> np.ndarray:
         """Best labels of all words: texts are advanced together, longest first, one word a step."""
-        out = np.zeros(len(emit), np.int8)
+        out = np.zeros(len(emit), np.int32)
         order = np.argsort(-per, kind="stable")
         sizes, first = per[order], (np.cumsum(per) - per)[order]
         n_langs = emit.shape[1]
         steps = int(sizes[0]) if len(sizes) else 0
         alive = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts with more than t words
         offsets = np.concatenate([[0], np.cumsum(alive)])
-        back = np.empty((offsets[-1], n_langs), np.int8)
-        here = np.arange(n_langs, dtype=np.int8)
+        back = np.empty((offsets[-1], n_langs), np.int32)
+        here = np.arange(n_langs, dtype=np.int32)
         state = np.zeros((len(sizes), n_langs), np.float32)
         for t in range(steps):
             k = alive[t]

@@ -95,7 +95,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("lcs_share").alias("lcs_share"), F.max("cosine").alias("cosine")
     )
     flag = F.col("item_ids").isNotNull()
-    return docs.select("doc_id").join(per_doc, "doc_id", "left").select(
+    per_doc = per_doc.withColumnRenamed("doc_id", "hit")
+    return docs.select("doc_id").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit")), "left").select(
         "doc_id", flag.alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "lcs_share", "cosine"
     )
 

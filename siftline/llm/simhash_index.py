@@ -148,14 +148,37 @@ def simhash_classes(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataF
     """
     rows, _ = stored(add_fingerprints(docs.select("doc_id", "text"), width=width, seeds=(seed,)).select("doc_id", F.col("fps")[0].alias("fp")), "simhash-rows")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links, _ = stored(near_links(classes.select(F.lit(0).alias("tag"), "fp")), "simhash-links")
-    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    grouped = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = _components(classes)
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = grouped.join(smallest, "component").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _components(classes: DataFrame) -> DataFrame:
+    """Distinct fingerprints with ``component``, equal for those that links connect."""
+    links, _ = stored(near_links(classes.select(F.lit(0).alias("tag"), "fp")), "simhash-links")
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def drop_linked(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group that :func:`simhash_classes` connects, the one with the smallest doc_id; columns unchanged.
+
+    Groups are what fingerprints at three bits or fewer link. A null id comes last; of rows with
+    one id the one whose text has the smallest hash stays, of rows alike in id and text any one. Null, empty and wordless
+    texts are one group. An empty table stays empty. A group's rows meet in aggregates only,
+    which combine before the shuffle, so it may be of any size.
+    """
+    tagged = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows, _ = stored(add_fingerprints(tagged, width=width, seeds=(seed,)).select("doc_id", "th", F.col("fps")[0].alias("fp")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th")
+    classes, _ = stored(rows.groupBy("fp").agg(F.min(order).alias("first")), "simhash-classes")
+    keepers, _ = stored(_components(classes).groupBy("component").agg(F.min("first").alias("k")).select("k.id", "k.th"), "simhash-keepers")
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    kept = row.join(keepers, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_semi")
+    return kept.dropDuplicates(["_id", "_th"]).select("row.*")
+
+
 def add_shingles(texts: DataFrame, *, width: int) -> DataFrame:
     """(th, s): distinct 64-bit hashes of the ``width``-word shingles of every text; fewer words are one shingle."""
 

@@ -61,6 +61,18 @@ def test_language_spans_of_mixed_text(spark):
     assert language_spans.identify(mixed, empty, spans=True).first()["lang_pred"] == "und"
 
 
+def test_many_languages(spark):
+    """More languages than a signed byte can number."""
+    rnd = random.Random(9)
+    own = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for _ in range(140)]
+    rows = [(40 * k + i, " ".join(rnd.choice(own[k]) for _ in range(20)), f"l{k:03d}") for k in range(140) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_spans.train(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_spans.identify(docs, model).collect()}
+    right = sum(got[i] == lang for i, _, lang in rows if lang in model.langs)
+    assert len(model.langs) >= 135 and right >= 0.98 * len(rows)
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(3)
     labeller = language_spans.Labeller(language_spans.Model(["a", "b", "c"], np.zeros((3, 4), np.float32), np.ones((3, 14), bool)), penalty=1.5)
@@ -162,8 +174,8 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = lsa_decontam.contamination(frame, bench, rank=32, items_at_once=5).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
-    kept = lsa_decontam.drop_contaminated(frame.drop("_key"), bench, rank=32)
-    assert kept.columns == ["doc_id", "text", "item_id"]
+    kept = lsa_decontam.drop_contaminated(frame, bench, rank=32)
+    assert kept.columns == ["doc_id", "text", "item_id", "_key"] and {r["_key"] for r in kept.collect()} == {"x"}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in {d for d, _ in want} and i is not None)
     assert lsa_decontam.contamination(frame.limit(0), bench, rank=8).count() == 0
     assert lsa_decontam.contamination(frame, bench.limit(0), rank=8).count() == 0
