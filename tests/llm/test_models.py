@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -287,3 +288,37 @@ def test_decontamination_finds_copies_of_long_items(spark):
     got = {(r["doc_id"], r["item_id"]) for r in lsa_decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
     missed = sorted(sizes[i] for i, _ in want - got if sizes[i] >= 100)
     assert not missed, missed
+
+
+@pytest.mark.parametrize("n, low, high", [(1, 30, 30), (5, 17, 24), (40, 6, 12), (40, 17, 60), (150, 6, 12), (500, 6, 800)])
+def test_decontamination_recall_at_any_benchmark_size(spark, n, low, high):
+    rng = np.random.default_rng(n + high)
+    prose = lambda n: [f"w{int(x)}" for x in rng.zipf(1.15, 4 * n + 50) if x < 30000][:n]
+    items = [prose(int(rng.integers(low, high + 1))) for _ in range(n)]
+    docs, want = [], set()
+    for i in range(100):
+        words, own = prose(200), items[i % n]
+        at = int(rng.integers(0, len(words)))
+        docs.append((i, " ".join(words[:at] + own + words[at:])))
+        docs.append((1000 + i, " ".join(prose(200))))
+        want.add((i, i % n))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsa_decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    missed = sorted(len(items[i]) for _, i in want - got)
+    assert len(missed) <= 5, missed
+    texts = dict(docs)
+    for doc, item in sorted(got - want)[:50]:  # what is found besides holds the item's words too
+        own, words = items[item], texts[doc].split()
+        assert plain_lcs(own, words) >= 0.7 * len(own)
+
+
+def test_signatures_miss_no_word():
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 2**63, (300, 8)).astype(np.uint64)
+    signs = lsa_decontam.signatures(hashes, np.ones(hashes.shape, bool))
+    for width in (1, 2, 5, 19, 71):
+        joined = lsa_decontam._joined(signs, width)
+        assert len(joined) == len(signs) - width + 1
+        for i in range(0, len(joined), 37):
+            one = lsa_decontam.signatures(hashes[i : i + width].reshape(-1, 1))
+            assert (one == joined[i]).all()
