@@ -29,6 +29,15 @@ HINTS = set(
     "popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations trending "
     "comment comments commentlist disqus respond replies copyright disclaimer pagination pager search contentinfo complementary".split()
 )
+#: Words that make a name one of a layout around something, as in has-sidebar.
+LAYOUT = set("has with without no not is one two three hide show".split())
+#: Words that may stand behind a hint in a name; behind others, as in related-work, it says what a text is about.
+HOLDERS = set(
+    "area articles bar block body bottom box button buttons card cards container content feed footer form header holder icons inner item items left "
+    "links list message module news notice outer panel posts reading right row section slot stories strip stack text thread top unit wrap wrapper zone".split()
+)
+#: Times a page is cut anew because an element with a hint holds its main text.
+SPARED = 8
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]{0,40})((?:[^'"<>]++|"[^"<>]*+"|'[^'<>]*+')*+)>|<[!?][^'"<>]*+>|<[!?/a-zA-Z]""", re.S
 )
@@ -39,15 +48,31 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 WINDOW, SURGE = 3, 86
 
 
-def hinted(attributes: str) -> bool:
-    """Whether an element's attributes say that it is boilerplate or not shown."""
-    if not attributes.strip():
+def names_waste(name: str) -> bool:
+    """Whether one class, id or role name says boilerplate: a hint at its end or before a holder, and no word of layout."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or not LAYOUT.isdisjoint(words):
         return False
+    return words[-1] in HINTS or words[-1] in HOLDERS and not HINTS.isdisjoint(words[:-1])
+
+
+def unseen(attributes: str) -> bool:
+    """Whether an element's attributes say that it is not shown."""
     for kind, *values in NAMES.findall(attributes):
         kind, value = kind.lower(), next((v for v in values if v), "")
         if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if kind in ("class", "id", "role") and not HINTS.isdisjoint(w.lower() for w in WORD.findall(value)):
+    return False
+
+
+def hinted(attributes: str) -> bool:
+    """Whether an element's attributes say that it is boilerplate or not shown."""
+    if not attributes.strip():
+        return False
+    if unseen(attributes):
+        return True
+    for kind, *values in NAMES.findall(attributes):
+        if kind.lower() in ("class", "id", "role") and any(names_waste(name) for name in next((v for v in values if v), "").split()):
             return True
     return False
 
@@ -90,19 +115,29 @@ class Lines:
 
     def __init__(self) -> None:
         self.rows: list[tuple[str, bool, bool, int, bool]] = []
+        self.hints: list[int] = []
         self.parts: list[str] = []
         self.linked = 0
 
-    def close(self, waste: bool, article: bool, heading: bool) -> None:
+    def close(self, waste: bool, article: bool, heading: bool, hint: int = -1) -> None:
         text = " ".join(unescape("".join(self.parts)).split())
         if text:
             self.rows.append((text, waste, article, min(self.linked, len(text)), heading))
+            self.hints.append(hint)
         self.parts, self.linked = [], 0
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
-    """Cut a page at block elements. Elements left open end with the page, at an article, or, a paragraph, at the next block."""
-    out, at = Lines(), 0
+def lines_of(html: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool, bool, int, bool]], list[int]]:
+    """Cut a page at block elements; also where the element begins whose class, id or role makes a line boilerplate, else -1.
+
+    Elements left open end with the page, at an article, or, a paragraph, at the next block. Names of
+    the elements that begin at ``spared`` are not looked at.
+    """
+    out, at, hint = Lines(), 0, -1
+
+    def waste(attributes: str, begin: int) -> bool:
+        return unseen(attributes) if begin in spared else hinted(attributes)
+
     skip, depth = "", 0  # the boilerplate element that is open, and how many of its name
     articles = links = 0
     heading = False
@@ -111,6 +146,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
     while True:
         found = MARKUP.search(html, at)
         end, name, attributes = found.end() if found else 0, found and found[2], found and found[3]
+        begin = found.start() if found else 0
         if found and len(found[0]) == 2:
             end, whole = ends.of(found.start())
             tag = whole and TAG.match(html, found.start())
@@ -143,24 +179,46 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
         if name == "br":
             out.parts.append(" ")
         if name in BLOCKS or name in BOILERPLATE:
-            out.close(bool(skip), articles > 0, heading)
+            out.close(bool(skip), articles > 0, heading, hint)
             heading = name == "h1" and not closing
         if skip:
             if name == skip:
                 depth += -1 if closing else 1
                 if depth == 0:
-                    skip = ""
+                    skip, hint = "", -1
                     continue
-            if skip == "p" and name in BLOCKS or name in ("article", "main") and not closing and not hinted(attributes):
-                skip = ""
+            if skip == "p" and name in BLOCKS or name in ("article", "main") and not closing and not waste(attributes, begin):
+                skip, hint = "", -1
             else:
                 continue
-        if name in ("article", "main") and not hinted(attributes):
+        if name in ("article", "main") and not waste(attributes, begin):
             articles = max(0, articles + (-1 if closing else 1))
-        elif not closing and name not in VOID and name not in ("html", "body") and (name in BOILERPLATE or name == "header" and not articles or hinted(attributes)):
+        elif not closing and name not in VOID and name not in ("html", "body") and (name in BOILERPLATE or name == "header" and not articles or waste(attributes, begin)):
             skip, depth = name, 1
-    out.close(bool(skip), articles > 0, heading)
-    return out.rows
+            hint = begin if name not in BOILERPLATE and name != "header" and not unseen(attributes) else -1
+    out.close(bool(skip), articles > 0, heading, hint)
+    return out.rows, out.hints
+
+
+def page_lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
+    """Lines of a page. A name decides nothing on the element that holds most of the text, if no text surges outside.
+
+    Such an element is cut like any other, with what it holds looked at by itself, up to SPARED one in another.
+    """
+    spared: frozenset[int] = frozenset()
+    while True:
+        rows, hints = lines_of(html, spared)
+        held: dict[int, int] = {}
+        for row, hint in zip(rows, hints):
+            if hint >= 0:
+                held[hint] = held.get(hint, 0) + len(row[0])
+        open_text = np.array([0 if row[1] or 2 * row[3] > len(row[0]) else len(row[0]) for row in rows], np.int64)
+        if not held or len(spared) == SPARED or _surges(open_text):
+            return rows
+        most = max(held, key=held.__getitem__)
+        if 2 * held[most] <= sum(held.values()) + int(open_text.sum()):
+            return rows
+        spared |= {most}
 
 
 def _stretches(sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -183,7 +241,8 @@ def _surges(sizes: np.ndarray) -> bool:
 def main_text(html: str | None) -> str:
     """The text between the surge and dive points of the line-block distribution.
 
-    A line counts with its length; one in boilerplate or made of links counts as empty. A
+    Elements of boilerplate by name count as empty unless they hold most of a page on which
+    nothing else surges (``page_lines``). A line counts with its length; one in boilerplate or made of links counts as empty. A
     window sums WINDOW lines. Text begins where a window surges to SURGE characters (to any if
     no window has that many) and ends where a whole window is empty. An element that the page
     marks as article or main has weight: as long as it holds at least as much as what surges
@@ -193,7 +252,7 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
-    rows = lines_of(html)
+    rows = page_lines(html)
     if not rows:
         return ""
     length = np.array([0 if waste else len(text) for text, waste, *_ in rows], np.int64)

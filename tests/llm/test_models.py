@@ -322,3 +322,18 @@ def test_signatures_miss_no_word():
         for i in range(0, len(joined), 37):
             one = lsa_decontam.signatures(hashes[i : i + width].reshape(-1, 1))
             assert (one == joined[i]).all()
+
+
+def test_html_names_do_not_cut_the_main_text():
+    body = "A sentence of the story that goes on for some time, with commas, and then it ends. " * 2
+    paragraphs, want = f"<p>{body}</p>" * 6, " ".join([body.strip()] * 6)
+    nav = "<nav><a href=x>Home</a></nav><div class=sidebar><p>Weather today</p></div>"
+    for name in ("class=has-sidebar", "class='post has-comments'", "class='content with-sidebar'", "class=no-comments", "id=search-results", "class='two-rail main'", "class=widget"):
+        for tag in ("div", "article", "section"):
+            assert html_blocks.main_text(f"<body>{nav}<{tag} {name}>{paragraphs}</{tag}><footer>me</footer>") == want, (tag, name)
+    assert html_blocks.main_text(f"<div class=search-results>{paragraphs}<div class=comments><p>{body}</p></div></div>") == want
+    inner = f"<article>{paragraphs}<section class=related-work><p>{body}</p></section><div id=comment-on-law><p>{body}</p></div></article>"
+    assert html_blocks.main_text(inner) == " ".join([body.strip()] * 8)
+    comments = f"<div class=comment-list>{paragraphs * 3}</div><div class='site-footer'>{body}</div>"
+    assert html_blocks.main_text(f"<div>{paragraphs}</div>{comments}") == want  # longer comments are still comments
+    html_blocks.main_text("<div class=ad>" * 5000 + body)
