@@ -6,11 +6,11 @@ File format, a folder with two Parquet tables:
 ``blocks``: start (ids before the block), the rows it holds (doc ids, text hashes, id counts),
 ``lanes``, ``payload``, its crc32, the crc32 of the ids, and ``checkpoints``.
 
-A block holds whole documents, 2**16 ids or more unless it ends its part, and is decoded on
+A block holds whole documents, 2**18 ids or more unless it ends its part, and is decoded on
 its own. Id number i belongs to lane ``i % lanes``; all lanes share one word stream. The
 payload is one 64-bit start state per lane, then 32-bit words in the order the decoder takes
 them. A checkpoint (lane states and word position every ``CHECKPOINT_STEPS`` steps) lets
-decoding begin inside a block.
+decoding begin inside a block: ``read_slice`` decodes the stretches between checkpoints in parallel.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm.common import drop_stored, stored
 from siftline.llm.word_codes import Memo, gather, per_text, slices, words_of
@@ -56,8 +56,8 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def lanes_for(n: int) -> int:
-    """Lanes of a block of n ids: 256, fewer for a small block so that start states stay small."""
-    return max(1, min(256, n // 64))
+    """Lanes of a block of n ids: 1024, fewer for a small block so that start states stay small."""
+    return max(1, min(1024, n // 64))
 
 
 def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, bytes, int]:
@@ -95,30 +95,44 @@ def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, bytes, int]:
 
 def decode_block(payload: bytes, n: int, lanes: int, table: Table, *, checkpoints: bytes = b"", first: int = 0) -> np.ndarray:
     """Ids of a block from number ``first`` on; a later start begins at the checkpoint before it."""
-    words = np.frombuffer(payload, "<u4", offset=8 * lanes).astype(U64)
-    state = np.frombuffer(payload, "<u8", count=lanes).astype(U64)
-    begin, at = 0, 0
+    parts = segments(payload, n, lanes, checkpoints) if first else [(0, n, payload[: 8 * lanes], payload[8 * lanes :])]
+    found = [run_lanes(states, words, count, table) for begin, count, states, words in parts if begin + count > first]
+    out = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    return out[len(out) - max(0, n - first) :]
+
+
+def segments(payload: bytes, n: int, lanes: int, checkpoints: bytes) -> list[tuple[int, int, bytes, bytes]]:
+    """A block cut at its checkpoints: (first id, ids, lane states, words), each decodable by itself."""
     width = 12 + 8 * lanes
+    marks = [(0, 0, payload[: 8 * lanes])]
     for k in range(0, len(checkpoints), width):
-        step = int.from_bytes(checkpoints[k : k + 4], "little")
-        if step * lanes <= first:
-            begin, at = step, int.from_bytes(checkpoints[k + 4 : k + 12], "little")
-            state = np.frombuffer(checkpoints, "<u8", count=lanes, offset=k + 12).astype(U64)
-    mask, out = U64((1 << PRECISION) - 1), np.empty(n - begin * lanes, np.uint32)
+        step, word = int.from_bytes(checkpoints[k : k + 4], "little"), int.from_bytes(checkpoints[k + 4 : k + 12], "little")
+        marks.append((step * lanes, word, checkpoints[k + 12 : k + width]))
+    words = payload[8 * lanes :]
+    ends = [(first, 4 * word) for first, word, _ in marks[1:]] + [(n, len(words))]
+    return [(first, end - first, states, words[4 * word : stop]) for (first, word, states), (end, stop) in zip(marks, ends)]
+
+
+def run_lanes(states: bytes, words: bytes, n: int, table: Table) -> np.ndarray:
+    """``n`` ids from lane states on, taking words in order."""
+    state, stream = np.frombuffer(states, "<u8").astype(U64), np.frombuffer(words, "<u4").astype(U64)
+    lanes, at = len(state), 0
+    mask, out = U64((1 << PRECISION) - 1), np.empty(n, np.uint32)
     slots, freq, low = table.slots, table.freq, table.low
-    for step in range(begin, -(-n // lanes)):
-        a, b = step * lanes, min(n, (step + 1) * lanes)
+    for a in range(0, n, lanes):
+        b = min(n, a + lanes)
         x = state[: b - a]
         slot = x & mask
-        token = slots[slot]
-        out[a - begin * lanes : b - begin * lanes] = token
+        token = slots[slot.view(np.int64)]
+        out[a:b] = token
+        token = token.astype(np.int64)
         x = freq[token] * (x >> U64(PRECISION)) + slot - low[token]
         short = np.flatnonzero(x < LOW)
         if len(short):
-            x[short] = (x[short] << U64(32)) | words[at : at + len(short)]
+            x[short] = (x[short] << U64(32)) | stream[at : at + len(short)]
             at += len(short)
         state[: b - a] = x
-    return out[first - begin * lanes :]
+    return out
 
 
 class Tokens:
@@ -129,9 +143,11 @@ class Tokens:
     by one pattern, are encoded whole.
     """
 
+    SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+    TOUCHING = f"{SPACE} (?:{SPACE}|\\z)"
+
     def __init__(self, path: str, word_limit: int):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -145,7 +161,6 @@ class Tokens:
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.width[i] = len(token)
         self.memo = Memo(word_limit)
-        self.touching = re.compile(r"\s (?=\s|\Z)")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -157,9 +172,11 @@ class Tokens:
         found = dict(zip(odd, self.whole([" " + w for w in odd])))
         for start in range(0, len(plain), 2000):
             part = plain[start : start + 2000]
-            ids = np.frombuffer(self.whole([" " + " ".join(part)])[0], self.dtype)
+            text = " " + " ".join(part)
+            ids = np.frombuffer(self.whole([text])[0], self.dtype)
             ends = np.cumsum(self.width[ids])
-            borders = np.cumsum([len(w.encode()) + 1 for w in part])
+            data = np.frombuffer(text.encode(), np.uint8)
+            borders = np.append(np.flatnonzero(data == 32)[1:], len(data))
             cuts = np.searchsorted(ends, borders)
             if len(ids) != cuts[-1] + 1 or not np.array_equal(ends[cuts], borders):
                 found.update(zip(part, self.whole([" " + w for w in part])))
@@ -174,20 +191,21 @@ class Tokens:
         """Per slice of texts: all ids, and the number of ids of each text."""
         for part in slices(texts, 8 << 20):
             part = pc.fill_null(part, "")
+            touching = np.flatnonzero(pc.match_substring_regex(part, self.TOUCHING).to_numpy(zero_copy_only=False))
             distinct, codes, words = words_of(part)
             pieces = self.memo.fill(distinct, self._words)
             ends, codes = np.cumsum(words), codes.copy()
-            firsts = []
+            begins = ends - words
+            # First words have no space before them: each distinct one is encoded once more, as it stands.
+            firsts, place = np.unique(codes[begins], return_inverse=True)
+            codes[begins] = len(pieces) + place
+            pieces += self.whole([distinct[i] for i in firsts.tolist()])
             empty = len(pieces)
             pieces.append(b"")
-            for i, text in enumerate(part.to_pylist()):
-                if self.touching.search(text):
-                    codes[ends[i] - words[i] : ends[i]] = empty
-                    firsts.append(text)
-                else:
-                    firsts.append(text.partition(" ")[0])
-            codes[ends - words] = len(pieces) + np.arange(len(firsts))
-            pieces += self.whole(firsts)
+            for i in touching.tolist():
+                codes[begins[i] : ends[i]] = empty
+            codes[begins[touching]] = len(pieces) + np.arange(len(touching))
+            pieces += self.whole(part.take(pa.array(touching)).to_pylist())
             ids, counts = gather(codes, pieces, self.dtype)
             yield ids, per_text(counts, words)
 
@@ -198,24 +216,27 @@ def _tokens(path: str, word_limit: int) -> Tokens:
 
 
 def token_blocks(
-    docs: DataFrame, tokenizer: str, *, end_id: int | None, block_ids: int = 1 << 16, word_limit: int = 400_000
+    docs: DataFrame, tokenizer: str, *, end_id: int | None, block_ids: int = 1 << 18, word_limit: int = 400_000
 ) -> DataFrame:
-    """Rows of whole documents' ids in ascending doc_id: (part, seq, doc_ids, hashes, counts, n, ids)."""
-    schema = "part int, seq int, doc_ids array<bigint>, hashes array<bigint>, counts array<bigint>, n bigint, wide boolean, ids binary"
-    names = ["part", "seq", "doc_ids", "hashes", "counts", "n", "wide", "ids"]
+    """Rows of whole documents' ids in ascending doc_id: (part, before, doc_ids, hashes, counts, n, ids).
+
+    ``before`` counts the ids of the part's earlier blocks.
+    """
+    schema = "part int, before bigint, doc_ids array<bigint>, hashes array<bigint>, counts array<bigint>, n bigint, wide boolean, ids binary"
+    names = ["part", "before", "doc_ids", "hashes", "counts", "n", "wide", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         tokens = _tokens(tokenizer, word_limit)
         rows: list[tuple] = []
         held = 0
 
         def row() -> pa.RecordBatch:
             doc_ids, hashes, counts, ids = zip(*rows)
-            data = [[part], [seq], [list(doc_ids)], [list(hashes)], [list(counts)], [held], [tokens.dtype.itemsize == 4], [b"".join(ids)]]
-            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.bool_(), pa.binary()]
+            data = [[part], [before], [list(doc_ids)], [list(hashes)], [list(counts)], [held], [tokens.dtype.itemsize == 4], [b"".join(ids)]]
+            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(data, kinds)], names=names)
 
         tail = b"" if end_id is None else np.array([end_id], tokens.dtype).tobytes()
@@ -232,7 +253,8 @@ def token_blocks(
                     at += 1
                     if held >= block_ids:
                         yield row()
-                        rows, held, seq = [], 0, seq + 1
+                        before += held
+                        rows, held = [], 0
         if rows:
             yield row()
 
@@ -266,7 +288,7 @@ BLOCKS = (
 
 
 def write_corpus(
-    docs: DataFrame, tokenizer: str, path: str, *, end_id: int | None = 2, block_ids: int = 1 << 16, word_limit: int = 400_000
+    docs: DataFrame, tokenizer: str, path: str, *, end_id: int | None = 2, block_ids: int = 1 << 18, word_limit: int = 400_000
 ) -> None:
     """Tokenize whole texts and write them to ``path`` in the format above, in ascending doc_id.
 
@@ -287,12 +309,8 @@ def write_corpus(
     for row in sorted(parts, key=lambda r: r["part"]):
         base.append((row["part"], before))
         before += row["size"]
-    offsets = F.broadcast(spark.createDataFrame(base, "part int, base bigint"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = (
-        blocks.select("part", "seq", "n").withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start"))
-    )
+    offsets = F.broadcast(spark.createDataFrame(base, "part int, base bigint"))  # one row per partition
+    placed = blocks.join(offsets, "part").withColumn("start", F.col("base") + F.col("before"))
     shared = spark.sparkContext.broadcast((tokens, freqs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +327,7 @@ def write_corpus(
                     names=[x.split()[0] for x in BLOCKS.split(", ")],
                 )
 
-    blocks.join(places, ["part", "seq"]).mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    placed.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_stored(spark, blocks_path)
 
 
@@ -345,5 +363,42 @@ def read_corpus(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").drop("checkpoints", "hashes").mapInArrow(run, schema)
 
 
+def read_slice(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """Ids number ``start`` up to ``stop`` of the corpus: (place, ids), one row per stretch between checkpoints.
+
+    Only blocks that overlap the slice are read. Their stretches are dealt to all tasks, so a
+    block that holds one very long text is decoded by many. An empty slice gives no row; a
+    payload that does not match its checksum raises an error.
+    """
+    rows = spark.read.parquet(f"{path}/table").collect()  # one row per vocabulary entry
+    shared = spark.sparkContext.broadcast((np.array([r["token"] for r in rows], np.int64), np.array([r["freq"] for r in rows], np.int64)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if zlib.crc32(row["payload"]) != row["payload_crc32"]:
+                    raise ValueError(f"block at {row['start']}: payload does not match its checksum")
+                for first, n, states, words in segments(row["payload"], row["n"], row["lanes"], row["checkpoints"]):
+                    place = row["start"] + first
+                    if place < stop and place + n > start:
+                        data = [pa.array([place], pa.int64()), pa.array([n], pa.int64()), pa.array([states]), pa.array([words])]
+                        yield pa.RecordBatch.from_arrays(data, names=["place", "n", "states", "words"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(*shared.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = max(0, start - row["place"]), min(row["n"], stop - row["place"])
+                ids = run_lanes(row["states"], row["words"], row["n"], table)[a:b].astype(np.int32)
+                offsets = pa.array([0, len(ids)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["place"] + a], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["place", "ids"]
+                )
+
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter((F.col("start") < stop) & (F.col("start") + F.col("n") > start))
+    found = blocks.select("start", "n", "lanes", "payload", "payload_crc32", "checkpoints").mapInArrow(cut, "place bigint, n bigint, states binary, words binary")
+    return found.repartition("place").mapInArrow(decode, "place bigint, ids array<int>")
+
+
 def corpus_folder(spark: SparkSession) -> str:
     return new_folder(spark, "token-corpus")

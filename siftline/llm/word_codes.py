@@ -16,20 +16,23 @@ class Memo:
         self.limit, self.young, self.old = limit, {}, {}
 
     def fill(self, keys: list, make: Callable[[list], list]) -> list:
-        """The values of ``keys``, of which ``make`` computes those not remembered."""
+        """The values of ``keys``, of which ``make`` computes those not remembered. No value is None."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
+        values = list(map(young.get, keys))
         missing = []
-        for key in keys:
-            if key not in young:
-                if key in old:
-                    young[key] = old[key]
-                else:
-                    missing.append(key)
+        for i in [i for i, value in enumerate(values) if value is None]:
+            known = old.get(keys[i])
+            if known is None:
+                missing.append(i)
+            else:
+                values[i] = young[keys[i]] = known
         if missing:
-            young.update(zip(missing, make(missing)))
-        return [young[key] for key in keys]
+            asked = [keys[i] for i in missing]
+            for i, key, value in zip(missing, asked, make(asked)):
+                values[i] = young[key] = value
+        return values
 
 
 def slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[pa.Array]:
@@ -63,7 +66,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     found = lists.flatten().dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
 def per_text(counts: np.ndarray, words: np.ndarray) -> np.ndarray:

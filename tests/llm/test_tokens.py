@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from siftline.llm.common import tokenizer_path
-from siftline.llm.rans_tokens import Table, corpus_folder, decode_block, encode_block, read_corpus, scaled, write_corpus
+from siftline.llm.rans_tokens import Table, corpus_folder, decode_block, encode_block, read_corpus, read_slice, scaled, write_corpus
 from siftline.llm.sentencepiece_bpe import BatchEncoder, decode, encode
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
@@ -22,7 +22,7 @@ def random_texts(n, seed):
     return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 129, 5000, 70_001])
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 129, 5000, 70_001, 300_001])
 def test_block_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.01, n), 999).astype(np.uint32)
@@ -53,6 +53,20 @@ def test_corpus_holds_the_library_ids(spark):
         assert library.encode(text or "", add_special_tokens=False).ids + [2] in by_id[doc_id]
 
 
+def test_slice_is_decoded_from_checkpoints(spark, monkeypatch):
+    monkeypatch.setattr("siftline.llm.rans_tokens.CHECKPOINT_STEPS", 4)
+    texts = ["one " * 3, " ".join(random_texts(300, 7)), None, "tail"]
+    path = corpus_folder(spark)
+    write_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), BYTES, path)
+    every = [i for r in sorted(read_corpus(spark, path).collect(), key=lambda r: r["start"]) for i in r["ids"]]
+    assert len(every) > 2000
+    for start, stop in [(0, len(every)), (5, 1200), (1111, 1112), (len(every) - 3, len(every) + 9), (7, 7)]:
+        got = sorted(read_slice(spark, path, start, stop).collect())
+        assert [i for r in got for i in r["ids"]] == every[start:stop]
+        assert not got or got[0]["place"] == start
+    assert read_slice(spark, path, 0, len(every)).count() > 5
+
+
 def test_corpus_of_no_documents_and_damage(spark):
     path = corpus_folder(spark)
     write_corpus(spark.createDataFrame([], "doc_id bigint, text string"), BYTES, path)
