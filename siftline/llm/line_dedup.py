@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline.llm.common import ASCII_SPACE, ascii_lower, drop_stored, stored
+from siftline.operators.skew import lookup_join
 from siftline.session import new_folder, remove_folder
 
 
@@ -45,83 +46,105 @@ class LineRuns:
     """Levelled sorted runs of line hashes, one record (h1, h2, n, top) per key and run.
 
     ``n`` is the number of documents of the run's batches that hold the key and ``top`` the
-    largest id among them. A run is an external table bucketed and sorted by
-    (h1, h2), so a batch is shuffled once to the bucket layout and merged with every run in
-    place: the runs themselves never move. Whenever a level holds ``fan_in`` runs they are
-    merged into one run of the next level, so a key is rewritten a logarithmic number of times.
+    largest id among them. A batch is merge-anti-joined with the runs: keys that none of them
+    holds become a run of first sightings, all others a run of further sightings. So a key is in
+    one run of first sightings only, and a batch is compared with these alone.
+
+    A run is an external table bucketed and sorted by (h1, h2): a batch is shuffled once to the
+    bucket layout and merged with every run in place. Whenever a level holds ``fan_in`` runs they
+    are merged into one run of the next level, so a key is rewritten a logarithmic number of
+    times. Two runs are merged bucket by bucket without a shuffle; with more runs a merge
+    shuffles what the first two gave.
     """
 
-    def __init__(self, spark: SparkSession, *, fan_in: int = 3, buckets: int = 16):
+    KINDS = ("first", "further")
+
+    def __init__(self, spark: SparkSession, *, fan_in: int = 2, buckets: int = 16):
         self.spark, self.fan_in, self.buckets = spark, fan_in, buckets
-        self.levels: list[list[tuple[str, str]]] = []
+        self.levels: dict[str, list[list[tuple[str, str]]]] = {kind: [] for kind in self.KINDS}
 
-    def _write(self, records: DataFrame, level: int) -> None:
+    def _write(self, records: DataFrame, kind: str, level: int = 0) -> None:
         name, path = f"line_run_{uuid.uuid4().hex}", new_folder(self.spark, "line-run")
+        levels = self.levels[kind]
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append((name, path))
         (
             records.write.format("parquet").option("path", path).option("compression", "zstd")
             .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         )
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append((name, path))
-        if len(self.levels[level]) >= self.fan_in:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self._merged(old), level + 1)
-            for table_name, folder in old:
-                self.spark.sql(f"DROP TABLE {table_name}")
-                remove_folder(self.spark, folder)
+        if len(levels[level]) >= self.fan_in:
+            old = levels[level]
+            self._write(self._merged(old), kind, level + 1)
+            levels[level] = []
+            self._remove(old)
+
+    def _remove(self, runs: list[tuple[str, str]]) -> None:
+        for name, folder in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_folder(self.spark, folder)
 
     def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
         """One record per key of several runs, by merge joins. (A union of bucketed scans followed
         by an aggregate left keys unmerged in Spark 4.1.2, which took it to be partitioned by key.)"""
         out = self.spark.table(runs[0][0])
         for name, _ in runs[1:]:
-            more = self.spark.table(name).select("h1", "h2", *[F.col(c).alias(f"_{c}") for c in ("n", "top", "since")])
+            more = self.spark.table(name).select("h1", "h2", F.col("n").alias("_n"), F.col("top").alias("_top"))
             out = out.join(more.hint("merge"), ["h1", "h2"], "full").select(
-                "h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
-                F.greatest("top", "_top").alias("top"), F.greatest("since", "_since").alias("since"),
+                "h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("top", "_top").alias("top")
             )
         return out
 
-    def runs(self) -> list[tuple[str, str]]:
-        return [run for level in self.levels for run in level]
+    def runs(self, kind: str = "first") -> list[tuple[str, str]]:
+        return [run for level in self.levels[kind] for run in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of ``keys`` (with h1, h2) that no run holds: one merge anti-join per run."""
+        """Rows of ``keys`` (with h1, h2) that no run holds: one merge anti-join per run of first sightings."""
         for name, _ in self.runs():
             keys = keys.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return keys
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch (doc, h1, h2): its keys as a new run.
+        """Add a batch (doc, h1, h2): its keys as a run of first and one of further sightings.
 
-        A key that the runs hold already is recorded as a further sighting with a null
-        ``since``; one they lack gets the batch's largest id as ``since`` too. Batches may
-        come in any order, counts and largest ids are merged by sum and maximum. No id may
-        come in two batches.
+        Batches may come in any order, counts and largest ids are merged by sum and maximum.
+        No id may come in two batches.
         """
         records = (
             lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
             .groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc").alias("top"))
         )
         records, path = stored(records.repartition(self.buckets, "h1", "h2"), "line-batch")
-        fresh = self.unseen(records).select("h1", "h2", F.col("top").alias("since"))
-        self._write(records.join(fresh, ["h1", "h2"], "left").select("h1", "h2", "n", "top", "since"), 0)
-        drop_stored(self.spark, path)
+        try:
+            fresh, fresh_path = stored(self.unseen(records.repartition(self.buckets, "h1", "h2")), "line-fresh")
+            try:
+                if self.runs():
+                    seen = records.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+                    self._write(seen.repartition(self.buckets, "h1", "h2"), "further")
+                self._write(fresh.repartition(self.buckets, "h1", "h2"), "first")
+            finally:
+                drop_stored(self.spark, fresh_path)
+        finally:
+            drop_stored(self.spark, path)
 
     def state(self) -> DataFrame:
-        """(h1, h2, n, top, since) over all batches."""
-        return self._merged(self.runs())
+        """(h1, h2, n, top) over all batches: first sightings, with the further ones added."""
+        first, further = self._merged(self.runs()), self.runs("further")
+        if not further:
+            return first
+        more = self._merged(further).select("h1", "h2", F.col("n").alias("_n"), F.col("top").alias("_top"))
+        return first.join(more.hint("merge"), ["h1", "h2"], "left").select(
+            "h1", "h2", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("top", "_top").alias("top")
+        )
 
     def drop(self) -> None:
-        for name, folder in self.runs():
-            self.spark.sql(f"DROP TABLE {name}")
-            remove_folder(self.spark, folder)
-        self.levels = []
+        for kind in self.KINDS:
+            self._remove(self.runs(kind))
+            self.levels[kind] = []
 
 
 def dedup_lines(
-    docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 3, buckets: int = 16
+    docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 2, buckets: int | None = None
 ) -> DataFrame:
     """Drop lines that many documents share, except in the largest id that holds them.
 
@@ -132,24 +155,31 @@ def dedup_lines(
 
     Null or empty text is one empty line and stays. Rows that share an id count as one
     document; a null id sorts below all others. Columns named like helper columns are safe.
-    An empty table gives an empty result.
+    An empty table gives an empty result. ``buckets`` is by default one for every 2,000,000 long
+    lines of a batch, 16 at least.
     """
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("doc"), F.lit(batches))
     lines, lines_path = stored(hashed_lines(docs, min_chars=min_chars).withColumn("batch", batch), "lines", "batch")
+    if buckets is None:
+        buckets = max(16, -(-lines.count() // (2_000_000 * batches)))  # from the files' footers
     runs = LineRuns(spark, fan_in=fan_in, buckets=buckets)
-    for number in range(batches):
-        runs.add(lines.filter(F.col("batch") == number).select("doc", "h1", "h2"))
-    shared = runs.state().filter(F.col("n") >= min_docs).select("h1", "h2", "top")
+    try:
+        for number in range(batches):
+            runs.add(lines.filter(F.col("batch") == number).select("doc", "h1", "h2"))
+        shared = runs.state().filter(F.col("n") >= min_docs).select("h1", "h2", "top", "n")
+        shared, shared_path = stored(shared, "shared-lines")
+    finally:
+        runs.drop()
     drops = (
-        lines.join(shared, ["h1", "h2"])
+        # A key that a large share of all lines carries, such as a licence line, never meets in one task.
+        lookup_join(lines, shared, ["h1", "h2"], weight="n", how="inner")
         .filter(~F.col("doc").eqNullSafe(F.col("top")))
         .select("doc", "th", "pos").distinct()
         .groupBy("doc", "th").agg(F.collect_list("pos").alias("gone"))
     )
     drops, _ = stored(drops, "line-drops")
-    runs.drop()
-    drop_stored(spark, lines_path)
+    drop_stored(spark, lines_path, shared_path)
     row = docs.select(F.struct("*").alias("row"))
     # Always the same join: a broadcast would be chosen for small inputs only.
     found = row.join(

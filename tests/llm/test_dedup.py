@@ -21,7 +21,7 @@ def line_rows():
     return rows + [(60, None), (61, ""), (62, "\n"), (63, LONG + "\n" + LONG), (64, " " * 40)]
 
 
-@pytest.mark.parametrize("batches,fan_in", [(1, 3), (5, 2)])
+@pytest.mark.parametrize("batches,fan_in", [(1, 3), (5, 2), (7, 3)])
 def test_line_dedup_equals_sql(spark, batches, fan_in):
     df = spark.createDataFrame(line_rows(), "doc_id bigint, text string").withColumn("n_lines", F.lit("clash")).withColumn("h1", F.lit(7))
     out = dedup_lines(df.repartition(3), batches=batches, fan_in=fan_in, buckets=2)
@@ -50,8 +50,11 @@ def test_runs_report_unseen_keys_and_merge(spark):
         runs.add(frame.select("doc", "h1", "h2"))
     assert news == [2, 1, 1]
     assert sorted(r["n"] for r in runs.state().collect()) == [1, 1, 2, 2]
-    assert len(runs.runs()) == 2
+    assert len(runs.runs()) == 2 and len(runs.runs("further")) == 1
+    firsts = [r for name, _ in runs.runs() for r in spark.table(name).select("h1", "h2").collect()]
+    assert len(firsts) == len(set(firsts)) == 4
     runs.drop()
+    assert not runs.runs() and not runs.runs("further")
 
 
 def brute_components(fps):
