@@ -209,6 +209,28 @@ def near_pairs(
     return merged.distinct()
 
 
+def near_pairs_in_time(
+    groups: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64, bucket_limit: int = 2048
+) -> DataFrame:
+    """The pairs of :func:`near_pairs` whose fingerprints occur in one time bucket or in two consecutive ones.
+
+    ``groups`` (fp, bucket) is materialised and has each pair of them once. Within a TTL there are mostly few
+    messages, so all fingerprints of a bucket and of the one before are compared: no fingerprint is copied once per block key.
+    Those of buckets that meet more than ``bucket_limit`` go through :func:`near_pairs`, which finds all their pairs.
+    """
+    distance = max_distance(threshold, hash_bits)
+    own = groups.select("fp", "bucket")
+    met = own.select(F.col("fp").alias("other"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
+    crowds = materialize(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("bucket"))
+    difference = F.col("fp").bitwiseXOR(F.col("other"))
+    close = own.join(crowds, "bucket", "left_anti").join(met, "bucket").filter(F.col("fp") != F.col("other")).filter(is_near(difference, distance, num_bands, hash_bits))
+    pairs = close.select(F.least("fp", "other").alias("fp_a"), F.greatest("fp", "other").alias("fp_b"), F.bit_count(difference).alias("distance"))
+    if not crowds.isEmpty():
+        crowded = materialize(met.join(crowds, "bucket", "left_semi").select(F.col("other").alias("fp")).distinct())
+        pairs = pairs.unionByName(near_pairs(crowded, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits))
+    return pairs.distinct()
+
+
 def bucket_representatives(
     groups: DataFrame, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64, ttl: bool = False
 ) -> DataFrame:

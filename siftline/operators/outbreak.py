@@ -13,7 +13,7 @@ from siftline.functions.confusables import strip_confusables
 from siftline.functions.hashing import simhash
 from siftline.functions.zero_width import strip_zero_width
 from siftline.operators.forest import near_components
-from siftline.operators.neighbours import BROADCAST_ROWS, bucket_representatives, near_pairs
+from siftline.operators.neighbours import BROADCAST_ROWS, bucket_representatives, near_pairs, near_pairs_in_time
 from siftline.operators.skew import lookup_join
 from siftline.session import materialize
 
@@ -148,8 +148,13 @@ def flag_fingerprints(
 ) -> DataFrame:
     """The part of :func:`detect_outbreaks` after fingerprinting; ``fps`` is materialised."""
     groups = materialize(fingerprint_groups(fps, ttl_seconds=ttl_seconds))
-    distinct_fps = groups.select("fp").distinct() if ttl_seconds is not None else groups.select("fp")
-    pairs = near_pairs(distinct_fps, threshold=threshold, num_bands=num_bands, hash_bits=hash_bits)
+    options = {"threshold": threshold, "num_bands": num_bands, "hash_bits": hash_bits}
+    if ttl_seconds is None:
+        distinct_fps = groups.select("fp")
+        pairs = near_pairs(distinct_fps, **options)
+    else:
+        distinct_fps = groups.select("fp").distinct()
+        pairs = near_pairs_in_time(groups, **options)
     near = neighbourhood(distinct_fps, materialize(pairs))
     return attach_verdicts(fps, groups, near, hash_bits, ttl_seconds)
 
@@ -173,7 +178,7 @@ def match_batch(
     groups = materialize(fingerprint_groups(fps, ttl_seconds=ttl_seconds))
     new_fps = materialize(groups.select("fp").distinct())
     options = {"threshold": threshold, "num_bands": num_bands, "hash_bits": hash_bits}
-    within = neighbourhood(new_fps, near_pairs(new_fps, **options))
+    within = neighbourhood(new_fps, near_pairs(new_fps, **options) if ttl_seconds is None else near_pairs_in_time(groups, **options))
     across = near_pairs(new_fps, index.select("fp"), **options)
     known = across.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("near_fp"), "distance")
     near = materialize(within.unionByName(known).distinct())
