@@ -5,9 +5,25 @@ import random
 from pyspark.sql import functions as F
 
 from siftline.operators import neighbours, outbreak
+from siftline.operators.dedup import corpus_summary
+from siftline.plans.corpus import training_corpus
+from siftline.schema import SPAM, record_columns
 from siftline.session import materialize
 
 
+def test_counts_of_the_corpus_shuffle_no_text(spark):
+    docs = spark.createDataFrame([(f"hemen tiklayin {i // 2} bonus", ("tr", "en", None)[i % 3]) for i in range(60)] + [(None, "tr")] * 2, "text string, lang string")
+    seeds = docs.filter("text IS NOT NULL").select(*record_columns(F.col("text"), F.lit(SPAM), F.lit("synthetic_seed"), F.lit("tr")))
+    sources = {"docs": lambda: docs.select(*record_columns(F.col("text"), F.lit(SPAM), F.lit("docs"), F.col("lang")))}
+    slim = training_corpus(sources=sources, seeds=seeds, columns=("label", "lang"))
+    whole = training_corpus(sources=sources, seeds=seeds)
+    assert slim.columns == ["label", "lang"] and whole.columns[-1] == "root_text"
+    rows = lambda df: sorted(map(str, corpus_summary(df, ("label", "lang")).collect()))
+    assert rows(slim) == rows(whole)
+    exchanged = [line for line in slim._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanged and not any("text#" in line for line in exchanged)
+
+
 def timed_fingerprints(spark, n=300):
     rnd = random.Random(5)
     bases = [rnd.getrandbits(63) for _ in range(4)]
