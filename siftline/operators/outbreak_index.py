@@ -7,7 +7,8 @@ Every batch adds one part, a folder with two tables:
 
 A lookup reads the folders of the batch's own time buckets and of those before them, and of these
 only the shards that its keys fall into. Buckets are as long as the TTL, so expiry
-drops whole folders. Parts are committed through a manifest (:mod:`siftline.sources.commits`): a batch sent again adds
+drops whole folders. A part that spans many buckets puts several, an era, into one folder and has fewer shards, so that
+the number of its files does not grow with the time it spans. Parts are committed through a manifest (:mod:`siftline.sources.commits`): a batch sent again adds
 nothing, and parts of one size class are merged into one of the next when there are enough.
 """
 
@@ -18,12 +19,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.operators.neighbours import BROADCAST_ROWS, KeyScheme, explode_keys, is_near, max_distance, near_pairs, under_lowest_key
+from siftline.operators.neighbours import BROADCAST_ROWS, KeyScheme, explode_keys, is_near, max_distance, near_pairs, near_pairs_in_time, under_lowest_key
 from siftline.operators.outbreak import attach_verdicts, fingerprint_groups, neighbourhood, time_bucket
 from siftline.session import materialize, remove_folder
 from siftline.sources.commits import CommitLog, Part, Snapshot
 
 ORDER = "struct<ts:timestamp,message_id:{id}>"
+#: Folders that one table of a part has about, whatever its span of time.
+FOLDERS = 512
 
 
 @dataclass(frozen=True)
@@ -62,15 +65,23 @@ class OutbreakIndex:
     def _shard(self, *columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.options.shards)).cast("int")
 
+    def _layout(self, low: int, high: int) -> dict:
+        """Buckets per folder and shards of a part with these time buckets."""
+        span = high - low + 1
+        return {"era": max(1, -(-span // FOLDERS)), "shards": max(1, min(self.options.shards, FOLDERS // span))}
+
     def _keyed(self, groups: DataFrame, *more: str) -> DataFrame:
         """fp, the given columns, k, v, shard: one row per block key."""
         keyed = explode_keys(groups.select("fp", *more), self.options.scheme, self.options.hash_bits)
         return keyed.withColumn("shard", self._shard("k", "v"))
 
-    def _write(self, keys: DataFrame, members: DataFrame, folder: str) -> None:
+    def _write(self, keys: DataFrame, members: DataFrame, part: Part) -> None:
         # The rebalance hint cuts crowded shards into several files and fills small ones.
+        era, shards = part.note["era"], part.note["shards"]
         for name, rows in (("keys", keys), ("members", members)):
-            rows.hint("rebalance", "bucket", "shard").write.partitionBy("bucket", "shard").parquet(f"{folder}/{name}")
+            rows = rows.withColumn("own_shard", F.col("shard")).withColumn("shard", F.col("shard") % shards)
+            rows = rows.withColumn("own_bucket", F.col("bucket")).withColumn("bucket", F.floor(F.col("bucket") / era) * era)
+            rows.hint("rebalance", "bucket", "shard").write.partitionBy("bucket", "shard").parquet(f"{self.log.folder(part)}/{name}")
 
     def add(self, fps: DataFrame, *, batch: int, writer: str = "batches") -> bool:
         """Remember a materialised batch (message_id, ts, fp); False if that batch was added before.
@@ -85,8 +96,8 @@ class OutbreakIndex:
             return self.log.commit(writer=writer, batch=batch)
         keys = self._keyed(groups, "bucket", "first", "last")
         members = fps.select("message_id", "ts", "fp", time_bucket(self.options.ttl_seconds).alias("bucket")).withColumn("shard", self._shard("fp"))
-        part = Part(self.log.new_part(f"{writer}-{batch}"), {"low": span[0], "high": span[1], "newest": span[2], "level": 0, "writer": writer, "batch": batch})
-        self._write(keys, members, self.log.folder(part))
+        part = Part(self.log.new_part(f"{writer}-{batch}"), {"low": span[0], "high": span[1], "newest": span[2], "level": 0, "writer": writer, "batch": batch, **self._layout(span[0], span[1])})
+        self._write(keys, members, part)
         if not self.log.commit(add=[part], writer=writer, batch=batch):
             remove_folder(self.spark, self.log.folder(part))
             return False
@@ -104,7 +115,8 @@ class OutbreakIndex:
         self.log.commit(remove=gone, note=lambda old: {**old, "horizon": max(horizon, old.get("horizon", horizon))})
         folders = [self.log.folder(p) for p in gone]
         for part in self.log.snapshot().parts:
-            for low in range(part.note["low"], min(horizon, part.note["high"] + 1)):
+            era = part.note["era"]
+            for low in range(part.note["low"] // era * era, min(horizon, part.note["high"] + 1) - era + 1, era):
                 folders += [f"{self.log.folder(part)}/{name}/bucket={low}" for name in ("keys", "members")]
         for folder in folders:
             remove_folder(self.spark, folder)
@@ -129,9 +141,10 @@ class OutbreakIndex:
             low = max(min(p.note["low"] for p in parts), self.horizon())
             note = {"low": low, "high": max(p.note["high"] for p in parts), "newest": max(p.note["newest"] for p in parts),
                     "level": full + 1, "writer": parts[0].note["writer"], "batch": max(p.note["batch"] for p in parts)}
+            note |= self._layout(low, note["high"])
             merged = Part(self.log.new_part(f"level-{full + 1}"), note)
             keys = self._read("keys", parts).groupBy("bucket", "shard", "k", "v", "fp").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-            self._write(keys, self._read("members", parts), self.log.folder(merged))
+            self._write(keys, self._read("members", parts), merged)
             self.log.commit(add=[merged], remove=parts)
             merges += 1
 
@@ -150,19 +163,28 @@ class OutbreakIndex:
         times = [p.note["newest"] for p in parts]
         return max(times) / 1e6 if times else None
 
-    def _read(self, name: str, parts: Sequence[Part], low: int | None = None, high: int | None = None) -> DataFrame:
-        """Rows of the parts within the time buckets, which are folders."""
+    def _read(self, name: str, parts: Sequence[Part], low: int | None = None, high: int | None = None, shards: Sequence[int] | None = None) -> DataFrame:
+        """Rows of the parts within the time buckets and the shards, by which folders are chosen."""
         schema = self.keys_schema if name == "keys" else self.members_schema
         horizon = self.horizon()
         near = [p for p in parts if (low is None or p.note["high"] >= low) and (high is None or p.note["low"] <= high) and p.note["high"] >= horizon]
-        frames = [self.spark.read.schema(schema).parquet(f"{self.log.folder(p)}/{name}") for p in near]
+        first = max(horizon, horizon if low is None else low)
+        frames = []
+        for part in near:
+            stored = self.spark.read.schema(f"{schema}, own_bucket bigint, own_shard int").parquet(f"{self.log.folder(part)}/{name}")
+            era = part.note["era"]
+            stored = stored.filter(F.col("bucket") >= first // era * era).filter(F.col("own_bucket") >= first)
+            if high is not None:
+                stored = stored.filter(F.col("bucket") <= high).filter(F.col("own_bucket") <= high)
+            if shards is not None:
+                stored = stored.filter(F.col("shard").isin(sorted({s % part.note["shards"] for s in shards}))).filter(F.col("own_shard").isin(list(shards)))
+            frames.append(stored.withColumn("bucket", F.col("own_bucket")).withColumn("shard", F.col("own_shard")).drop("own_bucket", "own_shard"))
         if not frames:
             return self.spark.createDataFrame([], schema)
         rows = frames[0]
         for frame in frames[1:]:
             rows = rows.unionByName(frame)
-        rows = rows.filter(F.col("bucket") >= max(horizon, horizon if low is None else low))
-        return rows if high is None else rows.filter(F.col("bucket") <= high)
+        return rows
 
     def entries_for(self, groups: DataFrame, parts: Sequence[Part]) -> DataFrame:
         """Key entries that the batch's keys lead to: its columns with those of the entry (near_fp, bucket, first, last).
@@ -176,7 +198,7 @@ class OutbreakIndex:
         if span[0] is None or not parts:
             return self.spark.createDataFrame([], f"fp bigint, own_bucket bigint, k int, v bigint, shard int, near_fp bigint, bucket bigint, first {self._order()}, last {self._order()}")
         touched = sorted(r["shard"] for r in keyed.select("shard").distinct().collect())
-        stored = self._read("keys", parts, span[0] - 1, span[1]).filter(F.col("shard").isin(touched)).withColumnRenamed("fp", "near_fp")
+        stored = self._read("keys", parts, span[0] - 1, span[1], touched).withColumnRenamed("fp", "near_fp")
         if span[2] * self.options.scheme.keys <= BROADCAST_ROWS:
             keyed = F.broadcast(keyed)
         found = stored.join(keyed, ["shard", "k", "v"])
@@ -199,7 +221,8 @@ class OutbreakIndex:
         groups = materialize(fingerprint_groups(fps, ttl_seconds=o.ttl_seconds))
         own = materialize(groups.select("fp").distinct())
         known = materialize(self.lookup(groups, before_batch=before_batch, writer=writer))
-        within = neighbourhood(own, near_pairs(own, threshold=o.threshold, num_bands=o.num_bands, hash_bits=o.hash_bits))
+        options = {"threshold": o.threshold, "num_bands": o.num_bands, "hash_bits": o.hash_bits}
+        within = neighbourhood(own, near_pairs(own, **options) if o.ttl_seconds is None else near_pairs_in_time(groups, **options))
         near = materialize(within.unionByName(known.select("fp", "near_fp", "distance")).distinct())
         seen = known.select(F.col("near_fp").alias("fp"), "bucket", "first", "last", F.lit(0).cast("long").alias("n"))
         merged = materialize(
@@ -219,7 +242,7 @@ class OutbreakIndex:
         near = materialize(self.lookup(groups, before_batch=before_batch, writer=writer).select("fp", "near_fp", "distance", "bucket").distinct())
         span = near.agg(F.min("bucket"), F.max("bucket"), F.count(F.lit(1))).first()
         shards = [r["s"] for r in near.select(self._shard("near_fp").alias("s")).distinct().collect()]  # at most ``shards``
-        members = self._read("members", parts, span[0], span[1]).filter(F.col("shard").isin(shards)) if shards else self.spark.createDataFrame([], self.members_schema)
+        members = self._read("members", parts, span[0], span[1], sorted(shards)) if shards else self.spark.createDataFrame([], self.members_schema)
         known = members.select(F.col("fp").alias("near_fp"), "bucket", F.col("message_id").alias("similar_id"), F.col("ts").alias("similar_ts"))
         side = F.broadcast(near) if span[2] <= BROADCAST_ROWS else near
         rows = known.join(side, ["near_fp", "bucket"]).join(batch, "fp")
