@@ -1,14 +1,17 @@
 """What keeps the work of single steps in proportion to their input."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from siftline.operators import neighbours, outbreak
+from siftline.operators import neighbours, outbreak, outbreak_index
 from siftline.operators.dedup import corpus_summary
 from siftline.plans.corpus import training_corpus
 from siftline.schema import SPAM, record_columns
 from siftline.session import materialize
+from siftline.streaming import state
 
 
 def test_counts_of_the_corpus_shuffle_no_text(spark):
@@ -46,3 +49,49 @@ def test_pairs_within_a_ttl_are_looked_for_there_only(spark):
     assert found == near and len(found) < len(anywhere) / 2
     crowded = {(r["fp_a"], r["fp_b"]) for r in neighbours.near_pairs_in_time(groups, bucket_limit=30).collect()}
     assert near <= crowded <= anywhere
+
+
+def test_folders_of_a_part_do_not_grow_with_its_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outbreak_index, "FOLDERS", 6)
+    fps, rows = timed_fingerprints(spark, 160)  # 67 buckets of 30 seconds
+    index = outbreak_index.OutbreakIndex(spark, str(tmp_path / "index"), outbreak_index.IndexOptions(ttl_seconds=30, shards=4))
+    old = materialize(fps.filter("message_id < 80"))
+    new = materialize(fps.filter("message_id >= 80"))
+    index.add(old, batch=0)
+    assert len(list((tmp_path / "index").glob("_parts/*/keys/bucket=*/shard=*"))) <= 7
+    got = {r["message_id"]: r["is_outbreak_candidate"] for r in index.verdicts(new, before_batch=1).collect()}
+    assert got == {i: any((t, j) < (s, i) and s - t < 30 and (fp ^ f).bit_count() <= 6 for j, t, f in rows) for i, s, fp in rows if i >= 80}
+    assert index.expire(1000) > 0
+    assert {r["message_id"] for r in index._read("members", index.parts()).collect()} == {i for i, s, _ in rows if i < 80 and s >= 990}
+
+
+class Value:
+    row = None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+    def clear(self):
+        self.row = None
+
+
+def test_keys_of_one_state_stay_apart_and_share_a_timer():
+    timers, values = [], {}
+    memory = state.KeyMemory(100, 6, 3, "bigint", {3: 0xFFFF})
+    memory.init(SimpleNamespace(getValueState=lambda name, _: values.setdefault(name, Value()), registerTimer=timers.append))
+    second = 1_000_000
+    rows = [(10 * second, 1, 7), (20 * second, 2, 7 | 1 << 40), (30 * second, 3, 6), (200 * second, 4, 7)]
+    memory.handleInputRows((3, 5), iter([pd.DataFrame(rows, columns=["micros", "message_id", "fp"])]), None)
+    assert timers == [10_000]
+
+    def at(seconds):
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: seconds * 1000)
+        return [tuple(r) for frame in memory.handleExpiredTimer((3, 5), clock, None) for r in frame[["message_id", "match_id"]].astype(object).where(lambda x: x.notna(), None).values.tolist()]
+
+    # Message 3 is one bit away from the first, under another key.
+    assert at(60) == [(1, None), (2, None), (2, 1), (3, None)] and timers == [10_000, 110_000]
+    assert at(250) == [(4, None)] and timers[-1] == 300_000
+    assert at(400) == [] and len(timers) == 3 and all(v.row is None for v in values.values())
