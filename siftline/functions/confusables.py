@@ -70,7 +70,9 @@ def mixed_script_report(text: Column | str) -> Column:
     """STRUCT<text, is_mixed_script, flagged_chars>, flagged characters in order of occurrence."""
     column = _col(text)
     mixed = is_homoglyph_attack(column)
-    folded = F.translate(column, "".join(ACCENTED), "".join(ACCENTED.values()))
+    # The letters of a text that is not mixed are not listed, so it is not searched for them either.
+    searched = F.when(mixed, column).otherwise(F.when(column.isNotNull(), ""))
+    folded = F.translate(searched, "".join(ACCENTED), "".join(ACCENTED.values()))
     found = F.array_distinct(
         F.regexp_extract_all(folded, F.lit("[" + "".join(LOOK_ALIKE) + "]"), F.lit(0))
     )
