@@ -14,7 +14,7 @@ from siftline.functions.rules import detect_otp
 from siftline.functions.urls import extract_urls, mark_all
 from siftline.functions.zero_width import strip_zero_width
 from siftline.operators.evaluate import best_label
-from siftline.operators.outbreak import flag_fingerprints
+from siftline.operators.outbreak import flag_crowds, flag_fingerprints
 from siftline.functions.hashing import simhash
 from siftline.operators.review import needs_human_review
 from siftline.schema import MODEL_LABELS, OTP
@@ -148,12 +148,14 @@ def classify_with_outbreaks(
     hash_fn: str = "blake2b",
     ttl_seconds: int | None = None,
     normalize: str = "full",
+    flags_only: bool = False,
 ) -> DataFrame:
     """The whole flow in batch: :func:`classify` plus outbreak columns.
 
     A message sent again under its id takes the place of the earlier one, see
     :func:`latest_messages`. Only (id, ts, fingerprint) goes through outbreak detection; its
-    verdicts join back on the id, which is then unique.
+    verdicts join back on the id, which is then unique. With ``flags_only`` these are the fingerprint and the flag,
+    for which no near pairs are listed (:func:`flag_crowds`).
     """
     messages = latest_messages(messages, id_col=id_col, text_col=text_col, ts_col=ts_col)
     cleaned = strip_confusables(strip_zero_width(text_col), normalize=normalize)
@@ -163,6 +165,10 @@ def classify_with_outbreaks(
             simhash(cleaned, hash_fn=hash_fn).alias("fp"),
         )
     )
-    verdicts = flag_fingerprints(fps, threshold=threshold, ttl_seconds=ttl_seconds).drop("ts")
+    if flags_only:
+        flags = flag_crowds(fps, threshold=threshold, ttl_seconds=ttl_seconds)
+        verdicts = flags.select("message_id", "fingerprint", "is_outbreak_candidate")
+    else:
+        verdicts = flag_fingerprints(fps, threshold=threshold, ttl_seconds=ttl_seconds).drop("ts")
     classified = classify(messages, scorer, text_col=text_col, normalize=normalize)
     return classified.withColumnRenamed(id_col, "message_id").join(verdicts, "message_id", "left")
