@@ -16,6 +16,8 @@ from siftline.llm.word_codes import Memo, gather, per_text, slices, words_of
 SPACE = "▁"
 #: Stands before the first token of a word; the id of the unknown piece, which is never matched.
 START = 0
+#: Bytes of text whose words are looked up together, of which a quarter or so may be distinct words.
+SLICE = 2 << 20
 
 
 class PrefixEncoder:
@@ -125,6 +127,11 @@ class BatchEncoder:
         self.encoder = PrefixEncoder(model_file)
         self.memo = Memo(word_limit)
 
+    def forget(self) -> None:
+        """Give back what the words of a task took; the model and the pairs it has tested are kept."""
+        self.memo = Memo(self.memo.limit)
+        pa.default_memory_pool().release_unused()
+
     def _words(self, words: list[str]) -> list[bytes]:
         encode = self.encoder.encode_word
         return [array("i", encode(SPACE + w)).tobytes() for w in words]
@@ -140,7 +147,7 @@ class BatchEncoder:
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per slice of texts: all ids, and the number of ids of each text."""
         dtype = np.dtype(np.int32)
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             distinct, codes, words = words_of(part)
             pieces = self.memo.fill(distinct, self._words)
             odd = [i for i, t in enumerate(part.to_pylist()) if not t or t[0] == " " or "  " in t or SPACE in t]
@@ -172,7 +179,7 @@ def _texts(library, lists: pa.ListArray) -> pa.Array:
 
 
 def encode(
-    docs: DataFrame, model_file: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, word_limit: int = 200_000
+    docs: DataFrame, model_file: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, word_limit: int = 50_000
 ) -> DataFrame:
     """Add ``ids``, the token ids of the whole text, as the SentencePiece library gives them.
 
@@ -180,8 +187,8 @@ def encode(
     empty list. With ``decoded`` a column of that name holds the library's decoding of the ids
     as well, made in the same pass. Other columns come back unchanged, except one that has the
     name of an added column, which is replaced. ``word_limit`` bounds the words each worker
-    remembers (twice that number); it changes the speed only. ``model_file`` is a path that
-    every executor can read.
+    remembers (twice that number and those of a slice) and which it forgets when a task ends, as Spark deals
+    tasks to its idle workers by turns; it changes the speed only. ``model_file`` is a path that every executor can read.
     """
     rest = [c for c in docs.columns if c not in (ids, decoded)]
     kinds = {f.name: f for f in docs.schema.fields}
@@ -191,15 +198,18 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_file, word_limit)
-        for batch in batches:
-            start = 0
-            for values, counts in encoder.encode(batch.column(text)):
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-                own = batch.slice(start, len(counts))
-                start += len(counts)
-                more = [lists, _texts(_library(model_file), lists)] if decoded else [lists]
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + more, names=schema.names)
+        try:
+            for batch in batches:
+                start = 0
+                for values, counts in encoder.encode(batch.column(text)):
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+                    own = batch.slice(start, len(counts))
+                    start += len(counts)
+                    more = [lists, _texts(_library(model_file), lists)] if decoded else [lists]
+                    yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + more, names=schema.names)
+        finally:
+            encoder.forget()
 
     return docs.mapInArrow(run, schema)
 

@@ -105,3 +105,14 @@ def test_encode_and_decode_frames(spark):
         ids = library.encode(r["text"] or "")
         assert list(r["ids"]) == ids and r["back"] == r["again"] == library.decode(ids)
     assert encode(df.limit(0), MODEL).count() == 0
+
+
+def test_words_of_a_task_are_forgotten_when_it_ends():
+    """Spark deals tasks to all idle workers by turns, so what each keeps adds up."""
+    encoder = BatchEncoder(MODEL, 1000)
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(5_000)) for i in range(60)], pa.string())
+    first = [(v.tolist(), c.tolist()) for v, c in encoder.encode(texts)]
+    assert len(first) > 1 and encoder.memo.young
+    encoder.forget()
+    assert not encoder.memo.young and not encoder.memo.old
+    assert [(v.tolist(), c.tolist()) for v, c in encoder.encode(texts)] == first
