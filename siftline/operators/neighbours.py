@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions.hashing import block_keys, block_masks, signed64
+from siftline.operators.blocks import block_pairs
 from siftline.operators.skew import lookup_join
 from siftline.session import materialize
 
@@ -148,7 +149,7 @@ def near_pairs(
     threshold: float = 0.90,
     num_bands: int = 8,
     hash_bits: int = 64,
-    bucket_limit: int = 4096,
+    bucket_limit: int = 1 << 15,
     scheme: KeyScheme | None = None,
 ) -> DataFrame:
     """All pairs of distinct fingerprints that share a band and reach the similarity threshold.
@@ -161,8 +162,11 @@ def near_pairs(
     while ``right`` is scanned; ``right`` is then neither shuffled nor copied and may hold
     a fingerprint several times (its pairs repeat as often).
 
-    Keys shared by more than ``bucket_limit`` fingerprints (between two sets: by more than
-    its square in pairs) are not joined directly.
+    All other pairs come from :func:`block_pairs`: a fingerprint is shuffled once per block, and more
+    than ``bucket_limit`` of them that share a block are compared in slices.
+
+    With a ``scheme`` its keys are joined. Keys shared by more than ``bucket_limit`` fingerprints (between two sets: by more than
+    its square in pairs) are not joined directly then.
     Their fingerprints go on to a scheme with longer keys, which is exact by itself, so
     no pair is lost and a crowded bucket does not cost its square.
     """
@@ -179,6 +183,8 @@ def near_pairs(
     elif not self_join and sizes[0] * schemes[0].keys <= BROADCAST_ROWS and sizes[0] <= sizes[1]:
         probe = F.broadcast(_keyed(left, schemes[0], hash_bits))
         return _join(probe, _keyed(right, schemes[0], hash_bits), schemes[0], distance, num_bands, hash_bits, False)
+    else:
+        return block_pairs(left, right, sum(sizes), distance=distance, num_bands=num_bands, hash_bits=hash_bits, slice_rows=bucket_limit)
     found = []
     for level, current in enumerate(schemes):
         keyed_left = _keyed(left, current, hash_bits)
