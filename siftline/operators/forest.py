@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftline.operators.blocks import block_count, block_links, in_blocks
 from siftline.operators.components import connected_components
 from siftline.operators.neighbours import explode_keys, is_near, key_schemes, max_distance
 from siftline.operators.skew import lookup_join
@@ -51,14 +52,16 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_components(
     fps: DataFrame, known: DataFrame | None = None, *, threshold: float = 0.90, num_bands: int = 8, hash_bits: int = 64, rounds: int = 3,
-    key_work: int = 1 << 24,
+    key_work: int = 1 << 24, block_rows: int = 1 << 17,
 ) -> DataFrame:
     """fp, blast: the smallest fingerprint (or known label) that a chain of near fingerprints leads to.
 
     ``fps`` holds distinct fingerprints in a column ``fp``. ``known`` (fp, blast) are groups that
     are known to be connected already; links inside them are not looked for again.
+    Fingerprints that share a block are searched together, see :func:`block_links`. Only where more than ``block_rows`` share
+    one are their links looked for by keys and representatives:
     ``rounds`` are the representatives tried per key; ``key_work`` is the number of comparisons in one key above
-    which its fingerprints go on to longer keys. Both change the work, not the result.
+    which its fingerprints go on to longer keys. All three change the work, not the result.
     """
     distance = max_distance(threshold, hash_bits)
     nodes = materialize(fps.select("fp").distinct())
@@ -69,19 +72,28 @@ def near_components(
     def near(difference: Column) -> Column:
         return is_near(difference, distance, num_bands, hash_bits)
 
-    rows = nodes.count()
-    schemes = key_schemes(distance, rows, num_bands=num_bands, hash_bits=hash_bits)
-    inside = labels
+    def moved(links: DataFrame) -> DataFrame:
+        """Links between labels for links between fingerprints."""
+        ends = links.join(labels.select(F.col("fp").alias("u"), F.col("blast").alias("a")), "u")
+        ends = ends.join(labels.select(F.col("fp").alias("v"), F.col("blast").alias("b")), "v").filter("a <> b")
+        return ends.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    blocks = block_count(distance, num_bands)
+    keyed = in_blocks(nodes, blocks, hash_bits)
+    # Few: a value that is listed has more than ``block_rows`` rows.
+    crowds = materialize(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows).select("k", "v"))
+    links = block_links(keyed.join(F.broadcast(crowds), ["k", "v"], "left_anti"), nodes.count() * blocks, distance=distance).distinct()
+    labels = relabel(labels, links if known is None else moved(links).distinct())
+    if crowds.isEmpty():
+        return labels
+    inside = materialize(keyed.join(F.broadcast(crowds), ["k", "v"], "left_semi").select("fp").distinct())
+    schemes = key_schemes(distance, inside.count(), num_bands=num_bands, hash_bits=hash_bits)
     for level, scheme in enumerate(schemes):
         links = None
         keyed = materialize(explode_keys(inside.select("fp"), scheme, hash_bits))
         for found in representative_links(keyed, near, rounds):
             links = found if links is None else links.unionByName(found)
-        if level or known is not None:  # else every fingerprint is its own label still
-            ends = links.join(labels.select(F.col("fp").alias("u"), F.col("blast").alias("a")), "u")
-            ends = ends.join(labels.select(F.col("fp").alias("v"), F.col("blast").alias("b")), "v").filter("a <> b")
-            links = ends.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = relabel(labels, links.distinct())
+        labels = relabel(labels, moved(links).distinct())
 
         own = materialize(explode_keys(inside.select("fp").join(labels, "fp"), scheme, hash_bits))
         per_group = own.groupBy("k", "v", "blast").agg(F.count(F.lit(1)).alias("n"))
