@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 # Look-alike letters of other scripts and the Latin letter they imitate, after the public
@@ -95,10 +96,19 @@ def mixed_script_report(text: Column | str) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def normalize_nfkd(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition; marks and case are kept."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+@F.arrow_udf(T.StringType())
+def _decomposed(text: pa.Array) -> pa.Array:
+    # A few texts at a time: beside the batch only what comes of it is held whole.
+    done = [pa.array([], pa.string())]
+    for start in range(0, len(text), 64):
+        done.append(pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in text.slice(start, 64).to_pylist()], pa.string()))
+    return pa.concat_arrays(done)
+
+
+def normalize_nfkd(text: Column | str) -> Column:
+    """Compatibility decomposition; marks and case are kept. ASCII texts, which it leaves alone, reach Python as nulls only."""
+    column = _col(text)
+    return F.coalesce(_decomposed(F.when(F.octet_length(column) != F.char_length(column), column)), column)
 
 
 @F.pandas_udf(T.StringType())

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -42,8 +43,8 @@ def simhash(text: Column | str, *, hash_bits: int = 64, shingle_size: int = 4, h
     memory_limit = 1 << 20
     slice_size = 1 << 19  # shingles looked up together
 
-    @F.pandas_udf(T.LongType())
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.LongType())
+    def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import hashlib
 
         import numpy as np
@@ -135,14 +136,15 @@ def simhash(text: Column | str, *, hash_bits: int = 64, shingle_size: int = 4, h
             done: list = []
             found: list = []
             size = 0
-            for text in texts:
+            # The texts become Python's a few at a time; beside the batch no copy of it is held.
+            for text in (t for start in range(0, len(texts), 64) for t in texts.slice(start, 64).to_pylist()):
                 found.append(shingles(text))
                 size += len(found[-1]) if isinstance(found[-1], np.ndarray) else 1
                 if size >= slice_size:
                     done += settle(found)
                     found, size = [], 0
             done += settle(found)
-            yield pd.Series(done, dtype="Int64")
+            yield pa.array(done, pa.int64())
 
     return fingerprint(_col(text))
 
