@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -171,10 +172,18 @@ def _encoder(model_file: str, word_limit: int) -> BatchEncoder:
 
 
 def _texts(library, lists: pa.ListArray) -> pa.Array:
-    """The library's decoding of every list, a few at a time."""
+    """The library's decoding of every list, a few at a time; a null list decodes to an empty text.
+
+    Lists are cut from one array of all ids, as Arrow makes a Python number of an id ten times slower.
+    """
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    bounds = np.concatenate([[0], ends])
+    values = lists.flatten().to_numpy(zero_copy_only=False)
     found: list[str] = []
     for start in range(0, len(lists), 64):
-        found += library.decode([x or [] for x in lists.slice(start, 64).to_pylist()], num_threads=1)
+        own = bounds[start : start + 65]
+        flat, cuts = values[own[0] : own[-1]].tolist(), (own - own[0]).tolist()
+        found += library.decode([flat[a:b] for a, b in zip(cuts, cuts[1:])], num_threads=1)
     return pa.array(found, pa.string())
 
 
