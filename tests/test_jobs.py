@@ -328,3 +328,23 @@ def test_resent_and_missing_ids_give_one_row_per_id(spark):
     out = classify_with_outbreaks(df, scorer, hash_fn="md5").collect()
     assert sorted(r["text"] for r in out) == ["kodunuz", "no id", "no id either", "second text"]
     assert all(r["is_outbreak_candidate"] is not None and r["message_id"] for r in out)
+
+
+def test_training_cuts_texts_once_in_bounded_tasks(spark, monkeypatch):
+    """Both fits read counted words, in no more tasks than the cluster has use for and in blocks that outweigh the model."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, fit = [], LogisticRegression.fit
+
+    def watched(self, data, *rest):
+        plan = data._jdf.queryExecution().executedPlan().toString()
+        seen.append((data.rdd.getNumPartitions(), self.getMaxBlockSizeInMB(), "RegexTokenizer" in plan or "Join" in plan))
+        return fit(self, data, *rest)
+
+    monkeypatch.setattr(LogisticRegression, "fit", watched)
+    rows = [(f"{word} text {i} {i % 7}", label) for label, word in (("reklam", "sale"), ("spam", "casino"), ("bilgilendirme", "meeting")) for i in range(20)]
+    df = spark.createDataFrame(rows, "text string, label string").repartition(40)
+    model, report = T.train_classifier(df, df, num_features=1 << 10, max_iter=8)
+    assert T.evaluate_model(model, df).first()["f1_macro"] == 1.0 and report.count() == 2
+    assert len(seen) == 2
+    assert all(n <= 2 * spark.sparkContext.defaultParallelism and mb >= 16 and not again for n, mb, again in seen)
