@@ -3,6 +3,8 @@
 import math
 import random
 import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -290,6 +292,65 @@ def test_decontamination_finds_copies_of_long_items(spark):
     assert not missed, missed
 
 
+def test_words_are_hashed_in_little_memory():
+    words = [f"word{i}" for i in range(120_000)] + ["", "x" * (lsa_decontam.HASHED + 1), "straße", "", "x" * lsa_decontam.HASHED]
+    lsa_decontam._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        got = lsa_decontam.string_hashes(pa.array(words))
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 8e6 and peak < 30e6  # 1.6 MB of words; 34 MB were held and 73 MB taken when all were hashed at once
+    alone = [lsa_decontam.string_hashes(pa.array([w]))[0] for w in words[::997] + words[-5:]]
+    assert got[::997].tolist() + got[-5:].tolist() == alone
+
+
+class InProcess:
+    """Passages whose batches are worked on in this process, so that what a task holds can be seen."""
+
+    def __init__(self, batch):
+        shared = lambda value: SimpleNamespace(value=value, destroy=lambda: None)
+        self.sparkSession, self.batch = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=shared)), batch
+
+    def mapInArrow(self, run, schema):
+        self.rows = [row for out in run(iter([self.batch])) for row in out.to_pylist()]
+        return self
+
+    def groupBy(self, *columns):
+        return self
+
+    def applyInPandas(self, add, schema):
+        return self
+
+    def collect(self):
+        return self.rows
+
+
+def test_passages_are_multiplied_in_little_memory():
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(30_000)}" for _ in range(1000)) for _ in range(150)]
+    weights = np.where(np.arange(len(texts)) % 7 == 0, 100.0, 1.0)
+    draw = np.random.default_rng(3)
+    idf, basis = draw.random(lsa_decontam.BUCKETS, np.float32), draw.standard_normal((lsa_decontam.BUCKETS, 128), np.float32)
+    passages = InProcess(pa.RecordBatch.from_arrays([pa.array(texts), pa.array(weights)], names=["text", "weight"]))
+    tracemalloc.start()
+    try:
+        got = lsa_decontam._gram_times(passages, idf, basis)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6  # 150,000 words times 128 directions in single precision are 77 MB, and there were three such arrays at once
+    want = np.zeros(basis.shape)
+    for text, weight in zip(texts, weights):
+        buckets = lsa_decontam._bucket(lsa_decontam.word_hashes(pa.array([text]))[0])
+        for start in range(0, len(buckets), lsa_decontam.CHUNK):
+            own = buckets[start : start + lsa_decontam.CHUNK]
+            value = idf[own] / np.sqrt((idf[own].astype(np.float64) ** 2).sum())
+            np.add.at(want, own, np.outer(value, weight * (value @ basis[own])))
+    np.testing.assert_allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
 @pytest.mark.parametrize("n, low, high", [(1, 30, 30), (5, 17, 24), (40, 6, 12), (40, 17, 60), (150, 6, 12), (500, 6, 800)])
 def test_decontamination_recall_at_any_benchmark_size(spark, n, low, high):
     rng = np.random.default_rng(n + high)
