@@ -100,3 +100,16 @@ def test_entry_registers_every_operator():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_python_workers_take_few_rows_at_a_time(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    try:
+        for now, then in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(name, now)
+            corpus_pipeline.tokenize(spark, docs, str(tmp_path))
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
