@@ -398,3 +398,24 @@ def test_html_names_do_not_cut_the_main_text():
     comments = f"<div class=comment-list>{paragraphs * 3}</div><div class='site-footer'>{body}</div>"
     assert html_blocks.main_text(f"<div>{paragraphs}</div>{comments}") == want  # longer comments are still comments
     html_blocks.main_text("<div class=ad>" * 5000 + body)
+
+
+def test_space_is_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(23)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(5, 30))) if x < 500) for _ in range(6000)] + [None, "", " \n"]
+    items = ["key one two three four", "w1 w2 key five", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    space = lsa_decontam.fit_space(docs, bench, rank=24, weight=5.0, rounds=8)
+    cut = [lsa_decontam._bucket(lsa_decontam.word_hashes(pa.array([text], pa.string()))[0]) for text in texts + items]
+    df = sum(np.bincount(np.unique(b), minlength=lsa_decontam.BUCKETS) for b in cut[: len(texts)])
+    np.testing.assert_allclose(space.idf, np.log((1 + len(texts)) / (1 + df)), rtol=1e-5)
+    used = np.unique(np.concatenate(cut))
+    gram = np.zeros((len(used), len(used)))
+    for k, buckets in enumerate(cut):
+        for start in range(0, len(buckets), lsa_decontam.CHUNK):
+            own = buckets[start : start + lsa_decontam.CHUNK]
+            row = np.bincount(np.searchsorted(used, own), space.idf[own], len(used)) / np.sqrt((space.idf[own] ** 2).sum())
+            gram += np.outer(row, row) * (5.0 if k >= len(texts) else 3000 / len(texts))
+    want = np.linalg.eigvalsh(gram)[::-1][:6]
+    np.testing.assert_allclose(1 / space.scale[:6] ** 2, want, rtol=1e-3)  # a sample of half the documents is off by more
