@@ -4,8 +4,11 @@ A line break inside quotes does not end a record, so a task that starts in the m
 not know whether its first line begins a record. It need not: what a range does to the reader's state (outside or inside a quoted
 field) is a function of two values, and functions of consecutive ranges compose. One pass takes these functions, for every
 separator in question, together with the facts that decide on the charset, the header and the number of records.
-Composing them, one short row per range, gives the state in which each range starts; a second pass cuts the
-records. Records that cross from one range into the next are put together from their pieces, of which a range has two at most.
+Composing them, one short row per range, gives the state in which each range starts. A second pass cuts the
+records. Spark need not deal out the same ranges again, as their size depends on the files read together and on the cores there are, so the
+second pass takes nothing from the first about ranges: where records span lines, it cuts the lines from either state until both agree,
+which is soon, is written down with what its ranges do, and the rows of the right state are kept. Records that cross from one range into the
+next are put together from their pieces, of which a range has two at most.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.operators.dedup import SEQ, file_path
+from siftline.session import new_folder
 
 BOM = b"\xef\xbb\xbf"
 # Byte values that have no meaning in the Windows Turkish code page.
@@ -27,9 +31,9 @@ UNDEFINED = bytes((0x81, 0x8D, 0x8E, 0x8F, 0x90, 0x9D, 0x9E))
 
 RANGES = (
     "path string, block bigint, valid boolean, undefined boolean, from_outside array<boolean>, from_inside array<boolean>, "
-    "records_outside array<bigint>, records_inside array<bigint>, firsts array<array<binary>>"
+    "records_outside array<bigint>, records_inside array<bigint>, spans_outside array<boolean>, spans_inside array<boolean>, firsts array<array<binary>>"
 )
-PIECES = "path string, block bigint, line bigint, kind string, record binary"
+PIECES = "path string, block bigint, assumed boolean, line bigint, kind string, record binary"
 
 
 def ends_inside(line: bytes, sep: bytes, inside: bool) -> bool:
@@ -97,6 +101,7 @@ class _Range:
         self.path, self.block, self.seps, self.keep = path, block, seps, keep
         self.state = [[False, True] for _ in seps]
         self.records = [[0, 0] for _ in seps]
+        self.spans = [[False, False] for _ in seps]  # whether a line ends inside quotes
         self.open = [[] for _ in seps]  # lines of the first records, if the range starts a file
         self.firsts: list[list[bytes]] = [[] for _ in seps]
         self.valid, self.undefined, self.fresh = True, False, True
@@ -136,6 +141,7 @@ class _Range:
                 before = self.state[s][i]
                 after = ends_inside(bare, sep, before) if b'"' in bare else before
                 self.state[s][i] = after
+                self.spans[s][i] |= after
                 if not after and (before or bare):
                     self.records[s][i] += 1
                 if i == 0 and self.block == 0 and len(self.firsts[s]) < self.keep:
@@ -149,7 +155,8 @@ class _Range:
     def row(self) -> tuple:
         turned = [list(x) for x in zip(*self.state)]
         counts = [list(x) for x in zip(*self.records)]
-        return self.path, self.block, self.valid, self.undefined, *turned, *counts, self.firsts
+        spans = [list(x) for x in zip(*self.spans)]
+        return self.path, self.block, self.valid, self.undefined, *turned, *counts, *spans, self.firsts
 
 
 def _is_utf8(line: bytes) -> bool:
@@ -168,7 +175,7 @@ def scan_ranges(spark: SparkSession, paths: Sequence[str], separators: Sequence[
         schema = pa.schema([
             ("path", pa.string()), ("block", pa.int64()), ("valid", pa.bool_()), ("undefined", pa.bool_()), ("from_outside", pa.list_(pa.bool_())),
             ("from_inside", pa.list_(pa.bool_())), ("records_outside", pa.list_(pa.int64())), ("records_inside", pa.list_(pa.int64())),
-            ("firsts", pa.list_(pa.list_(pa.binary()))),
+            ("spans_outside", pa.list_(pa.bool_())), ("spans_inside", pa.list_(pa.bool_())), ("firsts", pa.list_(pa.list_(pa.binary()))),
         ])
         now: _Range | None = None
         for batch in batches:
@@ -185,7 +192,7 @@ def scan_ranges(spark: SparkSession, paths: Sequence[str], separators: Sequence[
 
 
 def file_facts(ranges: DataFrame, separators: Sequence[str]) -> DataFrame:
-    """One row per file: charset facts, records and first records per separator, and the ranges that start inside quotes.
+    """One row per file: charset facts and, per separator, records, first records, whether any spans lines, and the ranges that start inside quotes.
 
     A group is the ranges of one file, a row for each 128 MB or so of it.
     """
@@ -193,79 +200,124 @@ def file_facts(ranges: DataFrame, separators: Sequence[str]) -> DataFrame:
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
-        inside, counts, opened = [False] * n, [0] * n, [[] for _ in range(n)]
+        inside, counts, spans, opened = [False] * n, [0] * n, [False] * n, [[] for _ in range(n)]
         for row in rows.itertuples():
             for s in range(n):
                 if inside[s]:
                     opened[s].append(row.block)
                 counts[s] += int((row.records_inside if inside[s] else row.records_outside)[s])
+                spans[s] |= bool((row.spans_inside if inside[s] else row.spans_outside)[s])
                 inside[s] = bool((row.from_inside if inside[s] else row.from_outside)[s])
         counts = [c + i for c, i in zip(counts, inside)]  # a quote that never closes: the rest is one record
         firsts = next((list(f) for f in rows["firsts"] if any(len(x) for x in f)), [[] for _ in range(n)])
         return pd.DataFrame([{
             "path": rows["path"].iloc[0], "valid": bool(rows["valid"].all()), "undefined": bool(rows["undefined"].any()), "records": counts,
-            "firsts": [list(f) for f in firsts], "opened": opened, "ends_inside": inside,
+            "firsts": [list(f) for f in firsts], "spans": spans, "opened": opened, "ends_inside": inside,
         }])
 
-    kinds = "path string, valid boolean, undefined boolean, records array<bigint>, firsts array<array<binary>>, opened array<array<bigint>>, ends_inside array<boolean>"
+    kinds = "path string, valid boolean, undefined boolean, records array<bigint>, firsts array<array<binary>>, spans array<boolean>, opened array<array<bigint>>, ends_inside array<boolean>"
     return ranges.groupBy("path").applyInPandas(compose, kinds)
 
 
-def _pieces(lines: DataFrame, sep: str, header: bool) -> DataFrame:
-    """The second pass: whole records, and the pieces of those that cross ranges. ``lines`` has ``inside``, the range's first state.
-
-    kind: whole; tail (starts here, goes on in the next range), body (goes through the range), head (ends here).
+class _Cutter:
+    """Cuts the lines of a range into records, from one state on. A header is left out where a file starts."""
+
+    def __init__(self, sep: bytes, inside: bool, header: bool):
+        self.sep, self.inside, self.head, self.header = sep, inside, inside, header
+        self.open: list[bytes] = []
+        self.begun = 0
+
+    def add(self, number: int, line: bytes) -> tuple[int, str, bytes] | None:
+        """The record that ends with this line: its first line's number, its kind and its bytes."""
+        if b'"' in line:
+            self.inside = ends_inside(_bare(line), self.sep, self.inside)
+        if not self.open:
+            self.begun = number
+        self.open.append(line)
+        if self.inside:
+            return None
+        record = _bare(b"\n".join(self.open))
+        self.open = []
+        if self.head:
+            self.head = False
+            return self.begun, "head", record
+        if not record:
+            return None
+        if self.header:
+            self.header = False
+            return None
+        return self.begun, "whole", record
+
+    def rest(self) -> tuple[int, str, bytes] | None:
+        return (self.begun, "body" if self.head else "tail", b"\n".join(self.open)) if self.open else None
+
+
+def _pieces(lines: DataFrame, sep: str, header: bool, spanning: bool) -> DataFrame:
+    """The second pass: whole records, and the pieces of those that cross ranges.
+
+    kind: whole; tail (starts here, goes on in the next range), body (goes through the range), head (ends here). ``assumed`` is
+    null or the state at the range's start, inside or not, without which the row is wrong. A row of kind range says in
+    ``line`` in which state the range ends: from outside in the first bit, from inside in the second.
+    Without ``spanning`` no record has more than one line.
     """
     mark = sep.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        range_, inside, number, first, open_, begun = None, False, 0, True, [], 0
+        range_, number, cutters = None, 0, []
+
+        def end() -> None:
+            for assumed, cutter in cutters:
+                if piece := cutter.rest():
+                    found.append((*range_, assumed, *piece))
+            if range_ is not None:
+                found.append((*range_, None, cutters[0][1].inside + 2 * cutters[-1][1].inside, "range", None))
 
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            if final and range_ is not None and open_:
-                found.append((*range_, begun, "body" if head else "tail", b"\n".join(open_)))
+        def flush() -> Iterator[pa.RecordBatch]:
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["path", "block", "line", "kind", "record"])
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], names=["path", "block", "assumed", "line", "kind", "record"])
                 found.clear()
 
-        head = False
         for batch in batches:
-            start = 0
             for path, block, lines in _runs(batch):
                 if (path, block) != range_:
-                    yield from flush(True)
-                    range_, number, first, open_, begun = (path, block), 0, block == 0, [], 0
-                    inside = bool(batch.column("inside")[start].as_py())
-                    head = inside
-                start += len(lines)
+                    end()
+                    range_, number = (path, block), 0
+                    if block == 0 or not spanning:
+                        cutters = [(None, _Cutter(mark, False, header and block == 0))]
+                    else:
+                        cutters = [(inside, _Cutter(mark, inside, False)) for inside in (False, True)]
                 for line in lines.to_pylist():
                     if number == 0 and block == 0:
                         line = line.removeprefix(BOM)
-                    before = inside
-                    if b'"' in line:
-                        inside = ends_inside(_bare(line), mark, before)
-                    if not open_:
-                        begun = number
+                    for assumed, cutter in cutters:
+                        if piece := cutter.add(number, line):
+                            found.append((*range_, assumed, *piece))
                     number += 1
-                    open_.append(line)
-                    if inside:
-                        continue
-                    record = _bare(b"\n".join(open_))
-                    open_ = []
-                    if head:
-                        found.append((*range_, begun, "head", record))
-                        head = False
-                    elif record:
-                        if not (first and header):
-                            found.append((*range_, begun, "whole", record))
-                        first = False
-                yield from flush(False)
-        yield from flush(True)
+                    if len(cutters) > 1 and not any(cutter.open for _, cutter in cutters):
+                        cutters = [(None, cutters[0][1])]  # both are between records, so they agree from here on
+                yield from flush()
+        end()
+        yield from flush()
 
     return lines.mapInArrow(run, PIECES)
 
 
+def _first_states(ranges: DataFrame) -> DataFrame:
+    """path, block, inside: the state in which each range starts. A group is the ranges of one file."""
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        inside, states = False, []
+        for ends in rows["line"]:
+            states.append(inside)
+            inside = bool(int(ends) >> inside & 1)
+        return pd.DataFrame({"path": rows["path"], "block": rows["block"], "inside": states})
+
+    return ranges.select("path", "block", "line").groupBy("path").applyInPandas(follow, "path string, block bigint, inside boolean")
+
+
 def _stitched(pieces: DataFrame) -> DataFrame:
     """Records put together from their pieces: each tail with the bodies and the head that follow it in its file.
 
@@ -280,20 +332,22 @@ def _stitched(pieces: DataFrame) -> DataFrame:
     return joined.select("path", start["block"].alias("block"), start["line"].alias("line"), text.alias("record"))
 
 
-def read_records(
-    spark: SparkSession, paths: Sequence[str], opened: DataFrame, *, sep: str, header: bool, crossing: bool
-) -> DataFrame:
+def read_records(spark: SparkSession, paths: Sequence[str], *, sep: str, header: bool, spanning: bool) -> DataFrame:
     """path, block, line, record (bytes) of every record but headers.
 
-    ``opened`` (path, block) are the ranges that start inside quotes, few by nature; without ``crossing`` none do.
+    With ``spanning``, where records may span lines, the pieces are written to the shared folder: what the ranges do and the
+    records cut in them have to come from one and the same reading.
     """
-    lines = _lines(spark, paths)
-    if not crossing:
-        return _pieces(lines.withColumn("inside", F.lit(False)), sep, header).filter("kind IN ('whole', 'tail')").select("path", "block", "line", "record")
-    marked = lines.join(F.broadcast(opened.withColumn("_open", F.lit(True))), ["path", "block"], "left").withColumn("inside", F.coalesce("_open", F.lit(False)))
-    pieces = _pieces(marked.select("path", "block", "line", "inside"), sep, header)
-    whole = pieces.filter("kind = 'whole'").select("path", "block", "line", "record")
-    return whole.unionByName(_stitched(pieces.filter("kind <> 'whole'")))
+    pieces = _pieces(_lines(spark, paths), sep, header, spanning)
+    if not spanning:
+        return pieces.filter("kind IN ('whole', 'tail')").select("path", "block", "line", "record")
+    folder = new_folder(spark, "csv-pieces")
+    pieces.write.option("compression", "zstd").parquet(folder)
+    pieces = spark.read.schema(PIECES).parquet(folder)
+    states = F.broadcast(_first_states(pieces.filter("kind = 'range'")))  # one short row per range
+    right = pieces.filter("kind <> 'range'").join(states, ["path", "block"]).filter("assumed IS NULL OR assumed = inside")
+    whole = right.filter("kind = 'whole'").select("path", "block", "line", "record")
+    return whole.unionByName(_stitched(right.filter("kind <> 'whole'").select("path", "block", "line", "kind", "record")))
 
 
 def header_names(record: str, sep: str) -> list[str]:

@@ -116,3 +116,21 @@ def test_charset_is_decided_over_all_ranges(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert facts["tr.csv"] == "cp1254"
     assert [r["text"] for r in got] == ["güneş\nığdır€"]
+
+
+def test_records_do_not_depend_on_how_the_ranges_were_dealt_before(spark, tmp_path):
+    rows = {"utf": [f"line {i}\n{i}, more\nend" for i in range(300)], "tr": [f"ığdır {i}\n{i}, daha\nson" for i in range(300)]}
+    for name, charset in (("utf", "utf-8"), ("tr", "cp1254")):
+        body = "\n".join(f'{i},"{t}"' for i, t in enumerate(rows[name]))
+        (tmp_path / f"{name}.csv").write_bytes(f"id,text\n{body}\n".encode(charset))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for name, value in zip(names, ("700", "0")):
+            spark.conf.set(name, value)
+        got = files.read_csv_robust(spark, [str(tmp_path / "utf.csv"), str(tmp_path / "tr.csv")])
+        spark.conf.set(names[0], "450")  # as if there were more cores, or fewer files
+        found = sorted(tuple(r) for r in got.select(F.col("id").cast("int").alias("id"), "text").collect())
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert found == sorted((i, t) for texts in rows.values() for i, t in enumerate(texts))
