@@ -348,3 +348,38 @@ def test_training_cuts_texts_once_in_bounded_tasks(spark, monkeypatch):
     assert T.evaluate_model(model, df).first()["f1_macro"] == 1.0 and report.count() == 2
     assert len(seen) == 2
     assert all(n <= 2 * spark.sparkContext.defaultParallelism and mb >= 16 and not again for n, mb, again in seen)
+
+
+# --- variants are made in Arrow batches, with the draws that Spark's own hash takes
+
+
+def test_variants_take_the_draws_of_the_jvm(spark):
+    from siftline.functions.draws import row_seed
+    from siftline.functions.zero_width import ZERO_WIDTH, inject_zero_width
+    from siftline.schema import WHITESPACE
+
+    texts = ["", None, " ", "a", "aeo 😀aeo😀x x", "\n\ta e", "ğüşiİıAEOPCXYI", "uzun bir metin, hemen tiklayin. " * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def in_jvm(purpose, piece):
+        chars, base = F.split("t", ""), row_seed(F.col("t"), 42, purpose)
+        draw = lambda pos, *more: F.xxhash64(base, pos, *[F.lit(m) for m in more])
+        below = lambda value, share: F.pmod(value, F.lit(1_000_000)) / F.lit(1e6) < share
+        return F.array_join(F.transform(chars, lambda c, pos: piece(chars, c, pos, draw, below)), "")
+
+    def alike(chars, c, pos, draw, below):
+        hit = c.isin(*(S.LATIN + S.LATIN.upper())) & below(draw(pos), 0.3)
+        return F.when(hit, F.translate(F.lower(c), S.LATIN, S.CYRILLIC)).otherwise(c)
+
+    def hidden(chars, c, pos, draw, below):
+        after = F.get(chars, pos + 1)
+        gap = after.isNotNull() & ~c.isin(*WHITESPACE) & ~after.isin(*WHITESPACE)
+        which = F.get(F.array(*[F.lit(z) for z in ZERO_WIDTH]), F.pmod(draw(pos, 1), F.lit(len(ZERO_WIDTH))).cast("int"))
+        return F.when(gap & below(draw(pos, 0), 0.2), F.concat(c, which)).otherwise(c)
+
+    made = df.select("i", S.homoglyph_variant("t").alias("h"), inject_zero_width("t").alias("z"), S.paraphrase("t", 2).alias("p"))
+    assert "lambdafunction" not in made._jdf.queryExecution().toString()  # a lambda a character took a microsecond
+    rows = {r["i"]: r for r in made.collect()}
+    for r in df.select("i", in_jvm("homoglyph", alike).alias("h"), in_jvm("zero_width", hidden).alias("z")).collect():
+        assert (rows[r["i"]]["h"], rows[r["i"]]["z"]) == (r["h"], r["z"])
+    assert rows[1]["p"] == [None] and all(len(set(rows[i]["p"]) - {texts[i]}) == 2 for i in rows if i != 1)
